@@ -3,14 +3,14 @@
 The 64 bits lie on a ring of three segments (22, 21 and 21 bits).  Two
 fingerprints within two bits have a start i from which the cumulative
 differences stay within the proportional budgets 2/3, 4/3 and 6/3, that is
-0, 1 and 2 whole bits.  The chain is grown one segment at a time and each
-length prunes before the next is paid for:
-
-1. segment i equal: a fingerprint goes on from start i only if another distinct
-   fingerprint has the same segment i;
-2. segment i equal and at most one bit off in segment i + 1: it goes on only if
-   another one shares a key with one bit of that segment blanked;
-3. the full check: two fingerprints are within two bits exactly if they share a
+0, 1 and 2 whole bits.  The chain is grown in two steps and the first prunes before
+the second is paid for:
+
+1. segment i equal and at most one bit off in segment i + 1: a fingerprint goes on
+   from start i only if another distinct one shares a key with one bit of segment
+   i + 1 blanked.  (Segment i alone would prune well on small inputs only: 22 bits
+   fill up as the input grows, 43 do not.)
+2. the full check: two fingerprints are within two bits exactly if they share a
    value that is at most one flipped bit from either, so survivors meet at those
    values.  A meeting point can have 65 fingerprints at most and becomes a star.
 
@@ -92,10 +92,10 @@ def _bits(i: int) -> range:
     return range(low, low + bits)
 
 
-def _shared(keyed: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows whose (start, key) occurs with two or more distinct fingerprints; each row comes once."""
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Rows whose (start, key) occurs with two or more distinct fingerprints."""
     met = keyed.groupBy("start", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("start", "key")
-    return keyed.join(met, ["start", "key"], "left_semi").select(*keep).distinct()
+    return keyed.join(met, ["start", "key"], "left_semi")
 
 
 def _per_start(value) -> Column:
@@ -106,16 +106,13 @@ def _per_start(value) -> Column:
 def links(fps: DataFrame) -> DataFrame:
     """Star edges (u, v) that connect exactly the distinct fingerprints (fp long) linked at two or fewer differing bits."""
     fp = F.col("fp")
-    one = fps.select("fp", F.explode(F.array(*(F.lit(i) for i in range(3)))).alias("start"))
-    one = one.withColumn("key", _per_start(lambda i: fp.bitwiseAND(F.lit(_segment(i)))))
-    one = _shared(one, ["start", "fp"])
 
     def blanked(i: int) -> Column:
         both = fp.bitwiseAND(F.lit(_segment(i) | _segment(i + 1)))
         return F.array(*(F.struct(F.lit(3 * b + i).alias("start"), both.bitwiseAND(F.lit(~_flag(b))).alias("key")) for b in _bits(i + 1)))
 
-    two = one.select("fp", F.explode(_per_start(blanked)).alias("k")).select("fp", "k.start", "k.key")
-    two = _shared(two, ["start", "fp"]).select("fp", (F.col("start") % 3).alias("start")).distinct()
+    one = fps.select("fp", F.explode(F.concat(*map(blanked, range(3)))).alias("k")).select("fp", "k.start", "k.key")
+    two = _shared(one).select("fp", (F.col("start") % 3).alias("start")).distinct()
 
     def near(i: int) -> Column:
         return F.array(fp, *(fp.bitwiseXOR(F.lit(_flag(b))) for j in (i + 1, i + 2) for b in _bits(j)))
