@@ -3,21 +3,48 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import langid, pieces, quality, simhash
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Where the public vocabularies lie; read on the driver only.
+VOCABULARIES = "/opt/tokenizers"
+#: Fixed value: the pre-tokenising pattern that goes with the rank files.
+RANK_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def vocabulary(name: str, folder: str | None = None) -> bytes:
+    return Path(folder or VOCABULARIES, name).read_bytes()
+
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+def op7_fertility_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_multi_50k.tiktoken"), RANK_PATTERN)
+
+
+def op8_mixture_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out(4, 2))
+    model = langid.fit(docs.where("not held_out"))
+    found = langid.identify(docs, model, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_simhash_near_dedup,)}
+    found = (op5_simhash_near_dedup, op6_sentencepiece_fst, op7_fertility_quality, op8_mixture_language_id)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
