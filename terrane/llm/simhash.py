@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -77,12 +77,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def _segment(i: int) -> int:
-    low, bits = RING[i % 3]
-    mask = ((1 << bits) - 1) << low
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
 def _flag(bit: int) -> int:
     return (1 << bit) - (1 << 64) if bit == 63 else 1 << bit
 
@@ -92,34 +86,35 @@ def _bits(i: int) -> range:
     return range(low, low + bits)
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """Rows whose (start, key) occurs with two or more distinct fingerprints."""
-    met = keyed.groupBy("start", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("start", "key")
-    return keyed.join(met, ["start", "key"], "left_semi")
-
-
-def _per_start(value) -> Column:
-    """value(i) for the row's start i."""
-    return F.when(F.col("start") == 0, value(0)).when(F.col("start") == 1, value(1)).otherwise(value(2))
+def _chain_keys(fp: Column) -> Column:
+    """The keys of all chains of two segments from every start: 43 bits of the two, one bit of the second blanked, and which."""
+    keys = []
+    for i in range(3):
+        (low, bits), (after, more) = RING[i], RING[(i + 1) % 3]
+        first = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1))
+        second = F.shiftrightunsigned(fp, after).bitwiseAND(F.lit((1 << more) - 1))
+        both = first.bitwiseOR(F.shiftleft(second, bits))
+        keys += (both.bitwiseAND(F.lit(~(1 << (bits + b)))).bitwiseOR(F.lit((3 * b + i) << 44)) for b in range(more))
+    return F.array(*keys)
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Star edges (u, v) that connect exactly the distinct fingerprints (fp long) linked at two or fewer differing bits."""
     fp = F.col("fp")
-
-    def blanked(i: int) -> Column:
-        both = fp.bitwiseAND(F.lit(_segment(i) | _segment(i + 1)))
-        return F.array(*(F.struct(F.lit(3 * b + i).alias("start"), both.bitwiseAND(F.lit(~_flag(b))).alias("key")) for b in _bits(i + 1)))
-
-    one = fps.select("fp", F.explode(F.concat(*map(blanked, range(3)))).alias("k")).select("fp", "k.start", "k.key")
-    two = _shared(one).select("fp", (F.col("start") % 3).alias("start")).distinct()
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = spread.select("fp", F.explode(_chain_keys(fp)).alias("key"))
+    # fingerprints are distinct, so a neighbour under the same key is another one
+    beside = Window.partitionBy("key").orderBy("fp")
+    met = keyed.withColumns({"before": F.lag("fp").over(beside), "after": F.lead("fp").over(beside)}).where("before is not null or after is not null")
+    chained = met.select("fp", (F.shiftright("key", 44) % 3).alias("start")).distinct()
 
     def near(i: int) -> Column:
         return F.array(fp, *(fp.bitwiseXOR(F.lit(_flag(b))) for j in (i + 1, i + 2) for b in _bits(j)))
 
-    three = two.select("fp", F.explode(_per_start(near)).alias("at")).distinct()
-    met = three.groupBy("at").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    return met.select(F.array_min("all").alias("u"), F.explode("all").alias("v")).where("u <> v").distinct()
+    start = F.col("start")
+    points = chained.select("fp", F.explode(F.when(start == 0, near(0)).when(start == 1, near(1)).otherwise(near(2))).alias("at")).distinct()
+    shared = points.groupBy("at").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
+    return shared.select(F.array_min("all").alias("u"), F.explode("all").alias("v")).where("u <> v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
