@@ -23,6 +23,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_PLAIN = _LOWER.copy()
+_PLAIN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 0x20
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=_U)
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xFF51AFD7ED558CCD)
 _LANES = 8  # words of more bytes than 8 * _LANES are hashed one by one
@@ -57,13 +59,14 @@ def mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts: byte offsets, owners and 64-bit hashes."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, plain: bool = False):
+        """``lower`` folds A-Z; ``plain`` also reads ASCII punctuation as spaces."""
         raw = [x or b"" for x in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()]
         self.n_docs = len(raw)
         self.bytes = b"".join((PAD, PAD.join(raw), PAD)) if raw else PAD * 2
         self.data = np.frombuffer(self.bytes, np.uint8)
-        if lower:
-            self.data = _LOWER[self.data]
+        if lower or plain:
+            self.data = (_PLAIN if plain else _LOWER)[self.data]
             self.bytes = self.data.tobytes()
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         self.doc_end = np.cumsum(size + 8)
