@@ -158,13 +158,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     keep = [id_col] if keep is None else keep
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.bits))
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    # a text that is kept anyway travels once
+    source = text_col if text_col in keep else "__text"
+    rows = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).cast("string").alias(source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*held.value)
         for batch in batches:
-            for part in slices(batch, "__text"):
-                texts = part.column("__text")
+            for part in slices(batch, source):
+                texts = part.column(source)
                 pi, _ = infer(model, texts)
                 letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()])
                 order = np.argsort(-pi, axis=1, kind="stable")
