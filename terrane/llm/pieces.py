@@ -9,11 +9,9 @@ the tropical-semiring shortest path is its encoding:
   dearest piece and ten more; the path is found by the usual relaxation;
 * BPE models: two adjacent pieces cost 0 if merging their characters by rank gives
   back exactly these two, else infinity.  A sequence all of whose neighbours agree is
-  the merge result itself, so one path is finite and every prefix has one last
-  piece, which makes the relaxation linear.
+  the merge result itself, so one path is finite and the search for it is linear.
 
-Both machines split before a mark that follows another character, as no piece goes
-over such a place; the parts are memoised per worker.
+Both machines cut the input where no piece goes over, and memoise the parts.
 """
 
 from __future__ import annotations
@@ -32,7 +30,8 @@ from .text import slices
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the file format
 UNIGRAM, BPE = 1, 2  # model types of the file format
-PARTS_KEPT = 300_000
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PARTS_KEPT = 600_000
 PAIRS_KEPT = 500_000
 
 
@@ -109,10 +108,26 @@ class Transducer:
                 node = node.setdefault(char, {})
             node[""] = k
         self.fallback_cost = max(self.rank.values(), default=0.0) + 10
+        inside = {(a, b) for p in lexicon for a, b in zip(p, p[1:], strict=False)}
+        used = {c for p in lexicon for c in p}
+        letters = {c for c in map(chr, range(0x30, 0x250)) if c.isalnum()}
+        #: control characters that no piece has, and signs that no piece puts behind a letter
+        self.alone = [c for c in "\n\r\t" if c not in used or not any(c in pair for pair in inside)]
+        self.after = [c for c in _SIGNS if c not in self.alone and not any((x, c) in inside for x in letters)]
         #: what a piece says in bytes; controls say nothing
         self.says = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
         self.parts: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self._cutter: re.Pattern | None = None
+
+    def cutter(self) -> re.Pattern:
+        """Cuts a normalised text where no piece goes over: before marks, between letters and certain signs, around certain controls."""
+        if self._cutter is None:
+            letter, alone, after = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "".join(self.alone), "".join(map(re.escape, self.after))
+            loose = f"[^{MARK}{letter}{alone}]*"
+            word = f"{MARK}*{loose}(?:[{letter}]+(?:[^{MARK}{letter}{after}{alone}]{loose})?)*"
+            self._cutter = re.compile(f"[{alone}]|{word}" if alone else word)
+        return self._cutter
 
     def _last_merge(self, piece: str) -> tuple[str, str] | None:
         """The two parts whose merge, the last by rank, makes the piece; None if merging stops short of it."""
@@ -144,57 +159,85 @@ class Transducer:
     def _fall_back(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode()] if self.fallback else [self.unknown]
 
-    def _arcs(self, text: str) -> list[list[tuple[int, int]]]:
-        """At each place the arcs that end there, longest first: (start, piece), piece -1 for fallback."""
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(len(text) + 1)]
-        for start in range(len(text)):
-            node, at, alone = self.trie, start, False
-            while at < len(text) and (node := node.get(text[at])) is not None:
-                at += 1
-                if "" in node:
-                    ends[at].append((start, node[""]))
-                    alone |= at == start + 1
-            if not alone:
-                ends[start + 1].append((start, -1))
-        return ends
+    def _matches(self, text: str, start: int) -> list[tuple[int, int]]:
+        """The arcs out of a place, shortest first: (end, piece), piece -1 for fallback."""
+        node, at, n = self.trie, start, len(text)
+        found = []
+        while at < n:
+            node = node.get(text[at])
+            if node is None:
+                break
+            at += 1
+            if "" in node:
+                found.append((at, node[""]))
+        if not found or found[0][0] != start + 1:
+            found.insert(0, (start + 1, -1))
+        return found
+
+    def _finite_path(self, text: str) -> list[tuple[int, int, int]]:
+        """The one path of finite cost as (start, end, piece), found depth first.
+
+        A prefix has one finite path, so a place that led nowhere never has to be
+        entered again: the search is linear in the arcs.
+        """
+        n, width, pairs = len(text), len(self.pieces), self.pairs
+        if len(pairs) > PAIRS_KEPT:
+            pairs.clear()
+        path: list[tuple[int, int, int]] = []
+        left = [self._matches(text, 0)]
+        stuck: set[int] = set()
+        at, before = 0, -1
+        while at < n:
+            arcs = left[-1]
+            while arcs:
+                end, piece = arcs.pop()
+                if end in stuck:
+                    continue
+                if before >= 0 and piece >= 0:
+                    key = before * width + piece
+                    fine = pairs.get(key)
+                    if fine is None:
+                        fine = pairs[key] = self._agree(before, piece)
+                    if not fine:
+                        continue
+                path.append((at, end, piece))
+                at, before = end, piece
+                if at < n:
+                    left.append(self._matches(text, at))
+                break
+            else:
+                if not path:
+                    raise AssertionError("no finite path")
+                stuck.add(at)
+                left.pop()
+                at = path.pop()[0]
+                before = path[-1][2] if path else -1
+        return path
 
-    def _path(self, text: str) -> list[int]:
+    def _cheapest_path(self, text: str) -> list[tuple[int, int, int]]:
         n = len(text)
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        ends = self._arcs(text)
-        if self.kind == BPE:
-            pairs, width = self.pairs, len(self.pieces)
-            if len(pairs) > PAIRS_KEPT:
-                pairs.clear()
-            last = [-1] * (n + 1)
-            for at in range(1, n + 1):
-                for start, piece in ends[at]:
-                    before = last[start]
-                    if before >= 0 and piece >= 0:
-                        key = before * width + piece
-                        fine = pairs.get(key)
-                        if fine is None:
-                            fine = pairs[key] = self._agree(before, piece)
-                        if not fine:
-                            continue
-                    last[at], back[at] = piece, (start, piece)
-                    break
-                else:
-                    raise AssertionError("no finite path")
-        else:
-            cost = [0.0] + [float("inf")] * n
-            for at in range(1, n + 1):
-                for start, piece in ends[at]:
-                    total = cost[start] + (self.fallback_cost if piece < 0 else -self.scores[piece])
-                    if total < cost[at]:
-                        cost[at], back[at] = total, (start, piece)
-        out: list[int] = []
-        at = n
+        cost = [0.0] + [float("inf")] * n
+        back: list[tuple[int, int, int]] = [(0, 0, -1)] * (n + 1)
+        for start in range(n):
+            for end, piece in self._matches(text, start):
+                total = cost[start] + (self.fallback_cost if piece < 0 else -self.scores[piece])
+                if total < cost[end]:
+                    cost[end], back[end] = total, (start, end, piece)
+        path, at = [], n
         while at:
-            start, piece = back[at]
-            out.extend(reversed(self._fall_back(text[start:at])) if piece < 0 else (piece,))
-            at = start
-        return out[::-1]
+            path.append(back[at])
+            at = back[at][0]
+        return path[::-1]
+
+    def _path(self, text: str) -> list[int]:
+        path = self._finite_path(text) if self.kind == BPE else self._cheapest_path(text)
+        out: list[int] = []
+        for start, end, piece in path:
+            if piece < 0:
+                out += self._fall_back(text[start:end])
+            else:
+                out.append(piece)
+        return out
 
     def path_bytes(self, part: str) -> bytes:
         got = self.parts.get(part)
@@ -211,7 +254,7 @@ class Transducer:
         if not text:
             return np.zeros(0, "<i4")
         text = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
-        return np.frombuffer(b"".join(map(self.path_bytes, _PARTS.findall(text))), "<i4")
+        return np.frombuffer(b"".join(map(self.path_bytes, self.cutter().findall(text))), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids; broken byte runs become replacement characters."""
@@ -219,19 +262,15 @@ class Transducer:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
     def state(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("parts", "pairs")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("parts", "pairs", "_cutter")}
 
     @classmethod
     def from_state(cls, state: dict) -> Transducer:
         made = cls.__new__(cls)
-        made.__dict__ |= state | {"parts": {}, "pairs": {}}
+        made.__dict__ |= state | {"parts": {}, "pairs": {}, "_cutter": None}
         return made
 
 
-#: A run of marks with what follows up to the next mark; line feeds are only ever said in bytes and end a part too.
-_PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-
-
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default doc_id), ids array<int>, n_tokens, n_byte_tokens, round_trip.
 
