@@ -11,7 +11,8 @@ Counts are exact and corpus-wide, yet no table of them is ever broadcast.  Docum
 are dealt into groups of bounded size; a group asks for each distinct n-gram once,
 sends along its own counts, and gets the corpus-wide counts back from the bucket that
 owns the n-gram's hash.  A very frequent word or bigram is therefore one number per
-group, not one row per occurrence.  N-grams are told apart by 64-bit hashes.
+group, not one row per occurrence.  N-grams are told apart by hashes: 64 bits in a
+group, 48 bits within a bucket, and the number of buckets grows with the corpus.
 """
 
 from __future__ import annotations
@@ -26,57 +27,92 @@ from pyspark.sql import functions as F
 from .shared import cut, release
 from .text import Words, mix, sums
 
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 10 << 20
 TUNING_SHARE = 10  # one in so many training documents
 EM_ROUNDS = 60
 CELLS_PER_OCTAVE = 4
+KEY_BYTES = 6  # of a key within its bucket's range
 
 _U = np.uint64
 _END, _BEGIN = _U(0x5851F42D4C957F2C), _U(0x14057B7EF767814F)
 
 
 class _Tokens:
-    """Tokens of some texts (their words, then one end) and the sorted n-gram keys of the group."""
+    """Tokens of some texts (their words, then one end): the group's sorted distinct unigrams and bigrams, and which each token is."""
 
     def __init__(self, texts: pa.Array):
         w = Words(texts, lower=True)
-        n = w.n_words
+        self.n = w.n_words + 1
         self.off = w.off + np.arange(w.n_docs + 1)
+        self.first = self.off[:-1]
         token = np.empty(self.off[-1], _U)
         last = np.zeros(len(token), bool)
         last[self.off[1:] - 1] = True
-        # odd keys are bigrams and the beginning, even ones unigrams
-        token[~last] = w.hashes() & ~_U(1)
+        token[~last] = w.hashes()
         token[last] = _END
+        del w
         before = np.empty_like(token)
         before[1:] = token[:-1]
-        before[self.off[:-1]] = _BEGIN
-        pair = mix(mix(np.full(len(token), 0xA5A5, _U), before), token) | _U(1)
-        self.first = self.off[:-1]
-        self.n = n + 1
-        self.keys, at = np.unique(np.concatenate([token, pair, [_BEGIN]]), return_inverse=True)
-        self.uni, self.bi, self.begin = at[: len(token)], at[len(token) : -1], at[-1]
-
-    def counts(self, docs: np.ndarray) -> np.ndarray:
-        """Counts of all keys over the texts where ``docs`` is true."""
+        before[self.first] = _BEGIN
+        pair = mix(mix(np.full(len(token), 0xA5A5, _U), before), token)
+        del before
+        self.words, self.word = _distinct(token)
+        del token
+        self.pairs, self.pair = _distinct(pair)
+
+    def counts(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the distinct words and pairs over the texts where ``docs`` is true."""
         inside = np.repeat(docs, self.n)
-        out = np.bincount(self.uni[inside], minlength=len(self.keys)) + np.bincount(self.bi[inside], minlength=len(self.keys))
-        out[self.begin] += docs.sum()
-        return out
+        return np.bincount(self.word[inside], minlength=len(self.words)), np.bincount(self.pair[inside], minlength=len(self.pairs))
 
-    def context(self, count: np.ndarray) -> np.ndarray:
-        """The count of each token's context."""
-        word = count[self.uni]
+    def context(self, word: np.ndarray, texts: int) -> np.ndarray:
+        """The count of each token's context, given the counts of the tokens and the texts counted."""
         out = np.empty_like(word)
         out[1:] = word[:-1]
-        out[self.first] = count[self.begin]
+        out[self.first] = texts
         return out
 
 
-def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range begins in the sorted keys."""
-    edges = np.array([(k << 64) // buckets for k in range(buckets)], _U)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(values, return_inverse=True)
+    return keys, at.astype(np.int32)
+
+
+class _Buckets:
+    """The hash range cut into equal buckets; a key is packed as its leading bytes within its bucket."""
+
+    def __init__(self, n: int):
+        self.edges = np.array([(k << 64) // n for k in range(n)], _U)
+        self.shift = _U(max(0, ((1 << 64) // n).bit_length() - 8 * KEY_BYTES))
+
+    def bounds(self, keys: np.ndarray) -> np.ndarray:
+        """Where each bucket's keys begin among the sorted keys, and their number at the end."""
+        return np.append(np.searchsorted(keys, self.edges), len(keys))
+
+    def pack(self, keys: np.ndarray, bucket: int) -> bytes:
+        """Byte planes, the slowly changing ones first, which the shuffle's codec shortens well."""
+        left = (keys - self.edges[bucket]) >> self.shift
+        return left.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEY_BYTES :].T.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(KEY_BYTES, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, 8 - KEY_BYTES :] = planes.T
+    return out.view(">u8").ravel().astype(_U)
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts as one byte each; those from 255 on follow in full."""
+    large = counts[counts >= 255].astype("<i8")
+    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
+
+
+def _full(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    out = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", offset=8 + n)
+    return out
 
 
 def _bucket(count: np.ndarray) -> np.ndarray:
@@ -84,38 +120,59 @@ def _bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1, 0)
 
 
-def _asked(grouped: DataFrame, buckets: int) -> DataFrame:
-    def ask(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        t = _Tokens(_chunk(table, "text"))
-        train = t.counts(np.array(table.column("train").to_pylist(), bool))
-        tune = t.counts(np.array(table.column("tune").to_pylist(), bool))
-        at, g = _bounds(t.keys, buckets), table.column("g")[0].as_py()
-        rows = [(b, g, t.keys[i:j].tobytes(), train[i:j].astype("<i4").tobytes(), tune[i:j].astype("<i4").tobytes() if tune[i:j].any() else b"") for b, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["b", "g", "keys", "train", "tune"])
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(names)], names=[n for n, _ in names])
+
 
-    return grouped.groupBy("g").applyInArrow(ask, "b long, g long, keys binary, train binary, tune binary")
+_ASKED = "b long, g long, words binary, word_counts binary, pairs binary, pair_counts binary"
+_TOLD = "g long, b long, words binary, pairs binary, tuned_words binary, tuned_pairs binary"
 
 
-def _answered(asked: DataFrame) -> DataFrame:
-    """(g, b, train, tune): the corpus-wide counts of what each group asked, in the order asked; g -1: the bucket's tokens, words and tuning tokens."""
+def _asked(grouped: DataFrame, n_buckets: int) -> DataFrame:
+    """What each group asks of each bucket: its distinct n-grams, with its own training counts."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        buckets, g = _Buckets(n_buckets), table.column("g")[0].as_py()
+        train = np.array(table.column("train").to_pylist(), bool)
+        t = _Tokens(_chunk(table.combine_chunks(), "text"))
+        words, pairs = t.counts(train)
+        at, to = buckets.bounds(t.words), buckets.bounds(t.pairs)
+        rows = []
+        for b in range(n_buckets):
+            w, p = slice(at[b], at[b + 1]), slice(to[b], to[b + 1])
+            if w.stop > w.start or p.stop > p.start:
+                rows.append((b, g, buckets.pack(t.words[w], b), _small(words[w]), buckets.pack(t.pairs[p], b), _small(pairs[p])))
+        return _table(rows, _ASKED)
+
+    return grouped.groupBy("g").applyInArrow(ask, _ASKED)
+
+
+def _answered(asked: DataFrame, first_tuning: int) -> DataFrame:
+    """Corpus-wide counts of what each group asked, in the order asked; tuning groups also get the tuning counts; g -1: the bucket's tokens, distinct words and tuning tokens."""
+
+    def merge(table: pa.Table, kind: str, tuning: np.ndarray) -> tuple:
+        parts = [_unpack(x) for x in table.column(f"{kind}s").to_pylist()]
+        size = np.array([len(x) for x in parts])
+        keys, at = _distinct(np.concatenate(parts))
+        sent = np.concatenate([_full(x) for x in table.column(f"{kind}_counts").to_pylist()])
+        total = np.bincount(at, weights=sent, minlength=len(keys)).astype(np.int64)
+        tuned = np.bincount(at, weights=sent * np.repeat(tuning, size), minlength=len(keys)).astype(np.int64)
+        return at, np.concatenate([[0], np.cumsum(size)]), total, tuned
 
     def answer(table: pa.Table) -> pa.Table:
-        gs, b = table.column("g").to_pylist(), table.column("b")[0].as_py()
-        parts = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
-        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-        off = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-        total = {}
-        for name in ("train", "tune"):
-            sent = [np.frombuffer(x, "<i4") if x else np.zeros(len(k), "<i4") for x, k in zip(table.column(name).to_pylist(), parts, strict=True)]
-            total[name] = np.bincount(at, weights=np.concatenate(sent), minlength=len(keys)).astype("<i8")
-        word = (keys & _U(1)) == 0
-        stats = np.array([total["train"][word].sum(), (total["train"][word] > 0).sum(), total["tune"][word].sum()], "<i8")
-        rows = [(-1, b, stats.tobytes(), b"")]
-        rows += ((g, b, total["train"][at[i:j]].tobytes(), total["tune"][at[i:j]].tobytes() if tuned else b"") for g, i, j, tuned in zip(gs, off, off[1:], [bool(x) for x in table.column("tuning").to_pylist()], strict=False))
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["g", "b", "train", "tune"])
-
-    return asked.groupBy("b").applyInArrow(answer, "g long, b long, train binary, tune binary")
+        gs = np.array(table.column("g").to_pylist())
+        b, tuning = table.column("b")[0].as_py(), gs >= first_tuning
+        word, word_off, words, tuned_words = merge(table, "word", tuning)
+        pair, pair_off, pairs, tuned_pairs = merge(table, "pair", tuning)
+        rows = [(-1, b, np.array([words.sum(), (words > 0).sum(), tuned_words.sum()], "<i8").tobytes(), b"", b"", b"")]
+        for k, g in enumerate(gs.tolist()):
+            w, p = word[word_off[k] : word_off[k + 1]], pair[pair_off[k] : pair_off[k + 1]]
+            rows.append((g, b, _small(words[w]), _small(pairs[p]), *((_small(tuned_words[w]), _small(tuned_pairs[p])) if tuning[k] else (b"", b""))))
+        return _table(rows, _TOLD)
+
+    return asked.groupBy("b").applyInArrow(answer, _TOLD)
 
 
 def _chunk(table: pa.Table, column: str) -> pa.Array:
@@ -124,12 +181,13 @@ def _chunk(table: pa.Table, column: str) -> pa.Array:
 
 
 def _told(replies: pa.Table, column: str) -> np.ndarray:
+    """A group's counts, put together in the order of the buckets."""
     order = np.argsort(replies.column("b").to_numpy())
     parts = replies.column(column).to_pylist()
-    return np.concatenate([np.frombuffer(parts[k], "<i8") for k in order]) if len(order) else np.zeros(0, "<i8")
+    return np.concatenate([_full(parts[k]) for k in order]) if len(order) else np.zeros(0, np.int64)
 
 
-def _cells(docs: DataFrame, replies: DataFrame, n_fit: int) -> DataFrame:
+def _cells(docs: DataFrame, replies: DataFrame, n_fit: int, texts: int) -> DataFrame:
     """Held-out events by (context bucket, bigram estimate, unigram estimate), the estimates on a log grid, -1 for zero."""
 
     def grid(p: np.ndarray) -> np.ndarray:
@@ -140,8 +198,9 @@ def _cells(docs: DataFrame, replies: DataFrame, n_fit: int) -> DataFrame:
         if not mine.num_rows:
             return pa.table({k: pa.array([], pa.int64()) for k in names})
         t = _Tokens(_chunk(mine.combine_chunks(), "text"))
-        rest = _told(told, "train") - _told(told, "tune")
-        context, pair, word = t.context(rest), rest[t.bi], rest[t.uni]
+        word = (_told(told, "words") - _told(told, "tuned_words"))[t.word]
+        pair = (_told(told, "pairs") - _told(told, "tuned_pairs"))[t.pair]
+        context = t.context(word, texts)
         cell = np.stack([_bucket(context), grid(pair / np.maximum(context, 1)), grid(word / max(n_fit, 1))], 1)
         cells, n = np.unique(cell, axis=0, return_counts=True)
         return pa.table({k: pa.array(v.astype(np.int64)) for k, v in zip(names, [*cells.T, n], strict=True)})
@@ -199,16 +258,15 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     rows = rows.withColumn("tune", F.col("train") & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(TUNING_SHARE)) == 0))
     rows = rows.withColumn("g", F.when(F.col("tune"), groups + F.pmod(deal, F.lit(tuning))).otherwise(F.pmod(deal, F.lit(groups))).cast("long"))
 
-    # only tuning groups need the tuning counts back
-    asked = _asked(rows, groups).withColumn("tuning", F.col("g") >= groups)
-    replies = cut(_answered(asked))
+    n_train, n_tune = rows.agg(F.count_if("train"), F.count_if("tune")).first()
+    replies = cut(_answered(_asked(rows.select("g", "text", "train"), groups), groups))
     release(spark)
     stats = np.zeros(3, np.int64)
-    for r in replies.where("g = -1").select("train").collect():
-        stats += np.frombuffer(r["train"], "<i8")
-    n, v, n_tune = (int(x) for x in stats)
+    for r in replies.where("g = -1").select("words").collect():
+        stats += np.frombuffer(r["words"], "<i8")
+    n, v, tuned = (int(x) for x in stats)
     replies = replies.where("g >= 0")
-    cells = _cells(rows.where("tune").select("g", "text"), replies.where(F.col("g") >= groups), n - n_tune).collect()
+    cells = _cells(rows.where("tune").select("g", "text"), replies.where(F.col("g") >= groups), n - tuned, n_train - n_tune).collect()
     release(spark)
     weights = learn_weights(np.array([tuple(r) for r in cells], np.int64).reshape(-1, 4), 1 / (v + 1))
 
@@ -217,8 +275,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         if not mine.num_rows:
             return pa.table({x.split()[0]: pa.array([], kind) for x, kind in zip(SCHEMA.split(", "), kinds, strict=True)})
         t = _Tokens(_chunk(mine, "text"))
-        count = _told(told, "train")
-        word, pair, context = count[t.uni], count[t.bi], t.context(count)
+        word, pair = _told(told, "words")[t.word], _told(told, "pairs")[t.pair]
+        context = t.context(word, n_train)
         w = weights[_bucket(context)]
         p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n, 1) + w[:, 2] / (v + 1)
         base = np.log10((word + 0.5) / (n + 0.5 * (v + 1)))
@@ -227,7 +285,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         return pa.table({x.split()[0]: c for x, c in zip(SCHEMA.split(", "), cols, strict=True)})
 
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    return rows.select("g", "doc_id", "text", "train").groupBy("g").cogroup(replies.select("g", "b", "train").groupBy("g")).applyInArrow(rate, SCHEMA)
+    return rows.select("g", "doc_id", "text", "train").groupBy("g").cogroup(replies.select("g", "b", "words", "pairs").groupBy("g")).applyInArrow(rate, SCHEMA)
 
 
 def _exact(values: np.ndarray, off: np.ndarray) -> np.ndarray:
