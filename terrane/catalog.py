@@ -38,3 +38,6 @@ def oracle_sql() -> dict[str, str]:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return items.groupBy("l_orderkey").agg(F.count("*").alias("units"), F.avg("l_quantity").alias("mean_quantity"))
+
+
+from . import queries as _registered  # noqa: E402, F401  the modules register themselves
