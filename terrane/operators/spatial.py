@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut, discard
+
 KEY = ("z", "y", "x")
 FACES = ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
 
@@ -91,31 +93,22 @@ def components(cells: DataFrame, subject: str, connectivity: str = "face", max_r
     at = labelled.withColumn("node", node)
     offsets = half_offsets(connectivity)
     beside = _shifted(at.select(subject, *KEY, "label", F.col("node").alias("u")), offsets, [subject, "label", "u"])
-    edges = _cut(beside.join(at.withColumnRenamed("node", "v"), [subject, *KEY, "label"]).select("u", "v"))
+    edges = cut(beside.join(at.withColumnRenamed("node", "v"), [subject, *KEY, "label"]).select("u", "v"))
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    roots = _cut(at.select("node", F.col("node").alias("root")))
+    before = roots = cut(at.select("node", F.col("node").alias("root")))
     for _ in range(max_rounds):
         near = both.join(roots.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
         stepped = roots.join(near, roots.node == near.u, "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("old"))
         jump = stepped.select(F.col("node").alias("r"), F.col("root").alias("up"))
-        jumped = _cut(stepped.join(jump, stepped.root == jump.r).select("node", F.least("root", "up").alias("root"), "old"))
+        jumped = cut(stepped.join(jump, stepped.root == jump.r).select("node", F.least("root", "up").alias("root"), "old"))
         changed = not jumped.where("root <> old").isEmpty()
-        roots = jumped.select("node", "root")
+        discard(before)
+        before, roots = jumped, jumped.select("node", "root")
         if not changed:
             return at.join(roots, "node").select(subject, *KEY, "label", F.col("root").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Read back from reliable storage in the folder that the session names."""
-    import tempfile
-
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrane-"))
-    return df.checkpoint(eager=True)
-
-
 def regions(with_component: DataFrame, subject: str) -> DataFrame:
     """(subject, label, num_regions, largest, voxels, dispersion) of cells with their component."""
     size = with_component.groupBy(subject, "label", "component").agg(F.count("*").alias("size"))

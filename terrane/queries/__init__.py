@@ -1,3 +1,3 @@
 """Registered queries, by theme; importing a module registers its queries."""
 
-from . import evaluation, features, modelling, spatial, tabular  # noqa: F401
+from . import evaluation, features, modelling, spatial, tabular, texture  # noqa: F401

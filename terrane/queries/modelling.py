@@ -1 +1,237 @@
-"""To come."""
+"""Selection, clustering, outcome models and survival."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import register
+from ..functions.dist import knee
+from ..operators import cluster, models, selection, survival
+from .inputs import CELLS, FEATURES, PREDICTIONS, SURVIVAL, cells, predictions, rounded, table
+from .inputs import survival as outcomes
+
+X = ("l_quantity", "l_extendedprice", "l_tax")
+
+
+def _rows(spark, sf_dir):
+    i = table(spark, sf_dir, "lineitem")
+    return i.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_returnflag") == "R").cast("int").alias("y"), *FEATURES)
+
+
+_ROWS = "r AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_returnflag = 'R' AS INTEGER) AS y, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)"
+
+
+def _each(sql: str, names=X) -> str:
+    return " UNION ALL ".join(sql.format(f=f) for f in names)
+
+
+@register(
+    "select_anova_f",
+    f"WITH {_ROWS}, s AS ({_each('SELECT ' + chr(39) + '{f}' + chr(39) + ' AS feature, y, {f} AS v FROM r')}), g AS (SELECT feature, y, count(*) AS n, avg(v) AS m, var_pop(v) AS s2 FROM s GROUP BY ALL), a AS (SELECT feature, avg(v) AS gm FROM s GROUP BY 1) SELECT feature, round((sum(n * (m - gm) ** 2) / (count(*) - 1)) / (sum(n * s2) / (sum(n) - count(*))), 6) AS f, count(*) - 1 AS df_between, CAST(sum(n) - count(*) AS BIGINT) AS df_within FROM g JOIN a USING (feature) GROUP BY 1",
+)
+def select_anova_f(spark, sf_dir):
+    return rounded(selection.anova(_rows(spark, sf_dir), X, "y"))
+
+
+@register(
+    "select_chi2",
+    f"WITH {_ROWS}, s AS ({_each('SELECT ' + chr(39) + '{f}' + chr(39) + ' AS feature, y, sum({f}) AS o, count(*) AS n FROM r GROUP BY y')}), t AS (SELECT feature, sum(o) AS a, sum(n) AS t FROM s GROUP BY 1) SELECT feature, round(sum((o - n / t * a) ** 2 / (n / t * a)), 6) AS chi2, CAST(count(*) - 1 AS INTEGER) AS df FROM s JOIN t USING (feature) GROUP BY 1",
+)
+def select_chi2(spark, sf_dir):
+    return rounded(selection.chi2(_rows(spark, sf_dir), X, "y"))
+
+
+@register(
+    "select_welch_t",
+    f"WITH {_ROWS}, s AS ({_each('SELECT ' + chr(39) + '{f}' + chr(39) + ' AS feature, avg({f}) FILTER (y = 1) AS a, avg({f}) FILTER (y = 0) AS b, var_samp({f}) FILTER (y = 1) / count(*) FILTER (y = 1) AS va, var_samp({f}) FILTER (y = 0) / count(*) FILTER (y = 0) AS vb, count(*) FILTER (y = 1) AS na, count(*) FILTER (y = 0) AS nb FROM r')}) SELECT feature, round((a - b) / sqrt(va + vb), 6) AS t, round((va + vb) ** 2 / (va ** 2 / (na - 1) + vb ** 2 / (nb - 1)), 4) AS df FROM s",
+)
+def select_welch_t(spark, sf_dir):
+    return selection.welch(_rows(spark, sf_dir), X, "y").select("feature", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
+
+
+@register(
+    "select_mann_whitney",
+    f"WITH {PREDICTIONS}, k AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rk FROM predictions) SELECT round(sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0, 4) AS u FROM k",
+)
+def select_mann_whitney(spark, sf_dir):
+    return rounded(spark.createDataFrame([(float(selection.mann_whitney(predictions(spark, sf_dir), "p", "y")["u"]),)], "u double"), 4)
+
+
+def _gram_sql() -> str:
+    names = FEATURES
+    return " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum({a} * {b}), 2) AS g FROM lineitem" for i, a in enumerate(names) for b in names[: i + 1])
+
+
+@register("gram_matrix", _gram_sql())
+def gram_matrix(spark, sf_dir):
+    g = selection.gram(_rows(spark, sf_dir), FEATURES)
+    return rounded(spark.createDataFrame([(a, b, float(g[i, j])) for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES[: i + 1])], "a string, b string, g double"), 2)
+
+
+@register("select_vif")
+def select_vif(spark, sf_dir):
+    return spark.createDataFrame([(f,) for f in selection.keep_by_vif(_rows(spark, sf_dir), FEATURES)], "feature string")
+
+
+@register("select_mrmr")
+def select_mrmr(spark, sf_dir):
+    return spark.createDataFrame([(f,) for f in selection.mrmr(_rows(spark, sf_dir), FEATURES, "y", 3)], "feature string")
+
+
+_CENTRES = ((0.2, 0.2), (0.5, 0.5), (0.8, 0.7))
+
+
+@register(
+    "assign_nearest_centroid",
+    "WITH u AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS a, l_tax * 10 AS b FROM lineitem), d AS (SELECT l_orderkey, l_linenumber, [(a - 0.2::DOUBLE) * (a - 0.2::DOUBLE) + (b - 0.2::DOUBLE) * (b - 0.2::DOUBLE), (a - 0.5::DOUBLE) * (a - 0.5::DOUBLE) + (b - 0.5::DOUBLE) * (b - 0.5::DOUBLE), (a - 0.8::DOUBLE) * (a - 0.8::DOUBLE) + (b - 0.7::DOUBLE) * (b - 0.7::DOUBLE)] AS d FROM u) SELECT l_orderkey, l_linenumber, CAST(list_position(d, list_min(d)) AS INTEGER) AS habitat FROM d",
+)
+def assign_nearest_centroid(spark, sf_dir):
+    u = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("a"), (F.col("l_tax") * 10).alias("b"))
+    return cluster.nearest(u, ("a", "b"), _CENTRES).select("l_orderkey", "l_linenumber", "habitat")
+
+
+@register(
+    "paint_units",
+    f"WITH {CELLS}, u AS (SELECT subject, z AS unit, CAST(1 + CAST(floor(avg(price)) AS BIGINT) % 3 AS INTEGER) AS habitat FROM cells GROUP BY ALL) SELECT c.subject, c.z, c.y, c.x, u.habitat FROM cells c JOIN u ON c.subject = u.subject AND c.z = u.unit",
+)
+def paint_units(spark, sf_dir):
+    """Voxels get the region of the unit (here the slice) that holds them."""
+    c = cells(spark, sf_dir)
+    u = c.groupBy("subject", "z").agg((1 + F.floor(F.avg("price")).cast("long") % 3).cast("int").alias("habitat"))
+    return c.join(u, ["subject", "z"]).select("subject", "z", "y", "x", "habitat")
+
+
+def _points(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(8)))
+
+
+_E = tuple(f"e{k}" for k in range(8))
+
+
+@register("cluster_inertia", "WITH p AS (SELECT label, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(8)) + " FROM embeddings), g AS (SELECT label, count(*) AS n, " + " + ".join(f"var_pop(e{k})" for k in range(8)) + " AS v FROM p GROUP BY 1) SELECT round(sum(n * v), 6) AS within FROM g")
+def cluster_inertia(spark, sf_dir):
+    return rounded(cluster.inertia(_points(spark, sf_dir), _E, "label"))
+
+
+@register("cluster_calinski_harabasz", "WITH p AS (SELECT label, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(8)) + " FROM embeddings), g AS (SELECT label, count(*) AS n, " + " + ".join(f"var_pop(e{k})" for k in range(8)) + " AS v FROM p GROUP BY 1), a AS (SELECT count(*) AS t, count(*) * (" + " + ".join(f"var_pop(e{k})" for k in range(8)) + ") AS s FROM p) SELECT round(((any_value(s) - sum(n * v)) / (count(*) - 1)) / (sum(n * v) / (any_value(t) - count(*))), 6) AS score FROM g, a")
+def cluster_calinski_harabasz(spark, sf_dir):
+    return rounded(cluster.calinski_harabasz(_points(spark, sf_dir), _E, "label"))
+
+
+@register("cluster_gap")
+def cluster_gap(spark, sf_dir):
+    return spark.createDataFrame([(cluster.gap(_points(spark, sf_dir), _E, "label", "vec_id", 5),)], "gap double")
+
+
+@register("cluster_kmeans")
+def cluster_kmeans(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return cluster.nearest(p, _E, cluster.fit_kmeans(p, _E, 5, n_init=2)).select("vec_id", "habitat")
+
+
+@register("cluster_gmm")
+def cluster_gmm(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    model = cluster.fit_gmm(p, _E, 3, max_iter=20)
+    return model.transform(cluster._vectors(p, _E)).select("vec_id", (F.col("prediction") + 1).alias("habitat"))
+
+
+@register("cluster_select_k")
+def cluster_select_k(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    ks = list(range(2, 6))
+    scores = [float(cluster.inertia(cluster.nearest(p, _E, cluster.fit_kmeans(p, _E, k, n_init=1)), _E, "habitat").first()[0]) for k in ks]
+    best = ks[knee(scores)]
+    return spark.createDataFrame([(k, s, k == best) for k, s in zip(ks, scores, strict=True)], "k int, within double, chosen boolean")
+
+
+_DATA = "id % 4 <> 0"
+
+
+@register(
+    "model_gaussian_nb",
+    f"""WITH {_ROWS}, g AS (SELECT y, count(*) AS n, avg(l_quantity) AS m1, var_pop(l_quantity) AS v1, avg(l_tax) AS m2, var_pop(l_tax) AS v2 FROM r WHERE {_DATA} GROUP BY 1), e AS (SELECT 1e-9 * greatest(var_pop(l_quantity), var_pop(l_tax)) AS e FROM r WHERE {_DATA}), t AS (SELECT sum(n) AS t FROM g),
+l AS (SELECT rid, id, y AS c, ln(n / t) - 0.5 * ln(2 * pi() * (v1 + e)) - (q - m1) ** 2 / (2 * (v1 + e)) - 0.5 * ln(2 * pi() * (v2 + e)) - (x - m2) ** 2 / (2 * (v2 + e)) AS s FROM (SELECT row_number() OVER () AS rid, id, l_quantity AS q, l_tax AS x FROM r WHERE NOT ({_DATA})), g, e, t)
+SELECT id, round(1 / (1 + exp(max(s) FILTER (c = 0) - max(s) FILTER (c = 1))), 6) AS prob FROM l GROUP BY rid, id""",
+)
+def model_gaussian_nb(spark, sf_dir):
+    r = _rows(spark, sf_dir)
+    return rounded(models.gaussian_nb(r.where(_DATA), r.where(f"NOT ({_DATA})"), ("l_quantity", "l_tax"), "y").select("id", "prob"))
+
+
+@register(
+    "model_multinomial_nb",
+    f"""WITH {_ROWS}, g AS (SELECT y, count(*) AS n, sum(l_quantity) + 1 AS a, sum(l_tax) + 1 AS b FROM r WHERE {_DATA} GROUP BY 1), t AS (SELECT sum(n) AS t FROM g),
+l AS (SELECT rid, id, c, ln(n / t) + q * ln(a / (a + b)) + x * ln(b / (a + b)) AS s FROM (SELECT row_number() OVER () AS rid, id, l_quantity AS q, l_tax AS x FROM r WHERE NOT ({_DATA})), (SELECT y AS c, n, a, b FROM g), t)
+SELECT id, round(1 / (1 + exp(max(s) FILTER (c = 0) - max(s) FILTER (c = 1))), 6) AS prob FROM l GROUP BY rid, id""",
+)
+def model_multinomial_nb(spark, sf_dir):
+    r = _rows(spark, sf_dir)
+    return rounded(models.multinomial_nb(r.where(_DATA), r.where(f"NOT ({_DATA})"), ("l_quantity", "l_tax"), "y").select("id", "prob"))
+
+
+@register(
+    "model_bernoulli_nb",
+    f"""WITH {_ROWS}, g AS (SELECT y, count(*) AS n, (count(*) FILTER (l_quantity > 20) + 1) / (count(*) + 2) AS a, (count(*) FILTER (l_extendedprice > 20) + 1) / (count(*) + 2) AS b FROM r WHERE {_DATA} GROUP BY 1), t AS (SELECT sum(n) AS t FROM g),
+l AS (SELECT rid, id, c, ln(n / t) + CASE WHEN q > 20 THEN ln(a) ELSE ln(1 - a) END + CASE WHEN x > 20 THEN ln(b) ELSE ln(1 - b) END AS s FROM (SELECT row_number() OVER () AS rid, id, l_quantity AS q, l_extendedprice AS x FROM r WHERE NOT ({_DATA})), (SELECT y AS c, n, a, b FROM g), t)
+SELECT id, round(1 / (1 + exp(max(s) FILTER (c = 0) - max(s) FILTER (c = 1))), 6) AS prob FROM l GROUP BY rid, id""",
+)
+def model_bernoulli_nb(spark, sf_dir):
+    r = _rows(spark, sf_dir)
+    return rounded(models.multinomial_nb(r.where(_DATA), r.where(f"NOT ({_DATA})"), ("l_quantity", "l_extendedprice"), "y", binarize=20.0).select("id", "prob"))
+
+
+@register(
+    "model_knn",
+    f"WITH {PREDICTIONS}, n AS (SELECT a.id, b.y, row_number() OVER (PARTITION BY a.id ORDER BY (a.p - b.p) ** 2 + (a.p2 - b.p2) ** 2, b.id) AS k FROM predictions a, predictions b WHERE a.split = 'test' AND b.split = 'train') SELECT id, round(avg(y), 6) AS prob FROM n WHERE k <= 5 GROUP BY 1",
+)
+def model_knn(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    return rounded(models.knn(p.where("split = 'train'"), p.where("split = 'test'"), ("p", "p2"), "y", "id"))
+
+
+@register(
+    "model_ridge",
+    "WITH m AS (SELECT avg(l_quantity) AS a, avg(l_tax) AS b, avg(l_extendedprice) AS c FROM lineitem), s AS (SELECT sum((l_quantity - a) ** 2) + 1 AS aa, sum((l_quantity - a) * (l_tax - b)) AS ab, sum((l_tax - b) ** 2) + 1 AS bb, sum((l_quantity - a) * (l_extendedprice - c)) AS ac, sum((l_tax - b) * (l_extendedprice - c)) AS bc, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c FROM lineitem, m), k AS (SELECT (ac * bb - bc * ab) / (aa * bb - ab * ab) AS x, (bc * aa - ac * ab) / (aa * bb - ab * ab) AS y, a, b, c FROM s) SELECT round(x, 4) AS l_quantity, round(y, 4) AS l_tax, round(c - x * a - y * b, 4) AS intercept FROM k",
+)
+def model_ridge(spark, sf_dir):
+    fit = models.ridge(_rows(spark, sf_dir), ("l_quantity", "l_tax"), "l_extendedprice")
+    return rounded(spark.createDataFrame([(fit["l_quantity"], fit["l_tax"], fit["intercept"])], "l_quantity double, l_tax double, intercept double"), 4)
+
+
+def _library(name: str, kind: str, y: str, **options):
+    def query(spark, sf_dir):
+        rows = predictions(spark, sf_dir)
+        model = models.train(rows.where("split = 'train'"), name, ("p", "p2"), y, kind, **options)
+        return models.predict(model, rows.where("split = 'test'"), ("id",))
+
+    register(f"model_{kind}_{name.lower()}")(query)
+
+
+for _name, _options in {"DecisionTree": {}, "SVM": {"maxIter": 20}, "MLP": {"hidden": (8,), "maxIter": 20}, "LogisticRegression": {}, "RandomForest": {"numTrees": 10}, "GradientBoosting": {"maxIter": 5}, "XGBoost": {"maxIter": 5}}.items():
+    _library(_name, "classifier", "y", **_options)
+for _name, _options in {"Ridge": {}, "Lasso": {"alpha": 0.01}, "ElasticNet": {"alpha": 0.01}, "RandomForest": {"numTrees": 10}, "GradientBoosting": {"maxIter": 5}}.items():
+    _library(_name, "regressor", "toxic", **_options)
+
+
+@register("survival_kaplan_meier", f"WITH {SURVIVAL}, k AS (SELECT time, sum(event) AS d, count(*) AS n FROM survival GROUP BY 1), r AS (SELECT time, d, sum(n) OVER (ORDER BY time DESC) AS at_risk FROM k) SELECT time, CAST(at_risk AS BIGINT) AS at_risk, CAST(d AS BIGINT) AS events, round(s, 6) AS survival FROM (SELECT *, product(1 - d / at_risk) OVER (ORDER BY time) AS s FROM r) WHERE d > 0")
+def survival_kaplan_meier(spark, sf_dir):
+    return rounded(survival.kaplan_meier(outcomes(spark, sf_dir)))
+
+
+@register("survival_c_index", f"WITH {SURVIVAL} SELECT CAST(count(*) FILTER (a.risk > b.risk) AS BIGINT) AS concordant, CAST(count(*) FILTER (a.risk = b.risk) AS BIGINT) AS tied, count(*) AS comparable, round((count(*) FILTER (a.risk > b.risk) + count(*) FILTER (a.risk = b.risk) / 2.0) / count(*), 6) AS c_index FROM survival a JOIN survival b ON a.event = 1 AND (b.time > a.time OR (b.time = a.time AND b.event = 0))")
+def survival_c_index(spark, sf_dir):
+    return rounded(survival.c_index(outcomes(spark, sf_dir)))
+
+
+@register("survival_log_rank", f"WITH {SURVIVAL}, k AS (SELECT time, sum(event) AS d, count(*) AS n, sum(event) FILTER (subject % 2 = 0) AS d0, count(*) FILTER (subject % 2 = 0) AS n0 FROM survival GROUP BY 1), r AS (SELECT d, coalesce(d0, 0) AS d0, sum(n) OVER (ORDER BY time DESC) AS r, sum(n0) OVER (ORDER BY time DESC) AS r0 FROM k), t AS (SELECT CAST(sum(d0) AS BIGINT) AS observed, sum(d * r0 / r) AS expected, sum(CASE WHEN r > 1 THEN d * (r0 / r) * (1 - r0 / r) * (r - d) / (r - 1) ELSE 0 END) AS variance FROM r WHERE d > 0) SELECT observed, round(expected, 6) AS expected, round(variance, 6) AS variance, round((observed - expected) ** 2 / variance, 6) AS chi2 FROM t")
+def survival_log_rank(spark, sf_dir):
+    return rounded(survival.log_rank(outcomes(spark, sf_dir).withColumn("grp", (F.col("subject") % 2).cast("int")), "grp"))
+
+
+@register("survival_cox")
+def survival_cox(spark, sf_dir):
+    df = outcomes(spark, sf_dir).withColumn("risk", F.col("risk") / 1e5).withColumn("odd", F.col("subject") % 2)
+    fit = survival.cox(df, ("risk", "odd"))
+    return spark.createDataFrame([(n, float(c), float(s)) for n, c, s in zip(("risk", "odd"), fit["coef"], fit["se"], strict=True)], "feature string, coef double, se double")
