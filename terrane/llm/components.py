@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, discard
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     before = _state(edges)
     if before[0]:
         for _ in range(max_rounds):
-            edges = cut(_small_star(_large_star(edges)))
+            last, edges = edges, cut(_small_star(_large_star(edges)))
+            discard(last)
             after = _state(edges)
             if after == before:
                 break

@@ -1,33 +1,13 @@
-"""Lineage cuts in the folder that the whole cluster shares."""
+"""What the operators share: the documents table and cuts in the shared folder."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import cut, discard, release, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where none is named (tests, one machine) a temporary one is set."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="terrane-"))
-    return named or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from reliable storage, with no lineage behind them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "discard", "documents", "release", "shared_dir"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now and not at some later collection of the driver's garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

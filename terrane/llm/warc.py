@@ -58,12 +58,15 @@ def _ordered(parts: Column) -> Column:
 
 
 def tree(archive_leaves: DataFrame, height: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels (archive, node, digest) from the ranges up to the roots; a node's children are bounded by the range or the fanout."""
+    """Levels (archive, node, digest) from the ranges up to the roots; a node's children are bounded by the range or the fanout.
+
+    Each level is cut to the shared folder: it is small, and the descent reads it twice.
+    """
     line = F.concat_ws(":", *(F.col(c).cast("string") for c in ("start", "size", "record", "copy", "digest")))
-    levels = [archive_leaves.groupBy("archive", "node").agg(_ordered(F.struct(F.col("start").alias("place"), F.col("record").alias("also"), F.col("copy").alias("then"), line.alias("text"))).alias("digest"))]
+    levels = [cut(archive_leaves.groupBy("archive", "node").agg(_ordered(F.struct(F.col("start").alias("place"), F.col("record").alias("also"), F.col("copy").alias("then"), line.alias("text"))).alias("digest")))]
     for _ in range(height):
         child = F.struct(F.col("node").alias("place"), F.concat_ws(":", F.col("node").cast("string"), F.col("digest")).alias("text"))
-        levels.append(levels[-1].groupBy("archive", F.floor(F.col("node") / fanout).cast("long").alias("up")).agg(_ordered(child).alias("digest")).withColumnRenamed("up", "node"))
+        levels.append(cut(levels[-1].groupBy("archive", F.floor(F.col("node") / fanout).cast("long").alias("up")).agg(_ordered(child).alias("digest")).withColumnRenamed("up", "node")))
     return levels
 
 
@@ -86,14 +89,14 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     while last >= fanout**height:
         height += 1
     mine, other = (tree(x, height, fanout) for x in sides)
-    bad = _differ(mine[-1], other[-1], ["archive", "node"]).select("archive", "node")
+    bad = cut(_differ(mine[-1], other[-1], ["archive", "node"]).select("archive", "node"))
     for low_mine, low_other in zip(mine[-2::-1], other[-2::-1], strict=True):
         up = bad.select("archive", F.col("node").alias("up"))
         below = []
         for low in (low_mine, low_other):
             low = low.withColumn("up", F.floor(F.col("node") / fanout).cast("long"))
             below.append(low.join(up, ["archive", "up"], "left_semi").drop("up"))
-        bad = _differ(*below, ["archive", "node"]).select("archive", "node")
+        bad = cut(_differ(*below, ["archive", "node"]).select("archive", "node"))
     kept = [x.join(bad, ["archive", "node"], "left_semi") for x in sides]
     a, b = (x.select("archive", "record", "copy", *(F.col(c).alias(f"{side}_{c}") for c in ("start", "size", "digest"))) for x, side in zip(kept, ("primary", "replica"), strict=True))
     both = a.join(b, ["archive", "record", "copy"], "full_outer").where(~F.col("primary_digest").eqNullSafe(F.col("replica_digest")))
