@@ -68,8 +68,7 @@ def binning(n_bins: int = 10, strategy: str = "uniform") -> Method:
         return Method(lambda x: {"low": F.min(x), "high": F.max(x)}, lambda x, s: F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(inside(x, s).cast("double"), F.lit(n_bins - 1.0)))))
     if strategy != "quantile":
         raise ValueError(f"unknown binning strategy {strategy}")
-    at = F.array(*(F.lit(k / n_bins) for k in range(1, n_bins)))
-    return Method(lambda x: {"edges": F.percentile(x, at)}, lambda x, s: F.when(x.isNotNull(), F.size(F.filter(s("edges"), lambda e: e <= x)).cast("double")))
+    return Method(lambda x: {"edges": F.percentile(x, F.array(*(F.lit(k / n_bins) for k in range(1, n_bins))))}, lambda x, s: F.when(x.isNotNull(), F.size(F.filter(s("edges"), lambda e: e <= x)).cast("double")))
 
 
 #: Methods by the name used in specifications.
