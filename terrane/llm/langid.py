@@ -29,6 +29,10 @@ HASH_BITS = 17
 ROUNDS = 8
 PENALTY = 2.0
 MAX_SET = 4
+#: The model is sent to every task, so its size is bounded by so many languages.
+MAX_LANGUAGES = 512
+#: A document is drawn if its hash, one of so many values, is low enough.
+DRAWS = 1 << 40
 UNDETERMINED = "und"
 
 _FLAT = np.where(_SPACE, np.uint8(0x20), _LOWER)
@@ -71,10 +75,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, bits: int = HASH_
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((1 << bits, 0), np.float32), bits)
-    share = F.lit(1_000_000)
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    share = F.lit(DRAWS)
     for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, int(1e6 * per_language / sizes[lang]) + 1))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share).select("lang", "text").repartition(2)
+        share = F.when(F.col("lang") == lang, F.lit(min(DRAWS, DRAWS * per_language // sizes[lang] + 1))).otherwise(share)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(DRAWS)) < share).select("lang", "text").repartition(2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
