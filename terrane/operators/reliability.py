@@ -134,3 +134,61 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = ()) -> DataFra
     raw = ranked.withColumn("__raw", F.col(p) * F.col("__n") / F.col("__r"))
     down = whole.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return raw.withColumn("q", F.least(F.lit(1.0), F.min("__raw").over(down))).drop("__r", "__n", "__raw")
+
+
+def cliffs_delta(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(delta) of group 1 over group 0, from counts by distinct value: pairs are never formed."""
+    n = df.groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == 1).alias("a"), F.count_if(F.col(group) == 0).alias("b")).where("v is not null")
+    upto = F.sum("b").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    won = n.select("a", "b", upto.alias("upto")).select("a", "b", (F.col("a") * (F.col("upto") - F.col("b"))).alias("less"), (F.col("a") * F.col("upto")).alias("most"))
+    total = won.agg(F.sum("less").alias("less"), F.sum("most").alias("most"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    pairs = F.col("na").cast("double") * F.col("nb")
+    return total.select(F.try_divide(F.col("less") - (pairs - F.col("most")), pairs).alias("delta"))
+
+
+def cohens_d(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(d) of group 1 over group 0 with the pooled deviation."""
+    one, two = (F.when(F.col(group) == g, F.col(value)) for g in (1, 0))
+    pooled = ((F.count(one) - 1) * F.var_samp(one) + (F.count(two) - 1) * F.var_samp(two)) / (F.count(one) + F.count(two) - 2)
+    return df.agg(F.try_divide(F.avg(one) - F.avg(two), F.sqrt(pooled)).alias("d"))
+
+
+def wilcoxon(df: DataFrame, a: str, b: str) -> dict[str, float]:
+    """Signed-rank statistic of paired columns and its two-sided p by the normal limit with tie correction; zero differences go."""
+    import math
+
+    from ..functions.dist import normal_sf
+
+    d = F.col(a) - F.col(b)
+    n = df.select(d.alias("d")).where("d is not null and d <> 0").groupBy(F.abs("d").alias("v")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    r = n.withColumn("rank", upto - (F.col("n") - 1) / 2).agg(F.sum(F.col("up") * F.col("rank")).alias("w"), F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double")).alias("t")).first()
+    if not r["n"]:
+        return {"w": 0.0, "p": 1.0}
+    m = r["n"]
+    sd = math.sqrt(m * (m + 1) * (2 * m + 1) / 24 - r["t"] / 48)
+    return {"w": r["w"], "p": min(1.0, 2 * normal_sf(abs(r["w"] - m * (m + 1) / 4) / sd)) if sd else 1.0}
+
+
+def retest_mapping(test: DataFrame, retest: DataFrame, habitat: str, features: Sequence[str]) -> DataFrame:
+    """(test, retest, similarity): for each region of the first table the one of the second whose median profile correlates most, ties to the smaller.
+
+    Medians are one row a region, so the comparison is among a few rows.
+    """
+    profile = lambda df, name: df.groupBy(F.col(habitat).alias(name)).agg(F.array(*(F.median(f) for f in features)).alias(f"m_{name}"))
+    pairs = profile(test, "test").withColumn("__one", F.lit(1)).join(profile(retest, "retest").withColumn("__one", F.lit(1)), "__one")
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
+    a, b = F.col("m_test"), F.col("m_retest")
+    cov = lambda x, y: mean(F.zip_with(x, y, lambda u, v: u * v)) - mean(x) * mean(y)
+    r = F.try_divide(cov(a, b), F.sqrt(cov(a, a) * cov(b, b)))
+    scored = pairs.select("test", "retest", F.coalesce(r, F.lit(-1.0)).alias("similarity"))
+    best = F.row_number().over(Window.partitionBy("test").orderBy(F.desc("similarity"), "retest"))
+    return scored.withColumn("__k", best).where("__k = 1").drop("__k")
+
+
+def precise_features(panels: DataFrame, threshold: float = 0.5, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+    """(feature) whose lower limit reaches the threshold in every experiment of rows (experiment, feature, lcl), plus and minus given names."""
+    kept = panels.groupBy("feature").agg(F.bool_and(F.coalesce(F.col("lcl") >= threshold, F.lit(False))).alias("ok")).where("ok").select("feature")
+    if include:
+        kept = kept.union(panels.sparkSession.createDataFrame([(f,) for f in include], "feature string")).distinct()
+    return kept.where(~F.col("feature").isin(list(exclude))) if exclude else kept

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,60 @@ def cox(df: DataFrame, features: Sequence[str], time: str = "time", event: str =
         if np.abs(step).max() < tol:
             break
     return {"coef": beta, "se": np.sqrt(np.diag(np.linalg.inv(info)))}
+
+
+def censoring(df: DataFrame, time: str = "time", event: str = "event") -> DataFrame:
+    """(time, g): the censoring distribution, by the product of those left uncensored at each censoring time."""
+    flipped = df.select(F.col(time).alias("time"), (1 - F.col(event)).alias("event"))
+    return kaplan_meier(flipped).select("time", F.col("survival").alias("g"))
+
+
+def brier_curve(df: DataFrame, probability: str, times: Sequence[float], time: str = "time", event: str = "event") -> DataFrame:
+    """(t, brier) of predicted survival at ``times``, weighted for censoring.
+
+    ``probability`` is an array with one entry a time.  The censoring steps are few
+    distinct times, found for a row by filtering a constant array.
+    """
+    steps = censoring(df, time, event).orderBy("time").collect()
+    marks = F.array(*(F.struct(F.lit(float(r["time"])).alias("t"), F.lit(float(r["g"])).alias("g")) for r in steps)) if steps else F.array().cast("array<struct<t:double,g:double>>")
+
+    def g(at: object, before: bool = False) -> Column:
+        kept = F.filter(marks, lambda s: s["t"] < at if before else s["t"] <= at)
+        return F.when(F.size(kept) > 0, F.element_at(kept, -1)["g"]).otherwise(1.0)
+
+    cells = []
+    for k, t in enumerate(times):
+        p = F.col(probability)[k]
+        gone = (F.col(time) <= t) & (F.col(event) == 1)
+        part = F.when(gone, F.try_divide(p * p, g(F.col(time).cast("double"), True))).when(F.col(time) > t, F.try_divide((1 - p) * (1 - p), g(F.lit(float(t))))).otherwise(0.0)
+        cells.append(F.struct(F.lit(float(t)).alias("t"), F.avg(part).alias("brier")))
+    return df.agg(F.array(*cells).alias("r")).select(F.inline("r"))
+
+
+def integrated_brier(curve: DataFrame) -> float:
+    """Area under the curve over its span of times, by trapezoids."""
+    rows = sorted((r["t"], r["brier"]) for r in curve.collect())
+    t, b = (np.array(v) for v in zip(*rows, strict=True))
+    return float(np.trapezoid(b, t) / (t[-1] - t[0])) if len(t) > 1 else float(b[0])
+
+
+def time_grid(df: DataFrame, n_times: int = 100, time: str = "time", event: str = "event") -> list[float]:
+    """Evenly placed times from the first event to half a step before the last time."""
+    first, last = df.agg(F.min(F.when(F.col(event) == 1, F.col(time))), F.max(time)).first()
+    if first is None:
+        return []
+    step = (last - first) / n_times
+    return np.linspace(first, last - step / 2, n_times).tolist()
+
+
+def dynamic_auc(df: DataFrame, times: Sequence[float], time: str = "time", event: str = "event", risk: str = "risk") -> DataFrame:
+    """(t, auc): for each time, how well the risk ranks rows with an event by then, weighted for censoring, above rows still at risk."""
+    steps = censoring(df, time, event).orderBy("time").collect()
+    marks = F.array(*(F.struct(F.lit(float(r["time"])).alias("t"), F.lit(float(r["g"])).alias("g")) for r in steps)) if steps else F.array().cast("array<struct<t:double,g:double>>")
+    kept = F.filter(marks, lambda s: s["t"] < F.col(time).cast("double"))
+    weight = F.when(F.col(event) == 1, F.try_divide(F.lit(1.0), F.when(F.size(kept) > 0, F.element_at(kept, -1)["g"]).otherwise(1.0)))
+    at = df.select(F.col(time).alias("time"), F.col(event).alias("event"), F.col(risk).alias("r"), weight.alias("w"), F.explode(F.array(*(F.lit(float(t)) for t in times))).alias("t"))
+    n = at.groupBy("t", "r").agg(F.sum(F.when((F.col("time") <= F.col("t")) & (F.col("event") == 1), F.col("w")).otherwise(0.0)).alias("case"), F.count_if(F.col("time") > F.col("t")).alias("control"))
+    below = F.sum("control").over(Window.partitionBy("t").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("control")
+    won = n.withColumn("won", F.col("case") * (below + F.col("control") / 2))
+    return won.groupBy("t").agg(F.try_divide(F.sum("won"), F.sum("case") * F.sum("control")).alias("auc"))

@@ -1,3 +1,3 @@
 """Registered queries, by theme; importing a module registers its queries."""
 
-from . import evaluation, features, images, modelling, spatial, tabular, texture  # noqa: F401
+from . import advanced, evaluation, features, images, modelling, spatial, tabular, texture  # noqa: F401

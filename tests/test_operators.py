@@ -217,3 +217,102 @@ def test_bootstrap_is_repeatable(spark):
     df = spark.range(200).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") * 7 % 50 / 50.0).alias("p"))
     a, b = (sorted(map(tuple, metrics.bootstrap_auc(df, "y", "p", "id", 10).collect())) for _ in range(2))
     assert a == b and len(a) == 10
+
+
+def _graph_measures_brute(n, edges):
+    """Distances by repeated squaring of reachability, clustering by triples."""
+    a = np.zeros((n, n), int)
+    for x, y in edges:
+        a[x, y] = a[y, x] = 1
+    d = np.where(a, 1.0, np.inf)
+    np.fill_diagonal(d, 0)
+    for k in range(n):
+        d = np.minimum(d, d[:, k : k + 1] + d[k : k + 1])
+    clustering = []
+    for v in range(n):
+        own = np.flatnonzero(a[v])
+        pairs = [(p, q) for p in own for q in own if p < q]
+        clustering.append(np.mean([a[p, q] for p, q in pairs]) if pairs else 0.0)
+    off = ~np.eye(n, dtype=bool)
+    return np.mean(clustering), np.mean(np.where(np.isinf(d[off]), 0, 1 / d[off]))
+
+
+def test_graph_measures_against_brute_force():
+    from terrane.operators import graphs
+
+    rng = np.random.default_rng(11)
+    for n in (3, 7, 12):
+        edges = np.array(sorted({tuple(sorted(map(int, rng.choice(n, 2, replace=False)))) for _ in range(2 * n)}))
+        got = graphs.measures(n, edges)
+        clustering, efficiency = _graph_measures_brute(n, edges)
+        assert got["clustering"] == pytest.approx(clustering) and got["global_efficiency"] == pytest.approx(efficiency)
+        swapped = graphs.swap(edges, 1)
+        assert np.bincount(swapped.ravel(), minlength=n).tolist() == np.bincount(edges.ravel(), minlength=n).tolist()
+        assert len({tuple(e) for e in swapped.tolist()}) == len(edges)
+    path = graphs.measures(3, np.array([[0, 1], [1, 2]]))
+    assert path["betweenness_max"] == 1.0 and path["path_length"] == pytest.approx(4 / 3)
+    assert graphs.measures(1, np.zeros((0, 2), int))["components"] == 1
+
+
+def test_supervoxels_split_planted_groups(spark):
+    from terrane.operators import supervoxels
+
+    rows = [(s, 0, y, x, float(10 * (x >= 5)) + 0.01 * y) for s in (1, 2) for y in range(6) for x in range(10)]
+    df = spark.createDataFrame(rows, "subject long, z int, y int, x int, f double")
+    for method, k in (("kmeans", 2), ("gmm", 2), ("slic", 4)):
+        got = supervoxels.label(df, "subject", ["f"], method, k).collect()
+        assert len(got) == len(rows)
+        if method != "slic":
+            for s in (1, 2):
+                assert len({(r.unit, r.x >= 5) for r in got if r.subject == s}) == 2
+    few = supervoxels.label(df.where("y = 0 and x < 3 and subject = 1"), "subject", ["f"], "kmeans", 50).collect()
+    assert len(few) == 3
+
+
+def test_small_parts_join_the_closest(spark):
+    from terrane.operators import supervoxels
+
+    rows = [(1, 0, 0, x, 1) for x in range(6)] + [(1, 0, 0, 6, 2)] + [(1, 0, 0, x, 3) for x in range(7, 12)]
+    df = spark.createDataFrame(rows, "subject long, z int, y int, x int, label int")
+    got = {r.x: r.label for r in supervoxels.drop_small(df, "subject", 3).collect()}
+    assert got[6] in (1, 3) and set(got.values()) == {1, 3}
+    assert {r.label for r in supervoxels.drop_small(df, "subject", 99).collect()} == {1, 2, 3}
+
+
+def test_logistic_slope_is_recovered(spark):
+    from terrane.operators import selection
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=3000)
+    y = rng.random(3000) < 1 / (1 + np.exp(-(0.3 + 0.9 * x)))
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for a, b, c in zip(x, rng.normal(size=3000), y)], "a double, b double, y int")
+    fit = selection.logistic_wald(df, ["a", "b"], "y")
+    assert abs(fit["a"]["coef"] - 0.9) < 4 * fit["a"]["se"] and fit["a"]["p"] < 1e-6 < fit["b"]["p"]
+    assert selection.stepwise(df, ["a", "b"], "y", "forward")[0] == "a"
+    assert "a" in selection.lasso(df.withColumn("y", F.col("y").cast("double")), ["a", "b"], "y", 3, 4)
+
+
+def test_retest_mapping_finds_the_same_regions(spark):
+    from terrane.operators import reliability as rel
+
+    rows = [(h, float(h * 10 + k), float(5 - h), float(h * h)) for h in (1, 2, 3) for k in range(3)]
+    df = spark.createDataFrame(rows, "habitat int, a double, b double, c double")
+    assert {(r.test, r.retest) for r in rel.retest_mapping(df, df, "habitat", ["a", "b", "c"]).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_icc_file_selection(spark, tmp_path):
+    import json
+
+    from terrane.operators import selection
+
+    path = tmp_path / "icc.json"
+    path.write_text(json.dumps({"a": {"f": 0.9, "g": 0.8, "h": None}, "b": {"f": 0.76, "g": 0.1}}))
+    assert selection.keep_by_icc_files(spark, str(path), ["a", "b"]) == ["f"]
+
+
+def test_brier_without_censoring_is_plain(spark):
+    df = spark.createDataFrame([(1, 1, [0.2, 0.1]), (5, 1, [0.9, 0.3])], "time int, event int, p array<double>")
+    got = {r.t: r.brier for r in survival.brier_curve(df, "p", [2.0, 6.0]).collect()}
+    assert got == {2.0: pytest.approx((0.04 + 0.01) / 2), 6.0: pytest.approx((0.01 + 0.09) / 2)}
+    assert survival.integrated_brier(survival.brier_curve(df, "p", [2.0, 6.0])) == pytest.approx((0.025 + 0.05) / 2)
+    assert {r.t: r.auc for r in survival.dynamic_auc(df.withColumn("risk", -F.col("time")), [2.0]).collect()} == {2.0: 1.0}
