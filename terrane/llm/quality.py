@@ -35,15 +35,16 @@ class Band:
 
 
 #: Bands by script.  Byte-level vocabularies spend more tokens on scripts that they
-#: saw little of, hence the wider limits beyond Latin letters.
+#: saw little of, hence the wider limits beyond Latin letters.  Prose of MIN_TOKENS
+#: tokens has well over four bits of entropy; loops and single-symbol filler have less.
 BANDS = {
-    "latin": Band(1.15, 8.0, 0.20, 2.0),
-    "cyrillic": Band(0.8, 8.0, 0.20, 2.0),
-    "greek": Band(0.4, 8.0, 0.40, 2.0),
-    "arabic": Band(0.4, 8.0, 0.50, 2.0),
-    "hebrew": Band(0.4, 8.0, 0.50, 2.0),
-    "han": Band(0.3, 4.0, 0.75, 2.0),
-    "other": Band(0.2, 8.0, 0.95, 1.5),
+    "latin": Band(1.3, 8.0, 0.20, 3.5),
+    "cyrillic": Band(0.8, 8.0, 0.20, 3.5),
+    "greek": Band(0.4, 8.0, 0.40, 3.5),
+    "arabic": Band(0.4, 8.0, 0.50, 3.0),
+    "hebrew": Band(0.4, 8.0, 0.50, 3.0),
+    "han": Band(0.3, 4.0, 0.75, 3.0),
+    "other": Band(0.2, 8.0, 0.95, 2.5),
 }
 #: Texts of fewer tokens are too short to be judged by fertility.
 MIN_TOKENS = 64
