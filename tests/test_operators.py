@@ -316,3 +316,30 @@ def test_brier_without_censoring_is_plain(spark):
     assert got == {2.0: pytest.approx((0.04 + 0.01) / 2), 6.0: pytest.approx((0.01 + 0.09) / 2)}
     assert survival.integrated_brier(survival.brier_curve(df, "p", [2.0, 6.0])) == pytest.approx((0.025 + 0.05) / 2)
     assert {r.t: r.auc for r in survival.dynamic_auc(df.withColumn("risk", -F.col("time")), [2.0]).collect()} == {2.0: 1.0}
+
+
+def test_radiomics_by_label_and_voxel(spark):
+    from terrane.operators import radiomics
+
+    grid = np.random.default_rng(7).integers(1, 5, (3, 4, 4))
+    rows = [(1, z, y, x, int(v), int(1 + (x >= 2))) for (z, y, x), v in np.ndenumerate(grid)]
+    df = spark.createDataFrame(rows, "subject long, z int, y int, x int, v double, label int".replace("v double", "v long")).withColumn("v", F.col("v").cast("double"))
+    wide = radiomics.each_label(df, "subject", "label", "v", 1.0, (1, 2, 9), ("firstorder", "glcm")).first()
+    assert wide.has_habitat_1 == 1 and wide.has_habitat_9 == 0 and wide.habitat_9_glcm_contrast is None
+    own = grid[:, :, :2]
+    assert wide.habitat_1_firstorder_mean == pytest.approx(own.mean())
+    pairs = [(own[i], own[j]) for i in np.ndindex(own.shape) for j in np.ndindex(own.shape) if 0 < max(abs(a - b) for a, b in zip(i, j)) <= 1]
+    assert wide.habitat_1_glcm_contrast == pytest.approx(np.mean([(a - b) ** 2 for a, b in pairs]))
+    voxel = {(r.z, r.y, r.x): r for r in radiomics.voxel_features(df, "subject", "v", 1.0, 1, ("firstorder",)).collect()}
+    assert len(voxel) == grid.size and voxel[0, 0, 0].firstorder_mean == pytest.approx(grid[:2, :2, :2].mean())
+
+
+def test_comparison_helpers(spark):
+    from terrane.plans import comparison
+
+    assert comparison.training_split(["test", "Train set", "val"]) == "Train set" and comparison.training_split(["a"]) is None
+    df = spark.createDataFrame([(i, i % 2, (i % 2) * 0.5 + 0.01 * i, 0.5) for i in range(20)], "id long, y int, a double, b double")
+    (row,) = comparison.pairwise(df, ["a", "b"], "y", "id")
+    assert row["auc_a"] == 1.0 and row["auc_b"] == 0.5 and row["p"] < 1e-6
+    best = comparison.closest_to_targets(df, "y", "a", {"sensitivity": 1.0, "specificity": 1.0}).first()
+    assert best.distance == 0.0
