@@ -190,9 +190,10 @@ def delong(df: DataFrame, y: str, scores: Sequence[str], row: str) -> DataFrame:
 
 
 def delong_test(row: dict) -> tuple[float, float]:
-    """(z, two-sided p) of a pair that :func:`delong` returned."""
+    """(z, two-sided p) of a pair that :func:`delong` returned; without any variance a difference is certain."""
     var = row["variance_a"] + row["variance_b"] - 2 * row["covariance"]
-    z = (row["auc_a"] - row["auc_b"]) / math.sqrt(var) if var > 0 else 0.0
+    gap = row["auc_a"] - row["auc_b"]
+    z = gap / math.sqrt(var) if var > 0 else math.copysign(math.inf, gap) if gap else 0.0
     return z, 2 * normal_sf(abs(z))
 
 
