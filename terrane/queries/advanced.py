@@ -127,7 +127,7 @@ def test_wilcoxon(spark, sf_dir):
 @register("retest_mapping")
 def retest_mapping(spark, sf_dir):
     i = table(spark, sf_dir, "lineitem").withColumn("habitat", (1 + F.col("l_quantity").cast("int") % 3).cast("int"))
-    return reliability.retest_mapping(i.where("l_orderkey % 2 = 0"), i.where("l_orderkey % 2 = 1"), "habitat", ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    return reliability.retest_mapping(i.where("l_linestatus = 'F'"), i.where("l_linestatus <> 'F'"), "habitat", ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
 
 
 @register("precise_features", "SELECT p_brand AS feature FROM part GROUP BY 1 HAVING bool_and(p_size >= 1) AND min(p_retailprice) >= 900")

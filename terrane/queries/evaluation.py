@@ -172,17 +172,15 @@ def kappa_cohen(spark, sf_dir):
     return rounded(reliability.cohen_kappa(table(spark, sf_dir, "labels"), "quality", "toxic"))
 
 
-_RATED = "r AS (SELECT user_id % 100 AS item, event_type AS category FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 100 ORDER BY event_id) AS k FROM events) WHERE k <= 20)"
+_RATED = "r AS (SELECT l_orderkey AS item, l_returnflag AS category FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 4))"
 
 
 @register("kappa_fleiss", f"WITH {_RATED}, c AS (SELECT item, category, count(*) AS n FROM r GROUP BY ALL), i AS (SELECT item, sum(n) AS m, sum(n * n) AS s FROM c GROUP BY 1), s AS (SELECT sum((t / a) ** 2) AS pe FROM (SELECT category, sum(n) AS t, sum(sum(n)) OVER () AS a FROM c GROUP BY 1)) SELECT count(*) AS items, round((avg((s - m) / (m * (m - 1))) - any_value(pe)) / (1 - any_value(pe)), 6) AS kappa FROM i, s")
 def kappa_fleiss(spark, sf_dir):
-    """Twenty ratings of each item: the operator wants equal numbers."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "events").withColumn("item", F.col("user_id") % 100)
-    first = e.withColumn("k", F.row_number().over(Window.partitionBy("item").orderBy("event_id"))).where("k <= 20")
-    return rounded(reliability.fleiss_kappa(first, "item", "event_type"))
+    """Orders with four lines are items with four ratings: the operator wants equal numbers."""
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_returnflag").alias("category"))
+    full = i.groupBy("item").count().where("count = 4").select("item")
+    return rounded(reliability.fleiss_kappa(i.join(full, "item", "left_semi"), "item", "category"))
 
 
 @register("krippendorff_alpha", f"WITH {SESSIONS}, d AS (SELECT a.subject, sum((a.value - b.value) ** 2) / 2.0 AS s FROM sessions a JOIN sessions b USING (subject) GROUP BY 1), g AS (SELECT count(*) AS n, 2 * (count(*) * sum(value * value) - sum(value) ** 2) / (count(*) * (count(*) - 1.0)) AS de FROM sessions) SELECT round(1 - (SELECT sum(s) FROM d) / n / de, 6) AS alpha FROM g")

@@ -69,14 +69,14 @@ def prep_chain_cohort(spark, sf_dir):
 
 @register(
     "prep_train_fitted_table",
-    f"""WITH s AS (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS d FROM lineitem WHERE l_orderkey % 4 <> 0)
-SELECT {_KEYS}, round((l_extendedprice - m) / d, 6) AS l_extendedprice FROM lineitem, s WHERE l_orderkey % 4 = 0""",
+    f"""WITH s AS (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS d FROM lineitem WHERE l_returnflag <> 'R')
+SELECT {_KEYS}, round((l_extendedprice - m) / d, 6) AS l_extendedprice FROM lineitem, s WHERE l_returnflag = 'R'""",
 )
 def prep_train_fitted_table(spark, sf_dir):
     """A table step learned on training rows and replayed on the others."""
-    df = unit_rows(spark, sf_dir)
-    chain = prep.Chain([("zscore", {})], _ONE).fit(df.where("l_orderkey % 4 <> 0"))
-    return rounded(chain.transform(df.where("l_orderkey % 4 = 0")).select(*KEYS, *_ONE))
+    df = table(spark, sf_dir, "lineitem").select(*KEYS, "l_returnflag", *_ONE)
+    chain = prep.Chain([("zscore", {})], _ONE).fit(df.where("l_returnflag <> 'R'"))
+    return rounded(chain.transform(df.where("l_returnflag = 'R'")).select(*KEYS, *_ONE))
 
 
 @register("prep_variance_filter", "SELECT round(var_samp(l_extendedprice), 2) AS variance, 'l_extendedprice' AS feature FROM lineitem UNION ALL SELECT round(var_samp(l_quantity), 2), 'l_quantity' FROM lineitem")

@@ -142,12 +142,11 @@ def graph_metrics(spark, sf_dir):
 
 
 def _moved(spark, sf_dir):
-    """The same map with one label in seven cells changed and one cell in eleven lost."""
-    key = F.col("z") * 10000 + F.col("y") * 100 + F.col("x")
-    return cells(spark, sf_dir).where(key % 11 != 3).withColumn("label", F.when(key % 7 == 2, F.col("label") % 3 + 1).otherwise(F.col("label")).cast("int"))
+    """The same map without its last slice, and relabelled where the second intensity is high."""
+    return cells(spark, sf_dir).where("z < 7").withColumn("label", F.when(F.col("tax") > 0.06, F.col("label") % 3 + 1).otherwise(F.col("label")).cast("int"))
 
 
-_MOVED = "moved AS (SELECT subject, z, y, x, CAST(CASE WHEN (z * 10000 + y * 100 + x) % 7 = 2 THEN label % 3 + 1 ELSE label END AS INTEGER) AS label FROM cells WHERE (z * 10000 + y * 100 + x) % 11 <> 3)"
+_MOVED = "moved AS (SELECT subject, z, y, x, CAST(CASE WHEN tax > 0.06::DOUBLE THEN label % 3 + 1 ELSE label END AS INTEGER) AS label FROM cells WHERE z < 7)"
 
 
 @register("label_overlap", f"WITH {CELLS}, {_MOVED} SELECT c.subject, c.label AS label_a, m.label AS label_b, count(*) AS n FROM cells c JOIN moved m USING (subject, z, y, x) GROUP BY ALL")

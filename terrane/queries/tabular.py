@@ -31,24 +31,24 @@ def merge_tables_inner(spark, sf_dir):
     return tables.merge({"orders": _by_customer(spark, sf_dir), "account": _customers(spark, sf_dir)}, ("id",))
 
 
-@register("merge_tables_outer", f"WITH {_A}, {_B} SELECT id, a.n, top, balance, b.n AS n__account FROM a FULL JOIN (SELECT * FROM b WHERE id % 3 <> 0) b USING (id)")
+@register("merge_tables_outer", f"WITH {_A}, {_B} SELECT id, a.n, top, balance, b.n AS n__account FROM a FULL JOIN (SELECT * FROM b WHERE balance > 0) b USING (id)")
 def merge_tables_outer(spark, sf_dir):
-    return tables.merge({"orders": _by_customer(spark, sf_dir), "account": _customers(spark, sf_dir).where("id % 3 <> 0")}, ("id",), "outer")
+    return tables.merge({"orders": _by_customer(spark, sf_dir), "account": _customers(spark, sf_dir).where("balance > 0")}, ("id",), "outer")
 
 
-@register("load_feature_table", f"WITH {_A}, {_B}, c AS (SELECT id, n AS label, top FROM a WHERE id % 2 = 0), d AS (SELECT id, n AS label, balance FROM b) SELECT id, top AS orders_top, balance AS account_balance, coalesce(c.label, d.label) AS label FROM c FULL JOIN d USING (id)")
+@register("load_feature_table", f"WITH {_A}, {_B}, c AS (SELECT id, n AS label, top FROM a WHERE n >= 9), d AS (SELECT id, n AS label, balance FROM b) SELECT id, top AS orders_top, balance AS account_balance, coalesce(c.label, d.label) AS label FROM c FULL JOIN d USING (id)")
 def load_feature_table(spark, sf_dir):
-    a = _by_customer(spark, sf_dir).where("id % 2 = 0").withColumnRenamed("n", "label")
+    a = _by_customer(spark, sf_dir).where("n >= 9").withColumnRenamed("n", "label")
     return tables.load_feature_table({"orders": a, "account": _customers(spark, sf_dir).withColumnRenamed("n", "label")}, "id", "label")
 
 
-_P = "p AS (SELECT doc_id AS subject_id, quality AS label, (doc_id * 13 % 101) / 101.0::DOUBLE AS prob FROM labels)"
+_P = "p AS (SELECT doc_id AS subject_id, quality AS label, toxic, (doc_id * 13 % 101) / 101.0::DOUBLE AS prob FROM labels)"
 
 
-@register("merge_predictions", f"WITH {_P}, a AS (SELECT subject_id, label, round(prob, 6) AS first_prob FROM p WHERE subject_id % 3 <> 0), b AS (SELECT subject_id, label, round(1 - prob, 6) AS second_prob FROM p WHERE subject_id % 5 <> 0) SELECT subject_id, label, first_prob, second_prob FROM a FULL JOIN b USING (subject_id, label)")
+@register("merge_predictions", f"WITH {_P}, a AS (SELECT subject_id, label, round(prob, 6) AS first_prob FROM p WHERE toxic = 0), b AS (SELECT subject_id, label, round(1 - prob, 6) AS second_prob FROM p WHERE label = 1) SELECT subject_id, label, first_prob, second_prob FROM a FULL JOIN b USING (subject_id, label)")
 def merge_predictions(spark, sf_dir):
-    p = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("subject_id"), F.col("quality").alias("label"), (F.col("doc_id") * 13 % 101 / 101.0).alias("prob"))
-    return rounded(tables.merge_predictions({"first": p.where("subject_id % 3 <> 0"), "second": p.where("subject_id % 5 <> 0").withColumn("prob", 1 - F.col("prob"))}))
+    p = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("subject_id"), F.col("quality").alias("label"), "toxic", (F.col("doc_id") * 13 % 101 / 101.0).alias("prob"))
+    return rounded(tables.merge_predictions({"first": p.where("toxic = 0"), "second": p.where("label = 1").withColumn("prob", 1 - F.col("prob"))}))
 
 
 @register("select_rows_by_id", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3 AND c_custkey IN (SELECT o_custkey FROM orders))")

@@ -28,7 +28,7 @@ def _plain(value):
 def _sorted(columns: list[str], rows: list[tuple]) -> list[tuple]:
     order = sorted(range(len(columns)), key=lambda k: columns[k])
     plain = [tuple(_plain(r[k]) for k in order) for r in rows]
-    return sorted(plain, key=lambda r: tuple((v is None, str(type(v)), v if not isinstance(v, float) else round(v, 5)) if not isinstance(v, list | dict) else (False, "", str(v)) for v in r))
+    return sorted(plain, key=lambda r: tuple((v is None, str(type(v)), v if not isinstance(v, float) else round(v, 6)) if not isinstance(v, list | dict) else (False, "", str(v)) for v in r))
 
 
 def differences(got, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
