@@ -244,7 +244,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     """One row per row of ``docs`` (see SCHEMA): counts and log10 probabilities of whole texts, learned where ``held_out`` is false.
 
     Null texts are empty and have one token, the end.  Repeated rows count as often
-    as they occur and come out as often; a null id stays null; an empty table gives
+    as they occur and come out as often; a null id stays null and is no held-out row; an empty table gives
     no rows; extra columns are not read.  With nothing to learn from every
     probability is that of the one unknown word.
     """
