@@ -81,3 +81,31 @@ def align(overlap_counts: Sequence[tuple[int, int, int]]) -> dict[int, int]:
     for x, y, n in overlap_counts:
         cost[a.index(x), b.index(y)] -= n
     return {b[j]: a[i] for i, j in assign(cost)}
+
+
+def silhouette(df: DataFrame, features: Sequence[str], label: str, row: str, sample: int = 10_000) -> float:
+    """Mean Euclidean silhouette of at most about ``sample`` rows, drawn evenly by a hash of the row id; 0 with one label.
+
+    The sample is the feature: the measure compares all pairs of what it is given.
+    """
+    n = df.count()
+    share = min(1.0, sample / max(n, 1))
+    rows = df.where(F.pmod(F.xxhash64(row, F.lit(41)), F.lit(1 << 40)) < int(share * (1 << 40))).select(label, *features).collect()
+    x = np.array([[float(r[f]) for f in features] for r in rows])
+    _, at = np.unique([str(r[label]) for r in rows], return_inverse=True)
+    k = int(at.max()) + 1 if len(at) else 0
+    if k < 2:
+        return 0.0
+    size = np.bincount(at)
+    total = 0.0
+    for low in range(0, len(x), 256):
+        d = np.sqrt(((x[low : low + 256, None] - x[None]) ** 2).sum(2))
+        mean = np.stack([d[:, at == j].sum(1) for j in range(k)], 1)
+        own = at[low : low + 256]
+        i = np.arange(len(own))
+        inside = mean[i, own] / np.maximum(size[own] - 1, 1)
+        other = mean / size
+        other[i, own] = np.inf
+        outside = other.min(1)
+        total += np.where(size[own] > 1, (outside - inside) / np.maximum(np.maximum(outside, inside), 1e-300), 0.0).sum()
+    return float(total / len(x))

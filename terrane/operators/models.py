@@ -149,6 +149,36 @@ def knn(train_rows: DataFrame, df: DataFrame, features: Sequence[str], y: str, r
     return df.select(row, *(F.col(f).cast("double").alias(f) for f in features)).mapInArrow(run, f"{row} long, prob double")
 
 
+def adaboost(train_rows: DataFrame, df: DataFrame, features: Sequence[str], y: str, rounds: int = 50, rate: float = 1.0, cuts: int = 32) -> DataFrame:
+    """The rows with ``prob`` of class 1: weighted votes of stumps, each fitted to what the ones before got wrong.
+
+    Row weights are a column expression of the stumps so far, so no weights are
+    stored.  Cuts lie at exact percentiles; a round is one pass of weight sums.
+    """
+    at = train_rows.agg(*(F.percentile(f, F.array(*(F.lit(k / cuts) for k in range(1, cuts)))).alias(f) for f in features)).first()
+    places = [(k, float(t)) for k, f in enumerate(features) for t in sorted(set(at[f]))]
+    stumps: list[tuple[float, int, float, float]] = []
+
+    def margin() -> Column:
+        return sum((F.when(F.col(features[c]) <= t, -side * w).otherwise(side * w) for w, c, t, side in stumps), F.lit(0.0))
+
+    sign = F.when(F.col(y) == 1, 1.0).otherwise(-1.0)
+    for _ in range(rounds):
+        weighted = train_rows.select(*features, (F.exp(-sign * margin()) * sign).alias("__w"))
+        row = weighted.agg(F.sum(F.abs("__w")), F.sum("__w"), *(F.sum(F.when(F.col(features[c]) <= t, F.col("__w")).otherwise(0.0)) for c, t in places)).first()
+        total, balance = row[0], row[1]
+        # agreement of "above the cut is class 1": weight of hits less weight of misses
+        agree = [balance - 2 * low for low in row[2:]]
+        best = max(range(len(places)), key=lambda k: abs(agree[k]), default=None)
+        if best is None or not agree[best]:
+            break
+        error = min(max((1 - abs(agree[best]) / total) / 2, 1e-10), 0.5)
+        stumps.append((rate * 0.5 * float(np.log((1 - error) / error)), *places[best], 1.0 if agree[best] > 0 else -1.0))
+        if error <= 1e-10:
+            break
+    return df.withColumn("prob", 1 / (1 + F.exp(-2 * margin())))
+
+
 def ridge(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0) -> dict[str, float]:
     """Coefficients and intercept in closed form from centred sums of one pass."""
     names = [*features, y]

@@ -75,6 +75,31 @@ def glcm_features(matrix: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.withColumns({"correlation": correlation, "imc1": imc1, "imc2": imc2}).drop("__var", "__hx", "__hxy1", "__hxy2")
 
 
+def maximal_correlation(matrix: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(groups, mcc): the root of the second largest eigenvalue of the levels' transition products.
+
+    A group's table has at most the square of its levels, so one task holds it.
+    """
+    import numpy as np
+    import pandas as pd
+
+    keys = list(by)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        levels, at = np.unique(np.concatenate([pdf["i"], pdf["j"]]), return_inverse=True)
+        p = np.zeros((len(levels), len(levels)))
+        np.add.at(p, (at[: len(pdf)], at[len(pdf) :]), pdf["n"])
+        p /= p.sum()
+        px, py = p.sum(1) + EPS, p.sum(0) + EPS
+        q = (p / px[:, None]) @ (p / py[None]).T
+        values = np.sort(np.linalg.eigvals(q).real)
+        mcc = float(np.sqrt(max(values[-2], 0.0))) if len(values) > 1 else 1.0
+        return pdf[keys].head(1).assign(mcc=mcc)
+
+    kinds = ", ".join(f"{k} {matrix.schema[k].dataType.simpleString()}" for k in keys)
+    return matrix.groupBy(*keys).applyInPandas(run, f"{kinds}, mcc double")
+
+
 def gldm(cells: DataFrame, by: Sequence[str], alpha: int = 0) -> DataFrame:
     """(groups, level, size, n): cells by level and by how many neighbours, itself included, differ by at most alpha."""
     keys = list(by)

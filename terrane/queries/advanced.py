@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..operators import graphs, reliability, selection, spatial, supervoxels, survival
-from .inputs import CELLS, FEATURES, SESSIONS, SURVIVAL, cells, rounded, sessions, table
+from ..operators import cluster, graphs, images, models, reliability, selection, spatial, supervoxels, survival, texture
+from .inputs import CELLS, FEATURES, SESSIONS, SURVIVAL, cells, predictions, rounded, sessions, table
 from .inputs import survival as outcomes
+from .modelling import _E, _points
 from .spatial import _CENTROID_EDGES, _CENTRES, _blocks
+from .texture import _levels
 
 X = ("l_quantity", "l_extendedprice", "l_tax")
 
@@ -160,3 +162,29 @@ def survival_brier(spark, sf_dir):
 @register("survival_dynamic_auc", f"{_G} SELECT t, round(sum(CASE WHEN a.risk > b.risk THEN 1 / a.gi WHEN a.risk = b.risk THEN 0.5 / a.gi ELSE 0 END) / (SELECT sum(1 / c.gi) FROM w c WHERE c.time <= t AND c.event = 1) / (SELECT count(*) FROM w d WHERE d.time > t), 6) AS auc FROM t, w a, w b WHERE a.time <= t AND a.event = 1 AND b.time > t GROUP BY t")
 def survival_dynamic_auc(spark, sf_dir):
     return rounded(survival.dynamic_auc(outcomes(spark, sf_dir), _GRID))
+
+
+@register("image_quarter_turn", f"WITH {CELLS}, b AS (SELECT subject, max(y) + min(y) AS my, max(x) + min(x) AS mx FROM cells GROUP BY 1) SELECT a.subject, a.z, a.y, a.x, round(coalesce(c.tax, 0.0), 6) AS tax FROM cells a JOIN b USING (subject) LEFT JOIN cells c ON c.subject = a.subject AND c.z = a.z AND 2 * c.y = my + (2 * a.x - mx) AND 2 * c.x = mx - (2 * a.y - my)")
+def image_quarter_turn(spark, sf_dir):
+    return rounded(images.rigid(cells(spark, sf_dir), ("subject",), "tax", 90.0))
+
+
+@register("image_rigid")
+def image_rigid(spark, sf_dir):
+    return rounded(images.rigid(cells(spark, sf_dir), ("subject",), "tax", 0.5, (0.0, 0.25, 0.5)))
+
+
+@register("cluster_silhouette")
+def cluster_silhouette(spark, sf_dir):
+    return spark.createDataFrame([(cluster.silhouette(_points(spark, sf_dir), _E, "label", "vec_id"),)], "silhouette double")
+
+
+@register("model_classifier_adaboost")
+def model_classifier_adaboost(spark, sf_dir):
+    rows = predictions(spark, sf_dir)
+    return models.adaboost(rows.where("split = 'train'"), rows.where("split = 'test'"), ("p", "p2"), "y", rounds=5).select("id", "prob")
+
+
+@register("texture_glcm_mcc")
+def texture_glcm_mcc(spark, sf_dir):
+    return texture.maximal_correlation(texture.glcm(_levels(spark, sf_dir), ["subject"]), ["subject"])

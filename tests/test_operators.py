@@ -343,3 +343,37 @@ def test_comparison_helpers(spark):
     assert row["auc_a"] == 1.0 and row["auc_b"] == 0.5 and row["p"] < 1e-6
     best = comparison.closest_to_targets(df, "y", "a", {"sensitivity": 1.0, "specificity": 1.0}).first()
     assert best.distance == 0.0
+
+
+def test_silhouette_against_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 1, (20, 2)), rng.normal(4, 1, (15, 2))])
+    lab = [0] * 20 + [1] * 15
+    df = spark.createDataFrame([(i, int(l), float(a), float(b)) for i, (l, (a, b)) in enumerate(zip(lab, x))], "id long, l int, a double, b double")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    s = []
+    for i, own in enumerate(lab):
+        same = [j for j in range(35) if lab[j] == own and j != i]
+        other = [j for j in range(35) if lab[j] != own]
+        p, q = d[i, same].mean(), d[i, other].mean()
+        s.append((q - p) / max(p, q))
+    assert cluster.silhouette(df, ["a", "b"], "l", "id") == pytest.approx(np.mean(s))
+    assert cluster.silhouette(df.where("l = 0"), ["a", "b"], "l", "id") == 0.0
+
+
+def test_adaboost_beats_one_stump(spark):
+    rows = [(i, int((i % 20 < 7) or (i % 20 >= 14)), float(i % 20)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, y int, a double")
+    got = models.adaboost(df, df, ["a"], "y", rounds=10).collect()
+    assert np.mean([(r.prob >= 0.5) == (r.y == 1) for r in got]) > 0.95
+
+
+def test_rigid_by_nothing_and_mcc_of_a_checkerboard(spark):
+    from terrane.operators import images
+
+    grid = np.indices((3, 4, 4)).sum(0) % 2 + 1
+    cells = _cells(spark, grid).withColumn("v", F.col("label").cast("double"))
+    same = {(r.z, r.y, r.x): r.v for r in images.rigid(cells, ["subject"], "v").collect()}
+    assert same == {i: float(v) for i, v in np.ndenumerate(grid)}
+    flat = texture.maximal_correlation(spark.createDataFrame([(1, 1, 2, 10), (1, 2, 1, 10)], "subject long, i int, j int, n long"), ["subject"]).first()
+    assert flat.mcc == pytest.approx(1.0)
