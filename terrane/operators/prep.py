@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 
 def finite(value: Column) -> Column:
@@ -125,7 +127,9 @@ class Chain:
     def fit(self, df: DataFrame) -> Chain:
         df, self.states = self._checked(df), []
         for method in self._methods():
-            self.states.append(fit(df, self.features, method, self.by))
+            state = fit(df, self.features, method, self.by)
+            # a state by group is written out: else every step would learn all steps before it again
+            self.states.append(cut(state) if self.by else state)
             df = apply(df, self.states[-1], self.features, method, self.by)
         return self
 

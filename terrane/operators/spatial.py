@@ -33,12 +33,11 @@ def _shifted(cells: DataFrame, offsets: Sequence[tuple[int, int, int]], keep: Se
 
 
 def volumes(cells: DataFrame, subject: str, labels: Sequence[int]) -> DataFrame:
-    """(subject, label, voxels, fraction) for every subject and every one of the labels, absent ones with 0."""
-    counted = cells.where("label <> 0").groupBy(subject, "label").agg(F.count("*").alias("voxels"))
-    every = cells.select(subject).distinct().select(subject, F.explode(F.array(*map(F.lit, labels))).alias("label"))
-    filled = every.join(counted, [subject, "label"], "left").na.fill({"voxels": 0})
-    total = F.sum("voxels").over(Window.partitionBy(subject))
-    return filled.withColumn("fraction", F.when(total > 0, F.col("voxels") / total).otherwise(0.0))
+    """(subject, label, voxels, fraction) for every subject and every one of the labels, absent ones with 0, in one pass."""
+    counted = cells.groupBy(subject).agg(F.array(*(F.struct(F.lit(k).alias("label"), F.count_if(F.col("label") == k).alias("voxels")) for k in labels)).alias("c"))
+    total = F.aggregate("c", F.lit(0).cast("long"), lambda t, x: t + x["voxels"])
+    long = counted.select(subject, total.alias("t"), F.inline("c"))
+    return long.select(subject, "label", "voxels", F.when(F.col("t") > 0, F.col("voxels") / F.col("t")).otherwise(0.0).alias("fraction"))
 
 
 def interaction(cells: DataFrame, subject: str) -> DataFrame:

@@ -30,10 +30,15 @@ def _all_offsets() -> list[tuple[int, int, int]]:
 
 
 def glcm(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(groups, i, j, n): levels of neighbouring cells of a region in all 26 directions, hence symmetric."""
-    a = cells.select(*by, *KEY, F.col("level").alias("i"))
-    beside = _shifted(a, _all_offsets(), [*by, "i"])
-    return beside.join(cells.select(*by, *KEY, F.col("level").alias("j")), [*by, *KEY]).groupBy(*by, "i", "j").agg(F.count("*").alias("n"))
+    """(groups, i, j, n): levels of neighbouring cells of a region in all 26 directions, hence symmetric.
+
+    Only one of each two opposite directions is joined; the other is its mirror image.
+    """
+    keys = list(by)
+    beside = _shifted(cells.select(*keys, *KEY, F.col("level").alias("i")), half_offsets("corner"), [*keys, "i"])
+    half = beside.join(cells.select(*keys, *KEY, F.col("level").alias("j")), [*keys, *KEY]).groupBy(*keys, "i", "j").agg(F.count("*").alias("n"))
+    both = half.select(*keys, "n", F.inline(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))))
+    return both.groupBy(*keys, "i", "j").agg(F.sum("n").alias("n"))
 
 
 def _entropy(p: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import cluster, prep, spatial
+from ..storage import cut
 from .inputs import rounded, units
 
 FEATURES = ("l_quantity", "l_extendedprice", "l_discount")
@@ -34,6 +35,7 @@ SELECT g.l_suppkey, g.habitat, coalesce(n.n, 0) AS voxels, round(coalesce(n.n, 0
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = units(spark, sf_dir).select("l_suppkey", *FEATURES)
     for method in (prep.winsorize(), prep.minmax()):
-        rows = prep.apply(rows, prep.fit(rows, FEATURES, method, ["l_suppkey"]), FEATURES, method, ["l_suppkey"])
+        state = cut(prep.fit(rows, FEATURES, method, ["l_suppkey"]))
+        rows = prep.apply(rows, state, FEATURES, method, ["l_suppkey"])
     regions = cluster.nearest(rows, FEATURES, CENTROIDS).withColumnRenamed("habitat", "label")
     return rounded(spatial.volumes(regions.select("l_suppkey", "label"), "l_suppkey", (1, 2, 3)).withColumnRenamed("label", "habitat")).select("l_suppkey", F.col("habitat"), "voxels", "fraction")
