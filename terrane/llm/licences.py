@@ -57,6 +57,8 @@ KNOWN = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+#: Digest rows (about 100 bytes each) up to which the known licences are broadcast.
+BROADCAST_ROWS = 100_000
 #: ASCII other than letters and digits, no-break space and general punctuation.
 _MARKS = "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f\u00a0\u2000-\u206f]+"
 _COPYRIGHT = "^(copyright (c |by |[0-9]{4})|c [0-9]{4}|all rights reserved$)"
@@ -111,7 +113,9 @@ def scan(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col:
     else:
         seen = F.lit("")
     rows = lines.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("canonical_sha256"), seen.alias("notice_ids"))
-    joined = rows.join(found, rows.canonical_sha256 == found.digest, "left")
+    # a collection of counted size goes to every task; a larger one is joined by shuffled digests
+    known_digests = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    joined = rows.join(known_digests, rows.canonical_sha256 == F.col("digest"), "left")
     return joined.select("doc_id", "canonical_sha256", "licence_id", "notice_ids")
 
 
