@@ -112,6 +112,28 @@ def test_blocks_agree(spark):
     assert one == many
 
 
+def test_more_items_than_dimensions(spark):
+    """2,000 items in one block: verbatim and paraphrased leaks in long documents, all found."""
+    rng = random.Random(11)
+    rare = [f"w{k}" for k in range(20_000)]
+    draw = lambda n: _passage(rng, rare, n)
+    items = [(k, draw(rng.randint(15, 30))) for k in range(2000)]
+    rows, truth = [], set()
+    for doc in range(300):
+        item, part = items[doc * 6]
+        if doc % 2:
+            part = [rng.choice(rare) if rng.random() < 1 / 8 else w for w in part if rng.random() > 1 / 12]
+        words, at = draw(400), rng.randint(100, 300)
+        words[at:at] = part
+        rows.append((doc, " ".join(words)))
+        own, region = (np.array([int(w[1:]) for w in x]) for x in (items[doc * 6][1], part))
+        if decontaminate.lcs(own, region) >= decontaminate.LCS_ALONE * len(own):
+            truth.add((doc, item))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert len(truth) > 200 and len(truth - got) == 0 and all(item == 6 * doc for doc, item in got)
+
+
 def test_lcs():
     rng = np.random.default_rng(0)
     for _ in range(50):
