@@ -134,6 +134,14 @@ def test_more_items_than_dimensions(spark):
     assert len(truth) > 200 and len(truth - got) == 0 and all(item == 6 * doc for doc, item in got)
 
 
+def test_cosines_do_not_depend_on_corpus_size(spark):
+    from pyspark.sql import functions as F
+
+    docs, items, truth = _leaky(spark)
+    few, many = ({(r.doc_id, r.item_id): r.cosine for r in decontaminate.contaminated(d, items).collect()} for d in (docs, docs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5))))))
+    assert few.keys() == many.keys() and max(abs(few[k] - many[k]) for k in few) < 0.03
+
+
 def test_lcs():
     rng = np.random.default_rng(0)
     for _ in range(50):
