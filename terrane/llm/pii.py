@@ -87,11 +87,13 @@ _LOOK_ALIKE |= dict.fromkeys("­​‌‍⁠﻿", "")
 # Digits as words.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
-# Unlike letters, look-alike marks and blanks (dashes, no-break spaces) are common in clean text: alone they don't set the cascade off.
-_ODD = re.compile("[" + "".join(k for k, v in _LOOK_ALIKE.items() if v.isalnum() or v in "@+" or not v) + "]")
+#: Case folding reads these as s and k.
+_LOOK_ALIKE |= {"ſ": "s", "\u212a": "K"}
+
+_ODD = re.compile("[" + re.escape("".join(_LOOK_ALIKE)) + "]")
 _WORD = "(?:" + "|".join(_SPELLED) + ")"
 _DIGITS = re.compile(rf"(?:(?:\bplus\b|\+)[ -]?)?\b{_WORD}\b(?:[ ,-]{{1,3}}(?:{_WORD}\b|[0-9]++))+", re.I)
-_SPELLED_RUN = re.compile(rf"{_WORD}[ ,-]{{1,3}}(?:{_WORD}|[0-9]+)[ ,-]{{1,3}}(?:{_WORD}|[0-9])")
+_SPELLED_RUN = re.compile(rf"\b{_WORD}[ ,-]{{1,3}}(?:{_WORD}\b|[0-9])")
 _PIECE = re.compile(rf"(?P<plus>\bplus\b)|(?P<word>{_WORD})", re.I)
 _BRACKET_AT = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:at|@)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
 _BRACKET_DOT = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|\.)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
@@ -131,7 +133,7 @@ class Copy:
 
 
 def disguised(text: str) -> bool:
-    """A cheap necessary condition for the cascade to change the text into something with an identifier."""
+    """A necessary condition for the cascade to change the text: any look-alike, whatever stands beside it, or a spelled mark or digit."""
     if not text.isascii() and _ODD.search(text):
         return True
     lower = text.lower()

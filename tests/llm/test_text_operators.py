@@ -292,6 +292,14 @@ def test_clean_prose_is_left_alone(spark):
     assert all(pii.find(r.text)[0] == pii.find(r.text)[1] for r in documents(spark, TINY).collect())
 
 
+@pytest.mark.parametrize("text", ["4111–1111–1111–1111", "4111‐1111‑1111−1111", "+49\u00a0151\u00a023456789", "192．168．1．1", "jane@example。com", "jane@example․com", "four 111 1111 1111 11111", "jane\u00a0at\u00a0example\u00a0dot\u00a0com"])
+def test_a_disguise_is_found_whatever_else_the_text_holds(text):
+    whole = {pii.normalise(text).source(a, b) for _, a, b in pii.base_spans(pii.normalise(text).text)}
+    assert whole or text.startswith("four")
+    assert {(a, b) for _, a, b in pii.find(text)[1]} == whole
+    assert [s[0] for s in pii.find(text + " ж а")[1]] == [s[0] for s in pii.find(text)[1]]
+
+
 def test_pii_long_runs_are_linear():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "+1" + " " * 200_000, "1." * 100_000, "a@" * 50_000, "one " * 20_000):
         pii.find(text)
