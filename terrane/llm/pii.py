@@ -4,8 +4,8 @@ Disguised identifiers are found on a normalised copy of the text that a cascade
 transducers writes: look-alike letters and digits, invisible characters, bracketed
 or spelled at and dot, spelled digits.  Every output character carries the source
 span it came from, so matches on the copy map back to the source exactly.  Base
-matches on the source itself always stay; a match on the copy is added only where
-it overlaps none of them.
+matches on the source itself always stay; a match on the copy is added unless it
+lies within one of its kind.
 """
 
 from __future__ import annotations
@@ -171,11 +171,10 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     if not disguised(text):
         return base, base
     copy = normalise(text)
-    taken = sorted((a, b) for _, a, b in base)
     every = list(base)
     for kind, a, b in base_spans(copy.text):
         a, b = copy.source(a, b)
-        if not any(x < b and a < y for x, y in taken):
+        if not any(k == kind and x <= a and b <= y for k, x, y in base):
             every.append((kind, a, b))
     return base, sorted(set(every), key=lambda s: (order[s[0]], s[1], s[2]))
 

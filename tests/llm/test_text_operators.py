@@ -300,6 +300,13 @@ def test_a_disguise_is_found_whatever_else_the_text_holds(text):
     assert [s[0] for s in pii.find(text + " ж а")[1]] == [s[0] for s in pii.find(text)[1]]
 
 
+@pytest.mark.parametrize("text", ["jоhn@example.com", "john@example.cоm", "+49 151 2345678９", "192.168.1.1１"])
+def test_a_truncated_base_match_does_not_hide_the_whole(text):
+    base, every = pii.find(f"to {text} now")
+    assert set(base) <= set(every) and any((a, b) == (3, 3 + len(text)) for _, a, b in every)
+    assert re.fullmatch("to <[A-Z]+> now", pii.redact(f"to {text} now", every))
+
+
 def test_pii_long_runs_are_linear():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "+1" + " " * 200_000, "1." * 100_000, "a@" * 50_000, "one " * 20_000):
         pii.find(text)
