@@ -6,6 +6,11 @@ or spelled at and dot, spelled digits.  Every output character carries the sourc
 span it came from, so matches on the copy map back to the source exactly.  Base
 matches on the source itself always stay; a match on the copy is added unless it
 lies within one of its kind.
+
+Spelled at and dot without brackets are read in any case and with up to three blanks:
+``name dot name at host dot ending`` (any ending of 2 to 24 letters, the host no article
+or the like), four numbers, and ``name at host.ending`` where a mark or digit in the
+name, the start of a line or a word such as mail or contact tells it from prose.
 """
 
 from __future__ import annotations
@@ -97,9 +102,21 @@ _SPELLED_RUN = re.compile(rf"\b{_WORD}[ ,-]{{1,3}}(?:{_WORD}\b|[0-9])")
 _PIECE = re.compile(rf"(?P<plus>\bplus\b)|(?P<word>{_WORD})", re.I)
 _BRACKET_AT = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:at|@)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
 _BRACKET_DOT = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|\.)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
-# Bare words only inside a whole address: name at host dot top-level.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?P<at> at | AT |@)[A-Za-z0-9-]{1,63}(?:(?: dot | DOT |\.)[A-Za-z0-9-]{1,63})*?(?: dot | DOT )(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)\b")
-_BARE_PART = re.compile(r" (?:at|AT|dot|DOT) ")
+# Bare words, in any case, only inside a whole address (name at host dot ending) or between the numbers of an IP.
+# Words that stand before a dot or an at in prose, so no host or name.
+_NO_HOST = "(?!(?:the|this|that|these|those|a|an|each|every|any|one|some|another|first|last|red|my|your|his|her|its|our|their|polka|www)\\b)"
+_NO_NAME = "(?!(?:us|me|it|look|looks|looked|looking|available|found|visit|works?|worked|hosted|located|here|there|online|is|are|was|were|and|or|page|site|website|more|live|lives|start|meet|that|this|them)[ \\t])"
+_CUE = r"(?:(?:^|[\n:;,(<\"']|\b(?:e-?mail|mail|contact|write|writing|reach|send|ask|address|from|to|cc|bcc|is)\b)[ \t]{0,3})"
+_AT, _DOT = r"[ \t]{1,3}at[ \t]{1,3}", r"[ \t]{1,3}dot[ \t]{1,3}"
+_LABEL = "[A-Za-z0-9-]{1,63}"
+_PART = "[A-Za-z0-9._%+-]{1,64}"
+_SPELLED_AT = rf"(?:{_AT}|@)"
+_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{_PART}{_DOT}){{0,3}}{_PART}{_SPELLED_AT}{_NO_HOST}{_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{0,3}}?{_DOT}(?:{_LABEL}(?:{_DOT}|\.)){{0,2}}[A-Za-z]{{2,24}}(?![A-Za-z0-9])", re.I)
+# A name at host.ending may be prose: the name has a digit or mark inside, or a cue or the start of a line before it.
+_BARE_AT = re.compile(rf"(?:(?<![A-Za-z0-9._%+-])(?=[A-Za-z]*[0-9._%+-])|{_CUE}(?<![A-Za-z0-9._%+-])){_NO_NAME}{_PART}(?P<at>{_AT})(?!www\.){_LABEL}(?:\.{_LABEL}){{0,3}}\.[A-Za-z]{{2,24}}(?![A-Za-z0-9])", re.I | re.M)
+_BARE_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_BARE_PART = re.compile(rf"{_AT}|{_DOT}", re.I)
+_SPELLED_MARK = re.compile(r"[ \t]dot[ \t]|[ \t]at[ \t]{1,3}[a-z0-9-]+\.[a-z0-9]")
 
 
 class Copy:
@@ -137,7 +154,7 @@ def disguised(text: str) -> bool:
     if not text.isascii() and _ODD.search(text):
         return True
     lower = text.lower()
-    if "dot" in lower and (" dot " in lower or _BRACKET_DOT.search(text)) or _BRACKET_AT.search(text):
+    if _SPELLED_MARK.search(lower) or _BRACKET_AT.search(text):
         return True
     return bool(_BRACKET_DOT.search(text) or _SPELLED_RUN.search(lower))
 
@@ -149,7 +166,9 @@ def normalise(text: str) -> Copy:
         copy.rewrite([(k, k + 1, _LOOK_ALIKE[c]) for k, c in enumerate(text) if c in _LOOK_ALIKE])
     for pattern, mark in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
         copy.rewrite([(m.start(), m.end(), mark) for m in pattern.finditer(copy.text)])
-    copy.rewrite([(m.start() + p.start(), m.start() + p.end(), "@" if p[0].strip().lower() == "at" else ".") for m in _BARE.finditer(copy.text) for p in _BARE_PART.finditer(m[0])])
+    for pattern in (_BARE, _BARE_IP):
+        copy.rewrite([(m.start() + p.start(), m.start() + p.end(), "@" if p[0].strip().lower() == "at" else ".") for m in pattern.finditer(copy.text) for p in _BARE_PART.finditer(m[0])])
+    copy.rewrite([(*m.span("at"), "@") for m in _BARE_AT.finditer(copy.text)])
     edits = []
     for m in _DIGITS.finditer(copy.text):
         parts = [*_PIECE.finditer(m[0])]

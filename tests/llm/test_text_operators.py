@@ -307,6 +307,17 @@ def test_a_truncated_base_match_does_not_hide_the_whole(text):
     assert re.fullmatch("to <[A-Z]+> now", pii.redact(f"to {text} now", every))
 
 
+@pytest.mark.parametrize("text", ["ivan at mail dot ru", "bob at example dot it", "jane at example.com", "Jane At Example Dot Com", "jane  at  example  dot  com", "john dot doe at example dot com", "192 dot 168 dot 1 dot 1"])
+def test_spelled_marks_without_brackets(text):
+    for before, after in (("", ""), ("mail ", " now"), ("contact: ", ".")):
+        assert any((a, b) == (len(before), len(before + text)) for _, a, b in pii.find(before + text + after)[1])
+
+
+@pytest.mark.parametrize("text", ["He works at example.com now.", "We looked at the dot on the map.", "Look at example.com", "She stared at one dot in it", "available at www.example.com"])
+def test_spelled_marks_in_prose(text):
+    assert pii.find(text) == ([], [])
+
+
 def test_pii_long_runs_are_linear():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "+1" + " " * 200_000, "1." * 100_000, "a@" * 50_000, "one " * 20_000):
         pii.find(text)
