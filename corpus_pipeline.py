@@ -38,9 +38,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that contain a benchmark item."""
-    leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks.withColumnRenamed("doc_id", "leak"), docs.doc_id.eqNullSafe(F.col("leak")), "left_anti").select(*COLUMNS)
+    """Drop rows whose own text contains a benchmark item.
+
+    Rows are told apart by a 64-bit hash of id and text, not by id: a clean row stays
+    if another one without an id, or with the same id, goes.
+    """
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+    leaks = decontaminate.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(leaks, "row_key", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,6 +135,16 @@ def test_no_benchmark_item_is_left(spark, stages):
     assert before.count() - after.count() <= 1.1 * len(leaky)
 
 
+def test_decontamination_drops_rows_not_ids(spark):
+    """Null and repeated ids: only the rows that hold an item go."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    clean = [(None, f"row {k} of plain words that nobody tests") for k in range(5)] + [(7, "another clean line"), (7, "another clean line"), (8, None)]
+    rows = [(i, t, "en", "a", 1) for i, t in [*clean, (None, item), (7, item), (9, item)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.decontamination(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in clean)
+
+
 def test_personal_data_is_replaced(stages):
     before, after = stages["personal_data"]
     texts = {r.doc_id: r for r in after.collect()}
