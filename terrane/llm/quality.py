@@ -2,7 +2,8 @@
 
 Public vocabularies measure each whole text word by word: characters per token, the
 share of byte-fallback tokens and the entropy of its tokens.  A text is rejected if
-a measure leaves the band of its script.  Words are encoded once per worker and then
+a measure leaves the band of its script, or if its characters per byte-level token
+leave the band of its language, which is read off all documents.  Words are encoded once per worker and then
 looked up by hash, so the cost per word is a table lookup.
 """
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
 from .text import Words, mix, slices, sums
 
 #: Words that a worker remembers before it starts over.
@@ -49,6 +51,13 @@ BANDS = {
 #: Texts of fewer tokens are too short to be judged by fertility.
 MIN_TOKENS = 64
 
+#: A language's band: so many quartile distances beyond the quartiles of its texts.
+FENCE = 3.0
+#: Least quartile distance, as a share of the median; copies of one text have none.
+LEAST_SPREAD = 0.02
+#: Languages with fewer texts to judge only have the band of their script.
+MIN_TEXTS = 100
+
 #: Script by the lead byte of its two- and three-byte UTF-8 forms.
 _SCRIPTS = ("latin", "cyrillic", "greek", "arabic", "hebrew", "han", "other")
 _LEAD = np.full(256, -1, np.int8)
@@ -191,17 +200,32 @@ def verdict(m: dict[str, np.ndarray]) -> np.ndarray:
     return (m["n_tokens"] < MIN_TOKENS) | (both & (m["byte_share"] <= share) & (m["entropy"] >= entropy))
 
 
+def within(measured: DataFrame) -> DataFrame:
+    """``measured`` with ``kept`` taken from texts outside the band of their script and language."""
+    judged = measured.where(~F.col("base_failed") & (F.col("n_tokens") >= MIN_TOKENS))
+    quartiles = F.percentile_approx(F.round("chars_per_byte_token", 3), [0.25, 0.5, 0.75], 100_000)
+    bands = judged.groupBy("script", F.coalesce("lang", F.lit("")).alias("of")).agg(quartiles.alias("q"), F.count("*").alias("n")).where(F.col("n") >= MIN_TEXTS)
+    reach = FENCE * F.greatest(F.col("q")[2] - F.col("q")[0], LEAST_SPREAD * F.col("q")[1])
+    bands = bands.select(F.col("script").alias("in_script"), "of", (F.col("q")[0] - reach).alias("low"), (F.col("q")[2] + reach).alias("high"))
+    rated = measured.join(F.broadcast(bands), (F.col("script") == F.col("in_script")) & (F.coalesce("lang", F.lit("")) == F.col("of")), "left")
+    inside = (F.col("n_tokens") < MIN_TOKENS) | F.coalesce(F.col("chars_per_byte_token").between(F.col("low"), F.col("high")), F.lit(True))
+    return rated.withColumn("kept", F.col("kept") & inside)
+
+
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, chars_per_byte_token double, byte_share double, entropy double, script string"
 
 
 def rate(docs: DataFrame, pieces: bytes, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs`` with its counts, measures and verdict (see SCHEMA).
 
+    Languages are those of a column ``lang``, if there is one, by script.  The bands come
+    from every row that passes the base rule; the measures are written once for that.
+
     Null and empty texts have no words and fail the base rule.  Repeated rows give
     repeated rows, a null id stays null, extra columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast((pieces, ranks, pattern))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fertility = Fertility(*held.value)
@@ -210,7 +234,7 @@ def rate(docs: DataFrame, pieces: bytes, ranks: bytes, pattern: str, id_col: str
                 m = measure(part.column("text"), fertility)
                 failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
                 cols = {"doc_id": part.column("doc_id"), **{k: m[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}, "base_failed": failed, "kept": ~failed & verdict(m)}
-                cols |= {k: m[k] for k in ("n_tokens", "chars_per_token", "chars_per_byte_token", "byte_share", "entropy")} | {"script": pa.array([_SCRIPTS[k] for k in m["script"]], pa.string())}
+                cols |= {k: m[k] for k in ("n_tokens", "chars_per_token", "chars_per_byte_token", "byte_share", "entropy")} | {"script": pa.array([_SCRIPTS[k] for k in m["script"]], pa.string()), "lang": part.column("lang")}
                 yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in cols.items()})
 
-    return rows.mapInArrow(run, SCHEMA)
+    return within(cut(rows.mapInArrow(run, f"{SCHEMA}, lang string"))).select(*(c.split()[0] for c in SCHEMA.split(", ")))

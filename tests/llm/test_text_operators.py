@@ -481,6 +481,15 @@ def test_quality_bands(spark):
     assert got[1].script == "latin" and got[1].byte_share == 0
 
 
+def test_bands_of_languages_part_symbols_from_prose(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, SF)
+    rated = queries.op7_fertility_quality(spark, SF).where("not base_failed and n_tokens >= 64")
+    n, clean, junk, clean_out, junk_out = rated.join(docs.select("doc_id", "lang"), "doc_id").where("lang = 'en'").withColumn("junk", F.expr("n_symbols > 0.3 * n_words")).agg(F.count("*"), F.sum(F.expr("int(not junk)")), F.sum(F.expr("int(junk)")), F.sum(F.expr("int(not junk and not kept)")), F.sum(F.expr("int(junk and not kept)"))).first()
+    assert n > 100 and clean_out <= 0.02 * clean and junk_out >= 0.8 * junk > 0
+
+
 def test_quality_odd_rows(spark, odd, none):
     got = _rated(spark, odd).collect()
     assert len(got) == odd.count() and all(r.base_failed and not r.kept for r in got if r.n_words < 50)
