@@ -5,11 +5,14 @@ A document's words are drawn from a mixture of languages: expectation-maximisati
 over the words' likelihoods estimates its proportions, and of the nested sets of its
 likeliest languages the one with the best penalised likelihood (log-likelihood less
 ``penalty`` * log(words) for each language beyond the first) is kept and refitted.
-The prediction is the largest proportion of that set.
+The sets grow by every language that has a proportion of at least one word.  The
+prediction is the largest proportion of the chosen set.
 
 The language models are fitted on a bounded sample: at most about ``per_language``
-training documents of each language (default 2,000), drawn evenly by a hash of the
-id.  Every document is then scored whole.
+training documents of each language (default 2,000), drawn evenly by a hash of id and
+text, repeated rows once.  Every document is then scored whole.  The table that goes to
+every task has at most ``CELLS`` entries: with more than 512 languages its windows are
+hashed to fewer bits.
 """
 
 from __future__ import annotations
@@ -19,18 +22,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import no_clash
 from .text import _LOWER, _SPACE, Words, slices
 
 PER_LANGUAGE = 2000
 HASH_BITS = 17
 ROUNDS = 8
 PENALTY = 2.0
-MAX_SET = 4
-#: The model is sent to every task, so its size is bounded by so many languages.
-MAX_LANGUAGES = 512
+#: Entries of the table that is sent to every task (four bytes each).
+CELLS = 1 << 26
 #: A document is drawn if its hash, one of so many values, is low enough.
 DRAWS = 1 << 40
 UNDETERMINED = "und"
@@ -68,33 +72,38 @@ def _counts(texts: pa.Array, bits: int) -> np.ndarray:
     return np.bincount(hashed[np.cumsum(inside[:-1], dtype=np.int8) > 0], minlength=1 << bits)
 
 
+def _bits(bits: int, languages: int) -> int:
+    """The hash bits that keep a table of so many languages within CELLS."""
+    return max(1, min(bits, (CELLS // max(languages, 1)).bit_length() - 1))
+
+
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, bits: int = HASH_BITS, smoothing: float = 0.5) -> Model:
-    """Learn from rows (doc_id long, text, lang); rows with a null text, language or id teach nothing."""
-    rows = labelled.where("text is not null and lang is not null and doc_id is not null")
+    """Learn from rows (doc_id long, text, lang); rows with a null text, language or id teach nothing, repeated rows teach once."""
+    rows = labelled.where("text is not null and lang is not null and doc_id is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text", F.lit(17)).alias("draw"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
+    bits = _bits(bits, len(langs))
     if not langs:
         return Model([], np.zeros((1 << bits, 0), np.float32), bits)
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = F.lit(DRAWS)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(min(DRAWS, DRAWS * per_language // sizes[lang] + 1))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(DRAWS)) < share).select("lang", "text").repartition(2)
+    limits = rows.sparkSession.createDataFrame([(x, min(DRAWS, DRAWS * per_language // sizes[x] + 1)) for x in langs], "lang string, share long")
+    drawn = rows.join(F.broadcast(limits), "lang").where(F.pmod("draw", F.lit(DRAWS)) < F.col("share"))
+    sample = drawn.groupBy("lang", "draw").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
         for batch in batches:
             of = batch.column("lang").to_pylist()
             for lang in sorted(set(of)):
                 own = batch.filter(pa.array([x == lang for x in of]))
                 for part in slices(own, "text"):
-                    total[lang] = total.get(lang, 0) + _counts(part.column("text"), bits)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["lang", "n"])
+                    n = _counts(part.column("text"), bits)
+                    some = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[some].astype(np.int64))], names=["lang", "window", "n"])
 
     table = np.full((1 << bits, len(langs)), smoothing)
-    for r in sample.mapInArrow(run, "lang string, n binary").collect():
-        table[:, langs.index(r["lang"])] += np.frombuffer(r["n"], "<i8")
+    # summed before it reaches the driver, which gets no more rows than the table has cells
+    counts = sample.select("lang", "text").mapInArrow(run, "lang string, window long, n long").groupBy("lang", "window").agg(F.sum("n").alias("n")).toArrow()
+    column = pa.compute.index_in(counts["lang"], value_set=pa.array(langs)).to_numpy()
+    table[counts["window"].to_numpy(), column] += counts["n"].to_numpy()
     return Model(langs, np.log(table / table.sum(0)).astype(np.float32), bits)
 
 
@@ -103,16 +112,26 @@ def _by_doc(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, off[:-1], axis=0, dtype=np.float64)
 
 
-def _em(p: np.ndarray, off: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of each text over its allowed languages, and the log-likelihood relative to p's scale."""
+def _em(ll: np.ndarray, off: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of each text over its allowed languages, and its log-likelihood, from the words' log-likelihoods.
+
+    Every word is scaled by its best allowed language, so no likelihood vanishes.
+    """
     n = np.diff(off)
     pi = allowed / allowed.sum(1, keepdims=True)
+    if allowed.all():
+        scale = ll.max(1)
+        p = np.exp(ll - scale[:, None])
+    else:
+        open_to = np.repeat(allowed > 0, n, axis=0)
+        scale = np.where(open_to, ll, -np.inf).max(1)
+        p = np.where(open_to, np.exp(np.minimum(ll - scale[:, None], 0)), 0)
     for k in range(rounds + 1):
-        joint = p * np.repeat(pi.astype(np.float32), n, axis=0)
-        total = joint.sum(1)
+        joint = p * np.repeat(pi, n, axis=0)
+        total = np.maximum(joint.sum(1), 1e-300)
         if k == rounds:
-            return pi, _by_doc(np.log(np.maximum(total, 1e-30)), off)
-        joint /= np.maximum(total, 1e-30)[:, None]
+            return pi, _by_doc(np.log(total) + scale, off)
+        joint /= total[:, None]
         pi = _by_doc(joint, off) / n[:, None]
     raise AssertionError
 
@@ -129,28 +148,27 @@ def infer(model: Model, texts: pa.Array, rounds: int = ROUNDS, penalty: float =
     cuts = np.empty(2 * len(first), np.int64)
     cuts[0::2], cuts[1::2] = first, end
     ll = np.add.reduceat(model.table[hashed], cuts, axis=0)[::2]
-    ll -= ll.max(1, keepdims=True)
-    p = np.exp(ll)
     off = np.append(w.off[:-1][some], len(first))
-    best, _ = _em(p, off, np.ones((len(some), size)), rounds)
+    best, _ = _em(ll, off, np.ones((len(some), size)), rounds)
     single = _by_doc(ll, off)
     top = single.argmax(1)
     score = single[np.arange(len(some)), top]
     chosen = np.zeros((len(some), size))
     chosen[np.arange(len(some)), top] = 1
     rank = np.argsort(-best, axis=1, kind="stable")
-    mixed = np.flatnonzero(best.max(1) < 0.995)
-    if len(mixed) and size > 1:
-        rows = np.concatenate([np.arange(off[k], off[k + 1]) for k in mixed])
-        part, cut = p[rows], np.concatenate([[0], np.cumsum(np.diff(off)[mixed])])
-        for k in range(2, min(size, MAX_SET) + 1):
-            allowed = np.zeros((len(mixed), size))
-            np.put_along_axis(allowed, rank[mixed, :k], 1, axis=1)
-            pi, fit_ll = _em(part, cut, allowed, rounds)
-            value = fit_ll - penalty * (k - 1) * np.log(np.maximum(np.diff(cut), 2))
-            better = value > score[mixed]
-            chosen[mixed[better]] = pi[better]
-            score[mixed[better]] = value[better]
+    # a set may hold every language with a word's worth of the text
+    reach = (best * n[some][:, None] >= 1).sum(1)
+    for k in range(2, int(reach.max()) + 1):
+        mixed = np.flatnonzero(reach >= k)
+        rows = np.concatenate([np.arange(off[j], off[j + 1]) for j in mixed])
+        cut = np.concatenate([[0], np.cumsum(np.diff(off)[mixed])])
+        allowed = np.zeros((len(mixed), size))
+        np.put_along_axis(allowed, rank[mixed, :k], 1, axis=1)
+        pi, fit_ll = _em(ll[rows], cut, allowed, rounds)
+        value = fit_ll - penalty * (k - 1) * np.log(np.maximum(np.diff(cut), 2))
+        better = value > score[mixed]
+        chosen[mixed[better]] = pi[better]
+        score[mixed[better]] = value[better]
     out[some] = chosen
     return out, n
 
@@ -160,9 +178,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was
     learned.  Equal proportions go to the first language by name.  Repeated rows
-    give repeated rows; extra columns are ignored.
+    give repeated rows; extra columns are ignored; a kept column may not be named like
+    one that is added.
     """
     keep = [id_col] if keep is None else keep
+    no_clash(keep, ["lang_pred", "score", "languages", "shares"])
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.bits))
     # a text that is kept anyway travels once
     source = text_col if text_col in keep else "__text"
