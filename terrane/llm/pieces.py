@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import no_clash
 from .text import slices
 
 MARK = "▁"
@@ -277,9 +278,11 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str
     ``round_trip`` says that decoding the ids gives the text back; it fails only for
     texts that hold the space mark itself, which reads as a space.  Null and empty
     texts have no ids and round-trip to the empty text.  Row order, repeated rows and
-    null keys stay as they are; columns outside ``keep`` are not read.
+    null keys stay as they are; columns outside ``keep`` are not read; a kept column may
+    not be named like one that is added.
     """
     keep = ["doc_id"] if keep is None else keep
+    no_clash(keep, ["ids", "n_tokens", "n_byte_tokens", "round_trip"])
     held = docs.sparkSession.sparkContext.broadcast(Transducer(model).state())
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
 

@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import no_clash
 from .text import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -191,9 +193,13 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
         return base, base
     copy = normalise(text)
     every = list(base)
+    # base spans of a kind are disjoint, so only the last one that starts before can hold another
+    starts = {k: [s[1] for s in base if s[0] == k] for k in KINDS}
+    ends = {k: [s[2] for s in base if s[0] == k] for k in KINDS}
     for kind, a, b in base_spans(copy.text):
         a, b = copy.source(a, b)
-        if not any(k == kind and x <= a and b <= y for k, x, y in base):
+        n = bisect_right(starts[kind], a)
+        if not n or ends[kind][n - 1] < b:
             every.append((kind, a, b))
     return base, sorted(set(every), key=lambda s: (order[s[0]], s[1], s[2]))
 
@@ -223,9 +229,11 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
 
     Null and empty texts have no spans (the digest of the empty string; a null text
     stays null when redacted).  Repeated rows give repeated rows, null keys stay,
-    columns outside ``keep`` are not read.
+    columns outside ``keep`` are not read; a kept column may not be named like one that
+    is added.
     """
     keep = ["doc_id"] if keep is None else keep
+    no_clash(keep, [x.split()[0] for x in SCHEMA.split(", ")])
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
