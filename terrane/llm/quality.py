@@ -1,10 +1,11 @@
 """Quality rules on tokeniser fertility.
 
-Public vocabularies measure each whole text word by word: characters per token, the
-share of byte-fallback tokens and the entropy of its tokens.  A text is rejected if
-a measure leaves the band of its script, or if its characters per byte-level token
-leave the band of its language, which is read off all documents.  Words are encoded once per worker and then
-looked up by hash, so the cost per word is a table lookup.
+Public vocabularies measure each whole text word by word, every word with the blank
+before it as in running text: characters per token, the share of byte-fallback tokens
+and the entropy of its tokens.  A text is rejected if a measure leaves the band of its
+script, or if its characters per byte-level token leave the band of its language, which
+is read off all documents.  Words are encoded whole, however long, once per worker and
+then looked up by hash, so the cost per word is a table lookup.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from .text import Words, mix, slices, sums
 
 #: Words that a worker remembers before it starts over.
 CACHE_WORDS = 400_000
-LONG_WORD = 4096
+#: Longer words are encoded each time and not remembered.
+REMEMBERED_BYTES = 4096
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,7 @@ BANDS = {
     "arabic": Band(0.4, 8.0, 0.50, 3.0),
     "hebrew": Band(0.4, 8.0, 0.50, 3.0),
     "han": Band(0.3, 4.0, 0.75, 3.0),
+    "hangul": Band(0.3, 4.0, 0.75, 3.0),
     "other": Band(0.2, 8.0, 0.95, 2.5),
 }
 #: Texts of fewer tokens are too short to be judged by fertility.
@@ -58,16 +61,21 @@ LEAST_SPREAD = 0.02
 #: Languages with fewer texts to judge only have the band of their script.
 MIN_TEXTS = 100
 
-#: Script by the lead byte of its two- and three-byte UTF-8 forms.
-_SCRIPTS = ("latin", "cyrillic", "greek", "arabic", "hebrew", "han", "other")
-_LEAD = np.full(256, -1, np.int8)
-_LEAD[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)]] = 0
-_LEAD[[0xD0, 0xD1, 0xD2, 0xD3]] = 1
-_LEAD[[0xCE, 0xCF]] = 2
-_LEAD[[0xD8, 0xD9, 0xDA, 0xDB]] = 3
-_LEAD[[0xD7]] = 4
-_LEAD[range(0xE3, 0xEE)] = 5
-_LEAD[[0xD4, 0xD5, 0xD6, *range(0xDC, 0xE0), 0xE0, 0xE1]] = 6
+# Fixed values: (script, first, last code point) of blocks of letters.
+_BLOCKS = (
+    ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xC0, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("other", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF),
+    ("arabic", 0x600, 0x6FF), ("other", 0x700, 0x74F), ("arabic", 0x750, 0x77F), ("other", 0x780, 0x89F), ("arabic", 0x8A0, 0x8FF), ("other", 0x900, 0x10FF), ("hangul", 0x1100, 0x11FF),
+    ("other", 0x1200, 0x1C7F), ("cyrillic", 0x1C80, 0x1C8F), ("other", 0x1C90, 0x1CFF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("latin", 0x2C60, 0x2C7F), ("cyrillic", 0x2DE0, 0x2DFF),
+    ("han", 0x2E80, 0x2FDF), ("han", 0x3005, 0x3007), ("han", 0x3040, 0x312F), ("hangul", 0x3130, 0x318F), ("han", 0x31A0, 0x9FFF), ("other", 0xA000, 0xA63F), ("cyrillic", 0xA640, 0xA69F),
+    ("latin", 0xA720, 0xA7FF), ("other", 0xA800, 0xA95F), ("hangul", 0xA960, 0xA97F), ("other", 0xA980, 0xABFF), ("hangul", 0xAC00, 0xD7FF), ("han", 0xF900, 0xFAFF), ("hebrew", 0xFB1D, 0xFB4F),
+    ("arabic", 0xFB50, 0xFDFF), ("arabic", 0xFE70, 0xFEFE), ("latin", 0xFF21, 0xFF3A), ("latin", 0xFF41, 0xFF5A), ("han", 0x20000, 0x3FFFF),
+)
+_SCRIPTS = (*BANDS,)
+_FIRST = np.array([a for _, a, _ in _BLOCKS])
+_LAST = np.array([b for _, _, b in _BLOCKS])
+_OF_BLOCK = np.array([_SCRIPTS.index(s) for s, _, _ in _BLOCKS])
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _CONT = np.zeros(256, bool)
 _CONT[range(0x80, 0xC0)] = True
 _SYMBOL = np.zeros(256, bool)
@@ -98,15 +106,8 @@ class Fertility:
         self.second = np.zeros(0, np.int64)
 
     def _encode(self, words: list[str]) -> tuple[list[list[int]], list[int]]:
-        # a very long word is measured in pieces: both encoders take more than linear time
-        if not any(len(x) > LONG_WORD for x in words):
-            return self.pieces.encode(words, num_threads=1), [len(x) for x in map(self.bytes.encode_ordinary, words)]
-        first, second = [], []
-        for x in words:
-            parts = [x[k : k + LONG_WORD] for k in range(0, len(x), LONG_WORD)]
-            first.append([t for part in self.pieces.encode(parts, num_threads=1) for t in part])
-            second.append(sum(len(self.bytes.encode_ordinary(part)) for part in parts))
-        return first, second
+        """Pieces of each word, and its number of byte-level tokens, both with a blank before the word."""
+        return self.pieces.encode(words, num_threads=1), [len(self.bytes.encode_ordinary(f" {x}")) for x in words]
 
     def lookup(self, w: Words, hashes: np.ndarray) -> np.ndarray:
         """Slots of the distinct words (their hashes, and any place of each in w)."""
@@ -127,8 +128,12 @@ class Fertility:
             index = np.concatenate([self.index, keys[new]])
             slot = np.concatenate([self.slot, base + np.arange(len(new))])
             order = np.argsort(index)
-            self.index, self.slot = index[order], slot[order]
-            at = np.searchsorted(self.index, keys)
+            index, slot = index[order], slot[order]
+            found = slot[np.searchsorted(index, keys)]
+            short = (w.ends - w.starts)[places[new]] <= REMEMBERED_BYTES
+            kept = np.ones(len(index), bool) if short.all() else ~np.isin(index, keys[new][~short])
+            self.index, self.slot = index[kept], slot[kept]
+            return found
         return self.slot[at]
 
 
@@ -137,6 +142,23 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
+def scripts_of(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The script that most letters of each byte range (first, end) have; the first of BANDS among equals and without letters."""
+    plain = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data], dtype=np.int64)])[bounds]
+    counts = np.zeros((len(bounds), len(_SCRIPTS)), np.int64)
+    counts[:, _SCRIPTS.index("latin")] = plain[:, 1] - plain[:, 0]
+    at = np.flatnonzero(data >= 0xC0)
+    if len(at):
+        b = data[at[:, None] + np.arange(4)].astype(np.int64)
+        tail = b[:, 1:] & 0x3F
+        code = np.where(b[:, 0] < 0xE0, (b[:, 0] & 0x1F) << 6 | tail[:, 0], np.where(b[:, 0] < 0xF0, (b[:, 0] & 0x0F) << 12 | tail[:, 0] << 6 | tail[:, 1], (b[:, 0] & 0x07) << 18 | tail[:, 0] << 12 | tail[:, 1] << 6 | tail[:, 2]))
+        block = np.searchsorted(_FIRST, code, side="right") - 1
+        letter = code <= _LAST[block]
+        text = np.searchsorted(bounds[:, 0], at[letter], side="right") - 1
+        np.add.at(counts, (text, _OF_BLOCK[block[letter]]), 1)
+    return counts.argmax(1)
+
+
 def measure(texts: pa.Array, fertility: Fertility) -> dict[str, np.ndarray]:
     """Counts and measures of each whole text; null counts as empty."""
     w = Words(texts)
@@ -184,12 +206,10 @@ def measure(texts: pa.Array, fertility: Fertility) -> dict[str, np.ndarray]:
     with np.errstate(divide="ignore", invalid="ignore"):
         entropy = np.where(n_tokens > 0, np.log2(np.maximum(n_tokens, 1)) - logs / np.maximum(n_tokens, 1), 0.0)
 
-    lead = _LEAD[w.data]
-    scripts = np.stack([np.diff(np.concatenate([[0], np.cumsum(lead == k, dtype=np.int64)])[bounds], axis=1)[:, 0] for k in range(len(_SCRIPTS))], 1)
     return {
         "n_words": n, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": dup, "n_repeat_words": sums(repeat, off),
         "n_tokens": n_tokens, "chars_per_token": word_chars / np.maximum(n_tokens, 1), "chars_per_byte_token": word_chars / np.maximum(second, 1),
-        "byte_share": n_bytes / np.maximum(n_tokens, 1), "entropy": entropy, "script": scripts.argmax(1),
+        "byte_share": n_bytes / np.maximum(n_tokens, 1), "entropy": entropy, "script": scripts_of(w.data, bounds),
     }
 
 
@@ -221,8 +241,9 @@ def rate(docs: DataFrame, pieces: bytes, ranks: bytes, pattern: str, id_col: str
     Languages are those of a column ``lang``, if there is one, by script.  The bands come
     from every row that passes the base rule; the measures are written once for that.
 
-    Null and empty texts have no words and fail the base rule.  Repeated rows give
-    repeated rows, a null id stays null, extra columns are not read.
+    Null and empty texts have no words and fail the base rule.  Words of any length are
+    encoded whole.  Repeated rows give repeated rows, a null id stays null, extra columns
+    are not read, an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast((pieces, ranks, pattern))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"))
