@@ -70,7 +70,7 @@ def op9_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(documents(spark, sf_dir), licences.known(spark))
+    return licences.scan(documents(spark, sf_dir), licences.known(spark), more=licences.known_digests(spark))
 
 
 def queries() -> dict[str, Query]:
