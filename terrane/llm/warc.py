@@ -18,6 +18,10 @@ from .shared import cut
 RANGE_BYTES = 16 * 1024
 FANOUT = 4
 RECORDS_PER_ARCHIVE = 256
+#: A record takes at least so much room in a range, so that empty ones can't crowd it.
+LEAST_BYTES = 64
+#: Pages without an id are dealt by their content to archives below this number.
+UNNUMBERED = -(1 << 40)
 
 
 def record_text(url: Column, payload: Column, page_id: Column) -> Column:
@@ -33,10 +37,14 @@ def record_text(url: Column, payload: Column, page_id: Column) -> Column:
 def records(pages: DataFrame, per_archive: int = RECORDS_PER_ARCHIVE) -> DataFrame:
     """(archive, record, data) of pages (page_id, url, html); an archive holds the pages of ``per_archive`` neighbouring ids.
 
-    A null page_id goes to archive -1 as record -1.  Extra columns are ignored.
+    A null page_id is told by its content: archive and record are both a number below
+    UNNUMBERED taken from the record's digest, so such pages spread over many archives
+    and clash with no id.  Negative ids are ids like any other.  Extra columns are ignored.
     """
-    number = F.coalesce(F.col("page_id").cast("long"), F.lit(-1))
-    return pages.select(F.floor(number / per_archive).cast("long").alias("archive"), number.alias("record"), record_text(F.col("url"), F.col("html"), F.col("page_id")).alias("data"))
+    data = record_text(F.col("url"), F.col("html"), F.col("page_id"))
+    lost = F.lit(UNNUMBERED) - F.conv(F.substring(F.sha2(data, 256), 1, 6), 16, 10).cast("long")
+    number = F.col("page_id").cast("long")
+    return pages.select(F.coalesce(F.floor(number / per_archive).cast("long"), lost).alias("archive"), F.coalesce(number, lost).alias("record"), data.alias("data"))
 
 
 def leaves(archive_records: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -44,12 +52,14 @@ def leaves(archive_records: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
 
     Records are ordered by number and, where numbers repeat, by digest; ``copy``
     counts equal numbers from 1.  Only sizes and digests are shuffled, never data.
+    ``start`` is a record's true offset; its range (``node``) counts every record as
+    LEAST_BYTES at least, so a range holds a bounded number of records.
     """
     hashed = archive_records.select("archive", "record", F.octet_length(F.coalesce("data", F.lit(""))).cast("long").alias("size"), F.sha2(F.coalesce("data", F.lit("")), 256).alias("digest"))
     order = Window.partitionBy("archive").orderBy("record", "digest")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     placed = hashed.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("copy", F.row_number().over(Window.partitionBy("archive", "record").orderBy("digest")))
-    return placed.withColumn("node", F.floor(F.col("start") / range_bytes).cast("long")).select("archive", "record", "copy", "start", "size", "digest", "node")
+    return placed.withColumn("node", F.floor(F.coalesce(F.sum(F.greatest("size", F.lit(LEAST_BYTES))).over(before), F.lit(0)) / range_bytes).cast("long")).select("archive", "record", "copy", "start", "size", "digest", "node")
 
 
 def _ordered(parts: Column) -> Column:
@@ -114,13 +124,15 @@ def drill(archive_records: DataFrame) -> DataFrame:
 #: The drill's audit in DuckDB SQL, by comparing every record.
 ORACLE = f"""
 WITH p AS (
-  SELECT coalesce(page_id, -1) AS record, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+  SELECT page_id AS number, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
     || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
     || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS data FROM pages),
+q AS (SELECT coalesce(number, {UNNUMBERED} - CAST('0x' || substr(sha256(data), 1, 6) AS BIGINT)) AS record, CAST(coalesce(floor(number / {RECORDS_PER_ARCHIVE}.0), {UNNUMBERED} - CAST('0x' || substr(sha256(data), 1, 6) AS BIGINT)) AS BIGINT) AS archive, data FROM p),
 r AS (
-  SELECT record, CASE WHEN record % 97 = 13 THEN replace(data, 'WARC/1.1', 'WARC/1.0') WHEN record % 97 = 14 THEN data || '?' ELSE data END AS data FROM p WHERE record % 389 <> 7),
-pl AS (SELECT CAST(floor(record / {RECORDS_PER_ARCHIVE}.0) AS BIGINT) AS archive, record, CAST(strlen(data) AS BIGINT) AS size, sha256(data) AS digest FROM p),
-rl AS (SELECT CAST(floor(record / {RECORDS_PER_ARCHIVE}.0) AS BIGINT) AS archive, record, CAST(strlen(data) AS BIGINT) AS size, sha256(data) AS digest FROM r),
+  SELECT archive, record, CASE WHEN pm97 = 13 THEN replace(data, 'WARC/1.1', 'WARC/1.0') WHEN pm97 = 14 THEN data || '?' ELSE data END AS data
+  FROM (SELECT *, (record % 97 + 97) % 97 AS pm97 FROM q) WHERE (record % 389 + 389) % 389 <> 7),
+pl AS (SELECT archive, record, CAST(strlen(data) AS BIGINT) AS size, sha256(data) AS digest FROM q),
+rl AS (SELECT archive, record, CAST(strlen(data) AS BIGINT) AS size, sha256(data) AS digest FROM r),
 ps AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY archive ORDER BY record, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, row_number() OVER (PARTITION BY archive, record ORDER BY digest) AS copy FROM pl),
 rs AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY archive ORDER BY record, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, row_number() OVER (PARTITION BY archive, record ORDER BY digest) AS copy FROM rl)
 SELECT coalesce(ps.archive, rs.archive) AS archive, coalesce(ps.record, rs.record) AS record, CAST(coalesce(ps.copy, rs.copy) AS INTEGER) AS copy,
