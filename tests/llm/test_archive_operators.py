@@ -56,7 +56,22 @@ def test_repeated_and_null_records(spark):
     assert [(r.record, r.status) for r in got] and all(r.record == 1 for r in got)
     pages = spark.createDataFrame([(None, None, None, 1), (5, "u", "é", 2)], "page_id long, url string, html string, size long")
     made = {r.record: r.data for r in warc.records(pages).collect()}
-    assert set(made) == {-1, 5} and "Content-Length: 2\r\n" in made[5]
+    assert 5 in made and len(made) == 2 and min(made) <= warc.UNNUMBERED and "Content-Length: 2\r\n" in made[5]
+
+
+def test_pages_without_an_id_spread_and_clash_with_none(spark):
+    rows = [(None, f"u{k}", "x") for k in range(300)] + [(-k, "u", "y") for k in range(1, 300)]
+    got = warc.records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    lost, named = ({r.archive for r in got.where(c).collect()} for c in (f"record <= {warc.UNNUMBERED}", f"record > {warc.UNNUMBERED}"))
+    assert len(lost) > 250 and named == {-1, -2} and not lost & named
+
+
+def test_empty_records_do_not_crowd_a_range(spark):
+    a = _archives(spark, [(1, k, "") for k in range(5000)])
+    sizes = [r["count"] for r in warc.leaves(a, 4096).groupBy("node").count().collect()]
+    assert max(sizes) <= 4096 // warc.LEAST_BYTES and sum(sizes) == 5000
+    b = _archives(spark, [(1, k, "") for k in range(5000) if k != 77] + [(1, 77, "x" * 100_000)])
+    assert [(r.record, r.status, r.primary_start) for r in warc.audit(a, b, 4096).collect()] == [(77, "changed", 0)]
 
 
 # ---- 10
@@ -82,6 +97,40 @@ def test_whole_licences_and_notices(spark):
     assert licences.scan(documents(spark, TINY).limit(0), licences.known(spark)).count() == 0
 
 
+def test_equal_spellings_side_by_side(spark):
+    rows = [(1, "the licence licence licences licence"), (2, "The license, license licenses license")]
+    a, b = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), licences.known(spark)).collect()
+    assert a.canonical_sha256 == b.canonical_sha256
+
+
+def test_many_notices_are_joined(spark):
+    docs = documents(spark, SF)
+    few, many = (sorted(licences.scan(docs, licences.known(spark), plan_notices=n).collect()) for n in (1000, 3))
+    assert few == many and any(r.notice_ids for r in few)
+    texts = spark.createDataFrame([(f"id{k}", f"notice number {k} of many") for k in range(3000)], "licence_id string, text string")
+    got = licences.scan(spark.createDataFrame([(1, "x\nNotice number 7 of many.\nnotice number 2999 of many"), (1, None), (2, "notice number 5 of many " * 5000)], "doc_id long, text string"), texts)
+    assert sorted((r.doc_id, r.notice_ids) for r in got.collect()) == [(1, ""), (1, "id2999,id7"), (2, "")]
+
+
+def test_empty_collections_and_ties(spark):
+    docs = spark.createDataFrame([(1, "A notice."), (2, ""), (3, MIT)], "doc_id long, text string")
+    none = licences.known(spark).limit(0)
+    assert {r.licence_id for r in licences.scan(docs, none).collect()} == {None}
+    two = spark.createDataFrame([("b", "a notice"), ("a", "A NOTICE!"), ("c", ""), (None, "other")], "licence_id string, text string")
+    assert {r.doc_id: (r.licence_id, r.notice_ids) for r in licences.scan(docs, two).collect()} == {1: ("a", "a"), 2: (None, ""), 3: (None, "")}
+
+
+def test_long_licences_are_known_by_digest(spark):
+    """The texts that lie on this machine, rewrapped and in capitals."""
+    from pathlib import Path
+
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1", "CC0-1.0": "CC0-1.0"}
+    rows = [(k, v, p.read_text()) for k, v in names.items() if (p := Path("/usr/share/common-licenses", v)).exists()]
+    docs = spark.createDataFrame([(n, text.upper().replace(",", " , ")) for n, (_, _, text) in enumerate(rows)] + [(99, "GPL")], "doc_id long, text string")
+    got = {r.doc_id: r.licence_id for r in licences.scan(docs, licences.known(spark), more=licences.known_digests(spark)).collect()}
+    assert got == {n: k for n, (k, _, _) in enumerate(rows)} | {99: None}
+
+
 def test_known_texts_have_distinct_digests_by_licence(spark):
     got = licences.known(spark).select("licence_id", F.sha2(F.array_join(licences.canonical_lines(F.col("text")), " "), 256).alias("d")).collect()
     owner = {}

@@ -184,6 +184,33 @@ def test_language_model_is_a_distribution(spark):
     assert all(0 < p < 1 for p in got.values())
 
 
+def test_two_hops_give_the_answers_of_one(spark):
+    """Many small groups: the merged exchange returns what the direct one does, in fewer rows."""
+    docs = documents(spark, TINY)
+    one, two = (sorted(lm.score(docs, langid.held_out(5, 1), group_bytes=4000, direct=d).collect()) for d in (10_000, 16))
+    assert one == two and len(one) == docs.count()
+
+
+def test_exchange_grows_by_less_than_the_square(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, SF)
+    rows = lambda g: docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(g)).alias("g"), "text", F.lit(True).alias("train"))
+    sent = [lm._exchange(rows(g), g, 4)[0].count() for g in (25, 100)]
+    assert sent[0] <= 25 * 5 and sent[1] <= 100 * 10
+
+
+def test_copies_of_one_row_are_dealt_to_several_groups(spark):
+    """A row repeated far beyond a group's size, and null ids: scores as by brute force over the same counts."""
+    rows = [(1, "the same words again and again " * 20)] * 400 + [(None, f"a b c {k}") for k in range(200)] + [(k, f"the words {k % 7} again") for k in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    small, large = (lm.score(df, langid.held_out(5, 1), group_bytes=b).collect() for b in (3000, 1 << 20))
+    for r in small + large:
+        assert r.train_tokens == small[0].train_tokens
+    base = lambda x: sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 9)) for r in x)
+    assert base(small) == base(large) and len(small) == len(rows)
+
+
 def test_em_finds_the_better_part():
     cells = np.array([[3, 0, 40, 900], [3, -1, 12, 100]])
     w = lm.learn_weights(cells, 1e-6)[3]
@@ -318,6 +345,33 @@ def test_spelled_marks_in_prose(text):
     assert pii.find(text) == ([], [])
 
 
+def test_the_gate_is_a_necessary_condition(monkeypatch):
+    """With and without it every text has the same spans."""
+    rng = random.Random(5)
+    bits = ["at", "dot", "AT", "Dot", " ", "  ", "@", ".", "[at]", "(dot)", "{ . }", "one", "two", "four", "1", "23", "192", "ю", "о", "‑", "\u00a0", "john", "example", "com", "plus", "+", "-", "\n", ",", "İ", "ſ", "\u212a", "mail", ":", "\t"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 24))) for _ in range(30_000)]
+    gated = [pii.find(t) for t in texts]
+    monkeypatch.setattr(pii, "disguised", lambda text: True)
+    assert gated == [pii.find(t) for t in texts]
+
+
+def test_spans_do_not_depend_on_text_beside_them():
+    rng = random.Random(9)
+    disguised = ["card 4111\u20111111\u20111111\u20111111", "card 4111\u00a01111\u00a01111\u00a01111", "four 111 1111 1111 11111", "j\u043ehn@example.com", "jane at example dot org", "192 (dot) 168 (dot) 1 (dot) 1", "a@b.de"]
+    clean = ["Plain words. ", "\u200b", "ж ", "naïve \u2014 text ", "Meet at noon. ", "№ 5\n"]
+    for text in disguised:
+        _, alone = pii.find(text)
+        for _ in range(20):
+            before, after = "".join(rng.choices(clean, k=3)) + "\n", "\n" + "".join(rng.choices(clean, k=3))
+            assert pii.find(before + text + after)[1] == [(k, a + len(before), b + len(before)) for k, a, b in alone], (before, text, after)
+
+
+def test_kept_columns_may_not_clash(spark, odd):
+    for run in (lambda d: pii.scan(d, keep=["spans"]), lambda d: pieces.encode(d, queries.vocabulary("piece_bpe_32k.model"), keep=["IDs"]), lambda d: langid.identify(d, langid.Model([], np.zeros((2, 0)), 1), keep=["score"])):
+        with pytest.raises(ValueError, match="named like"):
+            run(odd.withColumn("spans", odd.text).withColumn("IDs", odd.text))
+
+
 def test_pii_long_runs_are_linear():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "+1" + " " * 200_000, "1." * 100_000, "a@" * 50_000, "one " * 20_000):
         pii.find(text)
@@ -471,6 +525,54 @@ def test_quality_counts_against_brute_force(spark, model):
         assert r.n_tokens == len(ids) and r.entropy == pytest.approx(-(p * np.log2(p)).sum())
 
 
+def test_long_words_are_whole(spark, model):
+    """Words beyond any size are encoded as the libraries do, whatever stands beside them."""
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = ["x" * 10_000, "=" * 9000, "ab-" * 40_000, "x" * 9000 + " " + "x" * 9000 + " y"]
+    for r in _rated(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert r.n_tokens == sum(map(len, library.encode(texts[r.doc_id].split())))
+
+
+def test_fertility_measures_against_brute_force(spark, model):
+    """Characters per token, byte share and script, and the verdict that follows from them and the quartiles."""
+    import base64
+
+    import tiktoken
+    import unicodedata
+
+    merges = {base64.b64decode(a): int(b) for a, b in (x.split() for x in queries.vocabulary("byte_bpe_multi_50k.tiktoken").splitlines())}
+    byte_level = tiktoken.Encoding("b", pat_str=queries.RANK_PATTERN, mergeable_ranks=merges, special_tokens={})
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    docs = {r.doc_id: r for r in documents(spark, TINY).collect()}
+    got = _rated(spark, documents(spark, TINY)).collect()
+    judged = {}
+    for r in got:
+        w = WORD.findall(docs[r.doc_id].text)
+        ids = [i for x in library.encode(w) for i in x]
+        second = sum(len(byte_level.encode_ordinary(" " + x)) for x in w)
+        assert r.chars_per_token == pytest.approx(sum(map(len, w)) / max(len(ids), 1)) and r.chars_per_byte_token == pytest.approx(sum(map(len, w)) / max(second, 1))
+        assert r.byte_share == pytest.approx(sum(map(library.is_byte, ids)) / max(len(ids), 1))
+        names = Counter(unicodedata.name(c, "?").split()[0].lower() for c in docs[r.doc_id].text if c.isalpha())
+        assert not names or r.script == names.most_common(1)[0][0]
+        if not r.base_failed and len(ids) >= quality.MIN_TOKENS:
+            judged.setdefault((r.script, docs[r.doc_id].lang), []).append(round(r.chars_per_byte_token, 3))
+    for r in got:
+        band = quality.BANDS[r.script]
+        fine = r.n_tokens < quality.MIN_TOKENS or band.chars_low <= r.chars_per_token <= band.chars_high and band.chars_low / 2 <= r.chars_per_byte_token <= band.chars_high and r.byte_share <= band.byte_share and r.entropy >= band.entropy_low
+        own = sorted(judged.get((r.script, docs[r.doc_id].lang), []))
+        if fine and len(own) >= quality.MIN_TEXTS and r.n_tokens >= quality.MIN_TOKENS:
+            q = [own[max(math.ceil(len(own) * p) - 1, 0)] for p in (0.25, 0.5, 0.75)]
+            reach = quality.FENCE * max(q[2] - q[0], quality.LEAST_SPREAD * q[1])
+            fine = q[0] - reach <= r.chars_per_byte_token <= q[2] + reach
+        assert r.kept == (fine and not r.base_failed)
+
+
+def test_scripts_by_code_point():
+    texts = {"Tiếng Việt ạ ế": "latin", "한국어 문장": "hangul", "日本語 です": "han", "Привет": "cyrillic", "ελληνικά": "greek", "שלום": "hebrew", "مرحبا": "arabic", "ქართული": "other", "": "latin", "12": "latin"}
+    w = Words(pa.array(list(texts)))
+    assert [quality._SCRIPTS[k] for k in quality.scripts_of(w.data, np.stack([w.doc_start, w.doc_end], 1))] == list(texts.values())
+
+
 def test_quality_bands(spark):
     rng = random.Random(1)
     prose = " ".join(rng.choices("the quick brown fox jumps over lazy dogs while small birds sing near old houses and rivers".split(), k=200))
@@ -520,9 +622,65 @@ def test_mixtures_are_told_apart(spark):
     assert b.lang_pred == "en" and b.score == pytest.approx(1.0)
 
 
+def test_five_languages_in_one_text(spark):
+    """No number of languages is too many: five invented alphabets, one text of all."""
+    rng = random.Random(3)
+    sets = ["abcde", "fghij", "klmno", "pqrst", "uvwxyz"]
+    draw = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(3, 7))) for _ in range(n))
+    taught = [(10 * k + j, draw(s, 300), f"l{k}") for k, s in enumerate(sets) for j in range(5)]
+    model = langid.fit(spark.createDataFrame(taught, "doc_id long, text string, lang string"))
+    mixed = " ".join(draw(s, 80) for s in sets)
+    got = langid.identify(spark.createDataFrame([(1, mixed), (2, draw(sets[3], 50))], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert sorted(got[0].languages) == [f"l{k}" for k in range(5)] and all(0.15 < s < 0.25 for s in got[0].shares)
+    assert got[1].languages == ["l3"]
+
+
+def _best_set(ll, penalty):
+    """Brute force over one text: every nested set by a plain EM in full precision."""
+    def em(p):
+        pi = np.full(p.shape[1], 1 / p.shape[1])
+        for _ in range(langid.ROUNDS):
+            joint = p * pi
+            pi = (joint / joint.sum(1, keepdims=True)).mean(0)
+        return pi, np.log((p * pi).sum(1)).sum()
+
+    p = np.exp(ll.astype(np.longdouble))
+    full, _ = em(p)
+    rank = np.argsort(-full, kind="stable")
+    found = (ll.sum(0).max(), (int(ll.sum(0).argmax()),), np.array([1.0]))
+    for k in range(2, p.shape[1] + 1):
+        if full[rank[k - 1]] * len(ll) >= 1:
+            pi, value = em(p[:, rank[:k]])
+            if value - penalty * (k - 1) * math.log(max(len(ll), 2)) > found[0]:
+                found = (value - penalty * (k - 1) * math.log(max(len(ll), 2)), tuple(rank[:k].tolist()), pi)
+    return dict(zip(found[1], map(float, found[2])))
+
+
+def test_inference_against_brute_force(spark):
+    """Chosen sets and proportions of whole documents and of mixtures, text by text."""
+    rows = documents(spark, TINY).collect()
+    model = langid.fit(documents(spark, TINY))
+    rng = random.Random(1)
+    texts = [r.text for r in rows] + [" ".join(rng.choice(rows).text.split()[:40] + rng.choice(rows).text.split()[:25]) for _ in range(60)]
+    got, _ = langid.infer(model, pa.array(texts))
+    mixed = 0
+    for k, t in enumerate(texts):
+        w, first, end, hashed = langid._windows(pa.array([t]), model.bits)
+        if w.n_words[0]:
+            ll = np.array([model.table[hashed[a:b]].sum(0) for a, b in zip(first, end)])
+            want = _best_set(ll, langid.PENALTY)
+            mixed += len(want) > 1
+            assert {j: x for j, x in enumerate(got[k]) if x > 0}.keys() == want.keys() and all(abs(got[k][j] - x) < 1e-3 for j, x in want.items())
+    assert mixed > 10
+
+
+def test_many_languages_share_the_table():
+    assert langid._bits(17, 4) == 17 and langid._bits(17, 512) == 17 and langid._bits(17, 5000) == 13
+
+
 def test_em_raises_the_likelihood():
     rng = np.random.default_rng(2)
-    p = rng.random((50, 3)).astype(np.float32) + 0.01
+    p = np.log(rng.random((50, 3)) + 0.01)
     off, allowed = np.array([0, 20, 50]), np.ones((2, 3))
     ll = [langid._em(p, off, allowed, k)[1] for k in range(6)]
     assert all((b >= a - 1e-6).all() for a, b in zip(ll, ll[1:]))
