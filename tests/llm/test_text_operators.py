@@ -112,6 +112,59 @@ def test_blocks_agree(spark):
     assert one == many
 
 
+def test_blocks_are_bounded_by_terms(spark, monkeypatch):
+    docs, items, _ = _leaky(spark)
+    monkeypatch.setattr(decontaminate, "BLOCK_TERMS", 250)
+    sizes = [len(set(np.concatenate([x.words for x in b]).tolist())) for b in decontaminate._blocks(items, 2000)]
+    assert max(sizes) <= 250 and len(sizes) > decontaminate.PASS_BLOCKS
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} >= {(5, 1), (15, 3)}
+
+
+def _verdicts(texts, items):
+    """Brute force: every item against every stretch of every document, without any cosine."""
+    told = decontaminate.read_items(items)
+    out = set()
+    for doc, text in texts:
+        h = decontaminate._hashes([text or ""])[0]
+        n = len(h)
+        for at in range(0, max(n - 24, 1), 24):
+            inside = set(h[max(at - 60, 0) : at + 108].tolist())
+            for x in told:
+                if sum(k in inside for k in x.words.tolist()) >= decontaminate.LCS_WITH_ANSWER * len(x.words):
+                    region = h[max(at - len(x.words), 0) : min(at + 48, n) + len(x.words)]
+                    ratio = decontaminate.lcs(x.words, region) / len(x.words)
+                    if ratio >= decontaminate.LCS_ALONE or ratio >= decontaminate.LCS_WITH_ANSWER and decontaminate.lcs(x.answer, region) >= 0.6 * len(x.answer):
+                        out.add((doc, x.item_id))
+    return out
+
+
+def test_recall_against_the_check_of_all_pairs(spark):
+    """The tables as they are, and paraphrases of every item in long documents, at the threshold of the query."""
+    docs, items = documents(spark, TINY), spark.read.parquet(f"{TINY}/benchmark.parquet")
+    bench = [(r.item_id, r.text) for r in items.collect()]
+    rng = random.Random(12)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    words = [w for _, t in texts for w in t.split()]
+    for k, (text, rate) in enumerate((t, r) for _, t in bench for r in (1 / 12, 1 / 8, 1 / 6)):
+        part = [rng.choice(words) if rng.random() < rate else w for w in text.split() if rng.random() > rate]
+        at = rng.randint(0, 200)
+        texts.append((10_000 + k, " ".join([*rng.choices(words, k=at), *part, *rng.choices(words, k=200 - at)])))
+    want = _verdicts(texts, bench)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()}
+    print(f"recall {len(got & want) / len(want):.4f} of {len(want)}, beyond brute force {len(got - want)}")
+    assert len(want) > 50 and len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    """Rows without an id are drawn by their text, copies of a row once."""
+    from pyspark.sql import functions as F
+
+    lost = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text of row "), "id").alias("text"))
+    same = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    drawn = decontaminate._read(lost.union(same), np.zeros(1, np.uint64), 300).drawn.count()
+    assert 0 < drawn < 300
+
+
 def test_more_items_than_dimensions(spark):
     """2,000 items in one block: verbatim and paraphrased leaks in long documents, all found."""
     rng = random.Random(11)
