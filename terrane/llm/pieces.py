@@ -1,12 +1,14 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled once into three machines: the normaliser (dummy prefix,
-spaces to the mark), the lexicon (a trie of the pieces, with a byte-fallback arc for
-every character outside it) and the weights.  Each input is composed with them and
+A model file is compiled once into three machines: the normaliser (the model's longest-
+match rewrite rules, runs of spaces, dummy prefix, spaces to the mark), the lexicon (a
+trie of the pieces, with a byte-fallback arc for every character outside it) and the
+weights.  Each input is composed with them and
 the tropical-semiring shortest path is its encoding:
 
 * unigram models: an arc costs its piece's negative score; fallback costs the
-  dearest piece and ten more; the path is found by the usual relaxation;
+  dearest piece and ten more, a user's symbol less than anything; the path is found by
+  the usual relaxation; neighbouring unknown characters are one unknown piece;
 * BPE models: two adjacent pieces cost 0 if merging their characters by rank gives
   back exactly these two, else infinity.  A sequence all of whose neighbours agree is
   the merge result itself, so one path is finite and the search for it is linear.
@@ -64,12 +66,40 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
+def _rewrites(rules: bytes) -> dict[str, str]:
+    """The rewrite rules of a model file: the size of a double-array trie, its 32-bit units, and the outputs, each ended by a zero."""
+    if not rules:
+        return {}
+    size = int.from_bytes(rules[:4], "little")
+    units = np.frombuffer(rules, "<u4", size // 4, 4).astype(np.int64)
+    texts = rules[4 + size :]
+    labels = np.arange(1, 256)
+
+    def base(at: int) -> int:
+        unit = int(units[at])
+        return at ^ ((unit >> 10) << ((unit & 512) >> 6))
+
+    out, todo = {}, [(base(0), b"")]
+    while todo:
+        low, key = todo.pop()
+        places = low ^ labels
+        inside = places < len(units)
+        places, bytes_ = places[inside], labels[inside]
+        for place, byte in zip(places[units[places] & 0x800000FF == bytes_].tolist(), bytes_[units[places] & 0x800000FF == bytes_].tolist(), strict=True):
+            below, longer = base(place), key + bytes([byte])
+            if units[place] >> 8 & 1:
+                start = int(units[below]) & 0x7FFFFFFF
+                out[longer.decode()] = texts[start : texts.index(b"\0", start)].decode()
+            todo.append((below, longer))
+    return out
+
+
 class Transducer:
     """A compiled model; plain data only, so it travels to executors as it is."""
 
     def __init__(self, model: bytes):
         self.pieces, self.scores, self.types = [], [], []
-        self.kind, self.dummy_prefix, self.fallback = UNIGRAM, True, False
+        self.kind, self.dummy_prefix, self.fallback, self.squeeze, rules = UNIGRAM, True, False, True, b""
         for field, value in _fields(model):
             if field == 1:
                 piece = dict(_fields(value))
@@ -79,14 +109,22 @@ class Transducer:
             elif field == 2:
                 spec = dict(_fields(value))
                 self.kind, self.fallback = spec.get(3, UNIGRAM), bool(spec.get(35, 0))
+                if spec.get(24, 0):
+                    raise ValueError("marks behind words are not compiled")
             elif field == 3:
                 spec = dict(_fields(value))
-                if spec.get(2) or spec.get(4, 1):
-                    raise ValueError("only models with the identity normaliser are compiled")
-                self.dummy_prefix = bool(spec.get(3, 1))
+                rules, self.dummy_prefix, self.squeeze = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1))
+                if not spec.get(5, 1):
+                    raise ValueError("models that leave spaces as they are are not compiled")
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError(f"model type {self.kind} has no transducer")
         self.unknown = self.types.index(UNKNOWN)
+        #: rewrites by their first character, longest first; a user's symbol stays as it is
+        self.rewrites: dict[str, list[tuple[str, str]]] = {}
+        for old, new in (_rewrites(rules) | {p: p for p, t in zip(self.pieces, self.types, strict=True) if t == USER and rules}).items():
+            self.rewrites.setdefault(old[0], []).append((old[1:], new))
+        for found in self.rewrites.values():
+            found.sort(key=lambda x: -len(x[0]))
         self.byte_ids = {int(p[3:5], 16): k for k, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         if self.fallback and len(self.byte_ids) != 256:
             raise ValueError("byte fallback needs all 256 byte pieces")
@@ -108,7 +146,9 @@ class Transducer:
             for char in piece:
                 node = node.setdefault(char, {})
             node[""] = k
-        self.fallback_cost = max(self.rank.values(), default=0.0) + 10
+        costs = [-x for x, t in zip(self.scores, self.types, strict=True) if t == NORMAL]
+        self.fallback_cost = max(costs, default=0.0) + 10
+        self.costs = [-x if t != USER else 0.1 + len(p.encode()) * min(costs, default=0.0) for p, x, t in zip(self.pieces, self.scores, self.types, strict=True)]
         inside = {(a, b) for p in lexicon for a, b in zip(p, p[1:], strict=False)}
         used = {c for p in lexicon for c in p}
         letters = {c for c in map(chr, range(0x30, 0x250)) if c.isalnum()}
@@ -120,6 +160,27 @@ class Transducer:
         self.parts: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self._cutter: re.Pattern | None = None
+        self._starter: re.Pattern | None = None
+
+    def normal(self, text: str) -> str:
+        """The text after the model's rewrites, with spaces squeezed where the model says so; the identity for a model without either."""
+        if self.rewrites:
+            if self._starter is None:
+                alone = "".join(re.escape(c) for c, x in self.rewrites.items() if not x[-1][0])
+                first = "".join(re.escape(c) for c, x in self.rewrites.items() if x[0][0])
+                second = "".join(map(re.escape, {r[0] for x in self.rewrites.values() for r, _ in x if r}))
+                self._starter = re.compile("|".join([*([f"[{alone}]"] if alone else []), *([f"[{first}](?=[{second}])"] if first else [])]))
+            out, at = [], 0
+            for m in self._starter.finditer(text):
+                k = m.start()
+                if k >= at:
+                    for rest, new in self.rewrites[m[0]]:
+                        if text.startswith(rest, k + 1):
+                            out += (text[at:k], new)
+                            at = k + 1 + len(rest)
+                            break
+            text = "".join([*out, text[at:]])
+        return re.sub(" +", " ", text).strip(" ") if self.squeeze else text
 
     def cutter(self) -> re.Pattern:
         """Cuts a normalised text where no piece goes over: before marks, between letters and certain signs, around certain controls."""
@@ -221,7 +282,7 @@ class Transducer:
         back: list[tuple[int, int, int]] = [(0, 0, -1)] * (n + 1)
         for start in range(n):
             for end, piece in self._matches(text, start):
-                total = cost[start] + (self.fallback_cost if piece < 0 else -self.scores[piece])
+                total = cost[start] + (self.fallback_cost if piece < 0 else self.costs[piece])
                 if total < cost[end]:
                     cost[end], back[end] = total, (start, end, piece)
         path, at = [], n
@@ -251,32 +312,37 @@ class Transducer:
         return got
 
     def encode(self, text: str) -> np.ndarray:
-        """Piece ids (int32) of a whole text; the empty text has none."""
+        """Piece ids (int32) of a whole text; a text that is empty or normalised to nothing has none."""
+        text = self.normal(text)
         if not text:
             return np.zeros(0, "<i4")
         text = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
-        return np.frombuffer(b"".join(map(self.path_bytes, self.cutter().findall(text))), "<i4")
+        if self.squeeze:
+            text = text.rstrip(MARK)
+        ids = np.frombuffer(b"".join(map(self.path_bytes, self.cutter().findall(text))), "<i4")
+        return ids if self.fallback else ids[~((ids == self.unknown) & (np.append(-1, ids[:-1]) == self.unknown))]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids; broken byte runs become replacement characters."""
         text = b"".join(map(self.says.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return text[1:] if (self.dummy_prefix or self.squeeze) and text.startswith(" ") else text
 
     def state(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("parts", "pairs", "_cutter")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("parts", "pairs", "_cutter", "_starter")}
 
     @classmethod
     def from_state(cls, state: dict) -> Transducer:
         made = cls.__new__(cls)
-        made.__dict__ |= state | {"parts": {}, "pairs": {}, "_cutter": None}
+        made.__dict__ |= state | {"parts": {}, "pairs": {}, "_cutter": None, "_starter": None}
         return made
 
 
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default doc_id), ids array<int>, n_tokens, n_byte_tokens, round_trip.
 
-    ``round_trip`` says that decoding the ids gives the text back; it fails only for
-    texts that hold the space mark itself, which reads as a space.  Null and empty
+    ``round_trip`` says that decoding the ids gives the text's normal form back (the text
+    itself if the model has no normaliser); with byte fallback it fails only for texts that
+    hold the space mark itself, which reads as a space.  Null and empty
     texts have no ids and round-trip to the empty text.  Row order, repeated rows and
     null keys stay as they are; columns outside ``keep`` are not read; a kept column may
     not be named like one that is added.
@@ -293,7 +359,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str
             for part in slices(batch, "__text"):
                 texts = [t or "" for t in part.column("__text").to_pylist()]
                 ids = [machine.encode(t) for t in texts]
-                fine = [machine.decode(x) == t for x, t in zip(ids, texts, strict=True)]
+                fine = [machine.decode(x) == machine.normal(t) for x, t in zip(ids, texts, strict=True)]
                 off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, "<i4")
                 n_byte = np.concatenate([[0], np.cumsum(is_byte[flat])])
@@ -302,3 +368,24 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str
 
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
     return rows.mapInArrow(run, ", ".join([*kinds, "ids array<int>, n_tokens long, n_byte_tokens long, round_trip boolean"]))
+
+
+def decode(encoded: DataFrame, model: bytes, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (default doc_id) and ``decoded``, the text of each row's piece ids.
+
+    Null and empty ids give the empty text; ids outside the vocabulary raise.  Row order,
+    repeated rows and null keys stay as they are; a kept column may not be named ``decoded``.
+    """
+    keep = ["doc_id"] if keep is None else keep
+    no_clash(keep, ["decoded"])
+    held = encoded.sparkSession.sparkContext.broadcast(Transducer(model).state())
+    rows = encoded.select(*keep, F.col(ids_col).cast("array<int>").alias("__ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Transducer.from_state(held.value)
+        for batch in batches:
+            texts = [machine.decode(np.array(x or [], np.int32)) for x in batch.column("__ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "decoded"])
+
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    return rows.mapInArrow(run, ", ".join([*kinds, "decoded string"]))
