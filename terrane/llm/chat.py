@@ -1,7 +1,8 @@
 """Budgeted chat windows.
 
-A conversation becomes one or more windows of at most ``max_tokens`` tokens.  Prefix
-sums of the turns' tokens choose turn-aligned spans; every window after the first
+A conversation becomes one or more windows of at most ``max_tokens`` tokens of a
+vocabulary (see :class:`Ranks`), a turn's two marks and last line feed counting one each.
+Prefix sums of the turns' tokens choose turn-aligned spans; every window after the first
 starts with the system turn and as much of the latest history as ``history_tokens``
 allows, both masked, so each assistant text is a training target exactly once.  A
 turn is never cut: one that exceeds the budget by itself stands in a window of its
@@ -23,14 +24,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_TOKENS = 2048
 HISTORY_TOKENS = 256
 START, END = "<|im_start|>", "<|im_end|>"
-#: Fixed tokens of a turn's marks.
-MARK_TOKENS = 5
+#: Tokens of a turn's two marks and its last line feed.
+MARK_TOKENS = 3
+#: Rows that a task holds before it sends them.
+HELD_ROWS = 4096
 _TOKEN = re.compile(r"\w{1,6}|[^\w\s]|\s+")
 
 
@@ -47,10 +50,32 @@ def escape_role(role: str) -> str:
 
 
 def count_tokens(text: str) -> int:
-    """The default measure: pieces of up to six word characters, other characters, and runs of white space."""
+    """A measure without a vocabulary: pieces of up to six word characters, other characters, and runs of white space."""
     return sum(1 for _ in _TOKEN.finditer(text))
 
 
+class Ranks:
+    """The measure of a byte-level vocabulary: a rank file's content, sent once to every worker, and its pre-tokenising pattern."""
+
+    def __init__(self, spark: SparkSession, ranks: bytes, pattern: str):
+        self.held = spark.sparkContext.broadcast((ranks, pattern))
+        self.encoding = None
+
+    def __getstate__(self) -> dict:
+        return {"held": self.held, "encoding": None}
+
+    def __call__(self, text: str) -> int:
+        if self.encoding is None:
+            import base64
+
+            import tiktoken
+
+            ranks, pattern = self.held.value
+            merges = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines())}
+            self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+        return len(self.encoding.encode_ordinary(text))
+
+
 @dataclass
 class Turn:
     role: str
@@ -129,7 +154,8 @@ def windows(conversations: DataFrame, max_tokens: int = MAX_TOKENS, history_toke
     Turns go by ``turn`` (nulls first), equal ones by role and text; repeated rows
     are turns of their own.  Null roles and texts are empty.  A null conv_id is one
     conversation.  The system turn is the first turn if its role is ``system``.  Loss
-    spans are code points of ``text`` that hold this window's new assistant texts.
+    spans are code points of ``text`` that hold this window's new assistant texts.  An
+    empty table gives no windows; extra columns are not read.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
@@ -143,7 +169,7 @@ def windows(conversations: DataFrame, max_tokens: int = MAX_TOKENS, history_toke
                     if state is not None:
                         out += _advance(state, max_tokens, history_tokens, True)
                     state = _State(conv)
-                turn = Turn(role, text, measure(text) + measure(role) + MARK_TOKENS)
+                turn = Turn(role, text, measure(escape(text)) + measure(f"{escape_role(role)}\n") + MARK_TOKENS)
                 if state.seen == 0 and role == "system":
                     state.system = turn
                 state.seen += 1
@@ -188,11 +214,16 @@ def digests(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = _NONE
         out: list[tuple] = []
+        names = [x.split()[0] for x in DIGEST.split(", ")]
+        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in DIGEST.split(", ")]
 
         def done() -> None:
             if now is not _NONE:
                 out.append((now, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, n_windows, over))
 
+        def send() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
+
         for batch in batches:
             for row in batch.to_pylist():
                 if now is _NONE or row["conv_id"] != now:
@@ -209,9 +240,10 @@ def digests(formatted: DataFrame) -> DataFrame:
                 chars += len(row["text"])
                 n_windows += 1
                 over += row["over_budget"]
+            if len(out) >= HELD_ROWS:
+                yield send()
+                out.clear()
         done()
-        names = [x.split()[0] for x in DIGEST.split(", ")]
-        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in DIGEST.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
+        yield send()
 
     return ordered.mapInArrow(run, DIGEST)
