@@ -316,6 +316,22 @@ def test_chat_odd_rows(spark):
     assert chat.digests(chat.windows(spark.createDataFrame([], TALK))).count() == 0
 
 
+def test_budget_counts_tokens_of_the_vocabulary(spark):
+    """Every window's tokens, counted again with the library from the written text."""
+    import base64
+
+    import tiktoken
+
+    merges = {base64.b64decode(a): int(b) for a, b in (x.split() for x in queries.vocabulary("byte_bpe_multi_50k.tiktoken").splitlines())}
+    library = tiktoken.Encoding("b", pat_str=queries.RANK_PATTERN, mergeable_ranks=merges, special_tokens={})
+    count = lambda t: len(library.encode_ordinary(t))
+    ranks = chat.Ranks(spark, queries.vocabulary("byte_bpe_multi_50k.tiktoken"), queries.RANK_PATTERN)
+    told = spark.read.parquet(f"{TINY}/conversations.parquet")
+    for w in chat.windows(told, 300, 60, measure=ranks).collect():
+        turns = re.findall(r"<\|im_start\|>([^\n]*\n)(.*?)<\|im_end\|>\n", w.text, re.S)
+        assert w.n_tokens == sum(count(a) + count(b) + 3 for a, b in turns) and (w.n_tokens <= 300 or w.over_budget)
+
+
 def test_hostile_conversation(spark):
     r = {r.conv_id: r for r in queries.op3_budgeted_chat(spark, TINY).collect()}[-1]
     assert r.n_turns == 2 and r.turns_sha256 == _digest([("user", queries.HOSTILE), ("assistant", queries.HOSTILE)])
@@ -548,6 +564,52 @@ def test_unigram_path_is_the_cheapest():
     assert machine.encode("z").tolist()[-1] == 0
 
 
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _blob(number, value):
+    return _varint(number << 3 | 2) + _varint(len(value)) + value
+
+
+def _unigram(rules=b"", squeeze=True, fallback=False, prefix=True):
+    """A unigram model of some syllables, built by hand with a normaliser of the library's own."""
+    import struct
+
+    rng = random.Random(4)
+    vocabulary = {"▁": -2.5} | {c: -5.0 - k / 7 for k, c in enumerate("abcdefghijklmnopqrstuvwxyzé1.")}
+    while len(vocabulary) < 300:
+        vocabulary[rng.choice(["", "▁"]) + "".join(rng.choices("abcdeinorst", k=rng.randint(2, 5)))] = -rng.uniform(3, 12)
+    parts = [_blob(1, _blob(1, p) + b"\x15" + struct.pack("<f", 0.0) + bytes([0x18, t])) for p, t in ((b"<unk>", 2), (b"<s>", 3), (b"</s>", 3))]
+    if fallback:
+        parts += [_blob(1, _blob(1, f"<0x{k:02X}>".encode()) + b"\x15" + struct.pack("<f", 0.0) + b"\x18\x06") for k in range(256)]
+    parts += [_blob(1, _blob(1, p.encode()) + b"\x15" + struct.pack("<f", x)) for p, x in vocabulary.items()]
+    parts += [_blob(2, b"\x18\x01" + (_varint(35 << 3) + b"\x01" if fallback else b"")), _blob(3, _blob(1, b"own") + (_blob(2, rules) if rules else b"") + bytes([0x18, prefix, 0x20, squeeze]))]
+    return b"".join(parts)
+
+
+@pytest.mark.parametrize(("name", "squeeze", "fallback", "prefix"), [("nmt_nfkc", True, True, True), ("nfkc_cf", True, False, True), ("nfkc", False, True, True), (None, True, True, False), (None, False, False, True)])
+def test_unigram_models_and_normalisers_equal_the_library(spark, name, squeeze, fallback, prefix):
+    rules = dict(pieces._fields(dict(pieces._fields(sentencepiece.SentencePieceNormalizer(rule_name=name).serialized_model_proto()))[3]))[2] if name else b""
+    proto = _unigram(rules, squeeze, fallback, prefix)
+    machine, library = pieces.Transducer(proto), sentencepiece.SentencePieceProcessor(model_proto=proto)
+    rng = random.Random(7)
+    letters = [*"aabbcdeeinorst  ", "\t", "\n", "é", "e\u0301", "Å", "ﬁ", "①", "ｆｕｌｌ", "漢", "🙂", "\u200b", "½", "…", "Ω", "ß", "İ", "  ", "\u3000", "가", "\u1100\u1161", ".", "1", "▁"]
+    texts = ["", " ", "   ", *("".join(rng.choices(letters, k=rng.randint(0, 25))) for _ in range(3000)), *(r.text.lower() for r in documents(spark, TINY).limit(40).collect())]
+    wrong = [(t, machine.encode(t).tolist(), y) for t, y in zip(texts, library.encode(texts, num_threads=1)) if machine.encode(t).tolist() != y]
+    assert wrong == [] and all(library.normalize(t) == ("▁" * (prefix and machine.normal(t) != "")) + machine.normal(t).replace(" ", "▁") for t in texts if "▁" not in t)
+    assert not fallback or all(machine.decode(machine.encode(t)) == machine.normal(t) for t in texts if "▁" not in t and not machine.normal(t).startswith(" "))
+
+
+def test_tables_are_decoded(spark, odd, none, model):
+    got = {(r.doc_id, r.source): r.decoded for r in pieces.decode(pieces.encode(odd, model, keep=["doc_id", "source"]), model, keep=["doc_id", "source"]).collect()}
+    assert got == {(r.doc_id, r.source): (r.text or "").replace("▁", " ") for r in odd.collect()}
+    assert pieces.decode(pieces.encode(none, model), model).count() == 0
+
+
 def test_pieces_odd_rows(spark, odd, none, model):
     got = {r.doc_id: r for r in pieces.encode(odd, model).collect()}
     assert got[2].ids == [] and got[3].ids == [] and got[5].round_trip and got[6].round_trip
