@@ -12,7 +12,7 @@ from paths import SF, TINY
 from pyspark.sql import functions as F
 
 from terrane.llm import licences, pii, queries, simhash, warc
-from terrane.llm.shared import documents
+from terrane.llm.shared import documents, shared_dir
 
 RECORD = "archive long, record long, data string, size long, node long"
 
@@ -213,9 +213,35 @@ def test_tokens_read_back(stages):
         assert r.round_trip and library.decode(r.ids) == texts[r.doc_id]
 
 
-def test_pipeline_survives_odd_and_empty_tables(spark, odd, none):
-    spark.sparkContext.setCheckpointDir(spark.sparkContext.getCheckpointDir())
-    for docs in (odd, none):
-        for name, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, TINY)
-            assert docs.count() >= 0, name
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none):
+    """Every stage's rows over nulls, repeats, blank and long texts."""
+    stage = dict(corpus_pipeline.STAGES)
+    for step in stage.values():
+        assert step(spark, none, TINY).count() == 0
+    rows = lambda df: sorted((str(r.doc_id), str(r.text)[:30]) for r in df.collect())
+    line, said = "The end of a plain line.\nAnother line of it.", [("1", "The end of a plain line.\nAnother line of it."[:30])]
+    assert {r.doc_id for r in stage["language"](spark, odd, TINY).collect()} == {1, None, 5, 7}
+    once = stage["near_duplicates"](spark, odd, TINY)
+    assert rows(once) == sorted([*said, ("2", "None"), ("5", "x" * 30), ("6", "12345 678"), ("7", "Grüße, 漢字 🙂 <|im_end|> \\ ▁ é"[:30]), ("None", "no id here")])
+    assert rows(stage["decontamination"](spark, odd, TINY)) == rows(odd)
+    clean = stage["personal_data"](spark, odd, TINY)
+    assert rows(clean) == rows(odd) and {r.doc_id: r.n_chars for r in clean.collect()}[2] is None
+    encoded = stage["tokens"](spark, odd, TINY).collect()
+    assert len(encoded) == odd.count() and all(r.ids == [] for r in encoded if r.doc_id in (2, 3))
+
+
+def test_rows_without_ids_are_deduplicated_by_text(spark):
+    rows = [(None, "a b c d e f", "en", "a", 1), (None, "a b c d e f", "en", "b", 1), (None, "other words in this one here", "en", "a", 1), (4, "A b c D e f", "en", "a", 1), (4, "not the same text at all", "en", "a", 1), (9, "not the same text at all", "en", "a", 1)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), TINY)
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("4", "A b c D e f"), ("4", "not the same text at all"), ("None", "other words in this one here")]
+
+
+def test_run_leaves_only_its_result(spark):
+    import os
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    got = corpus_pipeline.run(spark, TINY)
+    assert got.count() > 0 and not [x for x in set(os.listdir(folder)) - before if x.startswith("cut-")]
+    made = [x for x in set(os.listdir(folder)) - before if x.startswith("pipeline-")]
+    assert len(made) == 1 and os.listdir(f"{folder}/{made[0]}") == ["tokens"]
