@@ -36,7 +36,8 @@ def features(cells: DataFrame, by: Sequence[str], value: str, bin_width: float,
         if family == "firstorder":
             part = units.first_order(levels, keys, value, bin_width)
         elif family == "glcm":
-            part = texture.glcm_features(texture.glcm(levels, keys), keys)
+            matrix = texture.glcm(levels, keys)
+            part = texture.glcm_features(matrix, keys, levels).join(texture.maximal_correlation(matrix, keys), keys)
         elif family == "glrlm":
             runs = texture.glrlm(levels, keys)
             along = [*keys, "direction"]

@@ -30,60 +30,70 @@ def _all_offsets() -> list[tuple[int, int, int]]:
 
 
 def glcm(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(groups, i, j, n): levels of neighbouring cells of a region in all 26 directions, hence symmetric.
+    """(groups, direction, i, j, n): levels of neighbouring cells of a region along each of the 13 directions, both ways, hence symmetric.
 
-    Only one of each two opposite directions is joined; the other is its mirror image.
+    Only one of each two opposite offsets is joined; the other is its mirror image.
+    A direction without a pair has no rows.
     """
     keys = list(by)
-    beside = _shifted(cells.select(*keys, *KEY, F.col("level").alias("i")), half_offsets("corner"), [*keys, "i"])
-    half = beside.join(cells.select(*keys, *KEY, F.col("level").alias("j")), [*keys, *KEY]).groupBy(*keys, "i", "j").agg(F.count("*").alias("n"))
-    both = half.select(*keys, "n", F.inline(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))))
-    return both.groupBy(*keys, "i", "j").agg(F.sum("n").alias("n"))
+    moves = F.array(*(F.struct(F.lit(k).alias("direction"), *(F.lit(v).alias(f"d{a}") for a, v in zip(KEY, o, strict=True))) for k, o in enumerate(half_offsets("corner"))))
+    spread = cells.select(*keys, *KEY, F.col("level").alias("i"), F.inline(moves))
+    beside = spread.select(*keys, "direction", "i", *((F.col(k) + F.col(f"d{k}")).alias(k) for k in KEY))
+    half = beside.join(cells.select(*keys, *KEY, F.col("level").alias("j")), [*keys, *KEY]).groupBy(*keys, "direction", "i", "j").agg(F.count("*").alias("n"))
+    both = half.select(*keys, "direction", "n", F.inline(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))))
+    return both.groupBy(*keys, "direction", "i", "j").agg(F.sum("n").alias("n"))
 
 
 def _entropy(p: Column) -> Column:
     return F.sum(-p * F.log2(p + EPS))
 
 
-def glcm_features(matrix: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Co-occurrence features of the pooled directions, from the table, its marginals and its diagonal sums."""
+def glcm_features(matrix: DataFrame, by: Sequence[str], levels: DataFrame | None = None) -> DataFrame:
+    """Co-occurrence features: each of every direction's own normalised table, then averaged over the region's directions.
+
+    The number of levels is the region's largest level, taken from ``levels`` (groups,
+    level, any number of rows) where given and else from the matrix.  The table is
+    exchanged once; marginals, diagonals and means are windows within it.
+    """
     keys = list(by)
-    p = matrix.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*keys))).drop("n")
-    i, j, q = F.col("i").cast("double"), F.col("j").cast("double"), F.col("p")
-    px = p.groupBy(*keys, "i").agg(F.sum("p").alias("px"))
-    mx = px.groupBy(*keys).agg(F.sum(F.col("i") * F.col("px")).alias("mu"), F.sum(F.col("i") * F.col("i") * F.col("px")).alias("m2"), _entropy(F.col("px")).alias("hx"), F.count("*").alias("ng"), F.max("i").alias("top"))
-    d, s = i - j, i + j
-    full = p.join(mx, keys).join(px, [*keys, "i"]).join(px.withColumnsRenamed({"i": "j", "px": "py"}), [*keys, "j"])
-    mu = F.col("mu")
-    c = s - 2 * mu
-    both = F.col("px") * F.col("py")
-    n = F.col("top").cast("double")
-    main = full.groupBy(*keys).agg(
+    each = [*keys, "direction"]
+    rows = matrix.repartition(*(F.col(k) for k in each))
+    over = lambda *more: Window.partitionBy(*each, *more)
+    d, s = F.col("i") - F.col("j"), F.col("i") + F.col("j")
+    q = F.col("p")
+    rows = rows.withColumn("p", F.col("n") / F.sum("n").over(over())).withColumns({"away": F.abs(d), "total": s})
+    rows = rows.withColumns({"px": F.sum("p").over(over("i")), "py": F.sum("p").over(over("j")), "pd": F.sum("p").over(over("away")), "ps": F.sum("p").over(over("total")), "mu": F.sum(F.col("i") * q).over(over()), "mean_away": F.sum(F.col("away") * q).over(over())})
+    if levels is None:
+        levels = matrix.select(*keys, F.col("i").alias("level"))
+    top = levels.groupBy(*keys).agg(F.max("level").cast("double").alias("ng"))
+    rows = rows.join(top, keys)
+    i, j, d, k, n, mu = (F.col(x).cast("double") for x in ("i", "j", "away", "away", "ng", "mu"))
+    c = i + j - 2 * mu
+    # an entropy of a marginal or diagonal, summed over the cells that it collects
+    information = lambda x: F.sum(-q * F.log2(x + EPS))
+    main = rows.groupBy(*each).agg(
         F.sum(i * j * q).alias("autocorrelation"), F.first("mu").alias("joint_average"), F.sum(c * c * c * c * q).alias("cluster_prominence"), F.sum(c * c * c * q).alias("cluster_shade"), F.sum(c * c * q).alias("cluster_tendency"),
-        F.sum(d * d * q).alias("contrast"), F.sum(q * q).alias("joint_energy"), _entropy(q).alias("joint_entropy"), F.sum(q / (1 + d * d)).alias("idm"), F.sum(q / (1 + d * d / (n * n))).alias("idmn"), F.sum(q / (1 + F.abs(d))).alias("id"), F.sum(q / (1 + F.abs(d) / n)).alias("idn"),
-        F.sum(F.when(d != 0, q / (d * d)).otherwise(0.0)).alias("inverse_variance"), F.max(q).alias("maximum_probability"), F.sum((i - mu) * (i - mu) * q).alias("sum_squares"), F.sum(-q * F.log2(both + EPS)).alias("__hxy1"),
-        F.first("hx").alias("__hx"), F.first((F.col("m2") - mu * mu)).alias("__var"),
+        F.sum(d * d * q).alias("contrast"), F.sum((i - mu) * (j - mu) * q).alias("__cov"), F.sum((i - mu) * (i - mu) * q).alias("sum_squares"), F.sum(k * q).alias("difference_average"), information(F.col("pd")).alias("difference_entropy"),
+        F.sum((k - F.col("mean_away")) * (k - F.col("mean_away")) * q).alias("difference_variance"), F.sum(q * q).alias("joint_energy"), information(q).alias("joint_entropy"), F.sum(q / (1 + d * d)).alias("idm"), F.sum(q / (1 + d * d / (n * n))).alias("idmn"), F.sum(q / (1 + d)).alias("id"), F.sum(q / (1 + d / n)).alias("idn"),
+        F.sum(F.when(d != 0, q / (d * d)).otherwise(0.0)).alias("inverse_variance"), F.max(q).alias("maximum_probability"), F.sum((i + j) * q).alias("sum_average"), information(F.col("ps")).alias("sum_entropy"),
+        information(F.col("px")).alias("__hx"), information(F.col("px") * F.col("py")).alias("__hxy1"),
     )
-    # products of marginals over all level pairs, also those never seen together
-    hxy2 = (2 * F.col("hx")).alias("__hxy2")
-    diff = p.groupBy(*keys, F.abs(F.col("i") - F.col("j")).alias("k")).agg(F.sum("p").alias("p"))
-    k = F.col("k").cast("double")
-    da = diff.groupBy(*keys).agg(F.sum(k * q).alias("difference_average"), _entropy(q).alias("difference_entropy"), (F.sum(k * k * q) - F.sum(k * q) * F.sum(k * q)).alias("difference_variance"))
-    total = p.groupBy(*keys, (F.col("i") + F.col("j")).alias("k")).agg(F.sum("p").alias("p"))
-    sa = total.groupBy(*keys).agg(F.sum(k * q).alias("sum_average"), _entropy(q).alias("sum_entropy"))
-    out = main.join(da, keys).join(sa, keys).join(mx.select(*keys, hxy2), keys)
-    var, hx, hxy1, h2 = (F.col(x) for x in ("__var", "__hx", "__hxy1", "__hxy2"))
-    h = F.col("joint_entropy")
-    correlation = F.when(var > 0, (F.col("autocorrelation") - F.col("joint_average") * F.col("joint_average")) / var).otherwise(1.0)
-    imc1 = F.when(hx > 0, (h - hxy1) / hx).otherwise(0.0)
-    imc2 = F.sqrt(F.greatest(1 - F.exp(-2 * (h2 - h)), F.lit(0.0)))
-    return out.withColumns({"correlation": correlation, "imc1": imc1, "imc2": imc2}).drop("__var", "__hx", "__hxy1", "__hxy2")
+    var, hx, h = F.col("sum_squares"), F.col("__hx"), F.col("joint_entropy")
+    # a table is symmetric, so both marginals have one entropy and their product has twice that
+    own = {
+        "correlation": F.when(var > 0, F.col("__cov") / (var + EPS)).otherwise(1.0),
+        "imc1": F.when(hx != 0, (h - F.col("__hxy1")) / F.when(hx != 0, hx)).otherwise(0.0),
+        "imc2": F.sqrt(F.greatest(1 - F.exp(-2 * (2 * hx - h)), F.lit(0.0))),
+    }
+    main = main.withColumns(own)
+    return main.groupBy(*keys).agg(*(F.avg(x).alias(x) for x in main.columns if x not in each and not x.startswith("__")))
 
 
 def maximal_correlation(matrix: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(groups, mcc): the root of the second largest eigenvalue of the levels' transition products.
+    """(groups, mcc): the root of the second largest eigenvalue of the levels' transition products, averaged over directions.
 
-    A group's table has at most the square of its levels, so one task holds it.
+    The levels are all of the region's; a region of one level has 1.  A group's table
+    has at most 13 times the square of its levels, so one task holds it.
     """
     import numpy as np
     import pandas as pd
@@ -91,15 +101,17 @@ def maximal_correlation(matrix: DataFrame, by: Sequence[str]) -> DataFrame:
     keys = list(by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        levels, at = np.unique(np.concatenate([pdf["i"], pdf["j"]]), return_inverse=True)
-        p = np.zeros((len(levels), len(levels)))
-        np.add.at(p, (at[: len(pdf)], at[len(pdf) :]), pdf["n"])
-        p /= p.sum()
-        px, py = p.sum(1) + EPS, p.sum(0) + EPS
-        q = (p / px[:, None]) @ (p / py[None]).T
-        values = np.sort(np.linalg.eigvals(q).real)
-        mcc = float(np.sqrt(max(values[-2], 0.0))) if len(values) > 1 else 1.0
-        return pdf[keys].head(1).assign(mcc=mcc)
+        levels = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
+        found = []
+        for _, own in pdf.groupby("direction"):
+            p = np.zeros((len(levels), len(levels)))
+            np.add.at(p, (np.searchsorted(levels, own["i"]), np.searchsorted(levels, own["j"])), own["n"])
+            p /= p.sum()
+            px, py = p.sum(1), p.sum(0)
+            q = np.einsum("ik,jk,ik->ij", p, p, 1 / (px[:, None] * py[None] + EPS))
+            values = np.sort(np.linalg.eigvals(q).real)
+            found.append(float(np.sqrt(max(values[-2], 0.0))) if len(values) > 1 else 1.0)
+        return pdf[keys].head(1).assign(mcc=float(np.mean(found)))
 
     kinds = ", ".join(f"{k} {matrix.schema[k].dataType.simpleString()}" for k in keys)
     return matrix.groupBy(*keys).applyInPandas(run, f"{kinds}, mcc double")
@@ -119,9 +131,10 @@ def gldm(cells: DataFrame, by: Sequence[str], alpha: int = 0) -> DataFrame:
 def glszm(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """(groups, level, size, n): zones of equal level, joined through all 26 neighbours, by size."""
     keys = list(by)
-    one = cells.select(F.xxhash64(*keys).alias("__g"), *keys, *KEY, F.col("level").alias("label"))
-    zones = components(one.select("__g", *KEY, "label"), "__g", "corner").groupBy("__g", F.col("label").alias("level"), "component").agg(F.count("*").cast("int").alias("size"))
-    return zones.groupBy("__g", "level", "size").agg(F.count("*").alias("n")).join(one.select("__g", *keys).distinct(), "__g").select(*keys, "level", "size", "n")
+    group = F.xxhash64(*keys).alias("__g")
+    zones = components(cells.select(group, *KEY, F.col("level").alias("label")), "__g", "corner").groupBy("__g", F.col("label").alias("__level"), "component").agg(F.count("*").cast("int").alias("size"))
+    counted = zones.groupBy("__g", "__level", "size").agg(F.count("*").alias("n")).withColumnRenamed("__level", "level")
+    return counted.join(cells.select(group, *keys).distinct(), "__g").select(*keys, "level", "size", "n")
 
 
 def glrlm(cells: DataFrame, by: Sequence[str]) -> DataFrame:

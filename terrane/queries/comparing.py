@@ -22,23 +22,23 @@ def radiomics_whole_region(spark, sf_dir):
 def radiomics_label_map(spark, sf_dir):
     """The label map itself taken as the image."""
     c = cells(spark, sf_dir).withColumn("v", F.col("label").cast("double"))
-    return radiomics.features(c, ["subject"], "v", 1.0, ["subject"], ("firstorder", "glcm", "gldm", "ngtdm"))
+    return radiomics.features(c, ["subject"], "v", 1.0, ["subject"])
 
 
 @register("radiomics_each_habitat")
 def radiomics_each_habitat(spark, sf_dir):
-    return radiomics.each_label(cells(spark, sf_dir), "subject", "label", "tax", WIDTH, (1, 2, 3, 4), ("firstorder", "glcm", "gldm"))
+    return radiomics.each_label(cells(spark, sf_dir), "subject", "label", "tax", WIDTH, (1, 2, 3, 4))
 
 
 @register("radiomics_supervoxel")
 def radiomics_supervoxel(spark, sf_dir):
     c = cells(spark, sf_dir).withColumn("unit", F.col("z"))
-    return radiomics.features(c, ["subject", "unit"], "tax", WIDTH, ["subject"], ("firstorder", "glcm", "glrlm", "gldm", "ngtdm"))
+    return radiomics.features(c, ["subject", "unit"], "tax", WIDTH, ["subject"])
 
 
 @register("radiomics_voxel")
 def radiomics_voxel(spark, sf_dir):
-    return radiomics.voxel_features(cells(spark, sf_dir), "subject", "tax", WIDTH, 1, ("firstorder",))
+    return radiomics.voxel_features(cells(spark, sf_dir), "subject", "tax", WIDTH, 1, radiomics.FAMILIES)
 
 
 _LONG = f"{PREDICTIONS}, l AS (SELECT split, y, 'p' AS model, p FROM predictions UNION ALL SELECT split, y, 'p2', p2 FROM predictions)"

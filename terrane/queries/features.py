@@ -168,15 +168,18 @@ def voxel_local_entropy(spark, sf_dir):
 
 @register(
     "texture_first_order",
-    f"""WITH {CELLS}, b AS (SELECT subject, label, count(*) AS n, sum(tax * tax) AS energy, min(tax) AS minimum, max(tax) AS maximum, avg(tax) AS mean, quantile_cont(tax, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q FROM cells GROUP BY ALL),
+    f"""WITH {CELLS.replace("cells AS", "whole AS")}, cells AS (SELECT * REPLACE (round(tax * 100) AS tax) FROM whole), b AS (SELECT subject, label, count(*) AS n, sum(tax * tax) AS energy, min(tax) AS minimum, max(tax) AS maximum, avg(tax) AS mean, quantile_cont(tax, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q FROM cells GROUP BY ALL),
 m AS (SELECT subject, label, avg(abs(tax - mean)) AS mad, avg((tax - mean) ** 2) AS m2, avg((tax - mean) ** 3) AS m3, avg((tax - mean) ** 4) AS m4, avg(CASE WHEN tax >= q[1] AND tax <= q[5] THEN tax END) AS nm FROM cells JOIN b USING (subject, label) GROUP BY ALL),
 r AS (SELECT subject, label, avg(CASE WHEN tax >= q[1] AND tax <= q[5] THEN abs(tax - nm) END) AS rmad FROM cells JOIN b USING (subject, label) JOIN m USING (subject, label) GROUP BY ALL),
-h AS (SELECT subject, label, floor(tax / 0.02::DOUBLE) AS v, count(*) AS c FROM cells GROUP BY ALL),
+h AS (SELECT subject, label, floor(tax / 2.0::DOUBLE) AS v, count(*) AS c FROM cells GROUP BY ALL),
 s AS (SELECT subject, label, sum(-p * log2(p + 2.2e-16::DOUBLE)) AS entropy, sum(p * p) AS uniformity FROM (SELECT subject, label, c / sum(c) OVER (PARTITION BY subject, label) AS p FROM h) GROUP BY ALL)
-SELECT subject, label, round(energy, 6) AS energy, round(energy, 6) AS total_energy, round(entropy, 6) AS entropy, round(minimum, 6) AS minimum, round(q[1], 6) AS percentile_10, round(q[5], 6) AS percentile_90, round(maximum, 6) AS maximum, round(mean, 6) AS mean, round(q[3], 6) AS median,
+SELECT subject, label, round(energy, 6) AS energy, round(energy, 6) AS total_energy, round(entropy, 6) AS entropy, round(minimum, 6) AS minimum, round(q[1], 6) AS percentile_10, round(q[5], 6) AS percentile_90, round(maximum, 6) AS maximum, mean, round(q[3], 6) AS median,
   round(q[4] - q[2], 6) AS interquartile_range, round(maximum - minimum, 6) AS range, round(mad, 6) AS mean_absolute_deviation, round(rmad, 6) AS robust_mean_absolute_deviation, round(sqrt(energy / n), 6) AS root_mean_squared, round(sqrt(m2), 6) AS standard_deviation,
   round(CASE WHEN m2 > 0 THEN m3 / pow(m2, 1.5) ELSE 0.0 END, 6) AS skewness, round(CASE WHEN m2 > 0 THEN m4 / (m2 * m2) ELSE 0.0 END, 6) AS kurtosis, round(m2, 6) AS variance, round(uniformity, 6) AS uniformity
 FROM b JOIN m USING (subject, label) JOIN r USING (subject, label) JOIN s USING (subject, label)""",
 )
 def texture_first_order(spark, sf_dir):
-    return rounded(units.first_order(cells(spark, sf_dir), ("subject", "label"), "tax", bin_width=0.02))
+    """Taxes in whole hundredths: their sums are exact, so no mean depends on the order of summation, and it isn't rounded."""
+    found = units.first_order(cells(spark, sf_dir).withColumn("tax", F.round(F.col("tax") * 100)), ("subject", "label"), "tax", bin_width=2.0)
+    exact = found.select("subject", "label", "mean")
+    return rounded(found.drop("mean")).join(exact, ["subject", "label"])

@@ -164,9 +164,14 @@ def mask_dice(spark, sf_dir):
     return rounded(spatial.dice(cells(spark, sf_dir), _moved(spark, sf_dir), "subject"))
 
 
-@register("label_intensity_centroids", f"WITH {CELLS} SELECT subject, label, round(avg(price), 4) AS price, round(avg(tax), 6) AS tax FROM cells GROUP BY ALL")
+_CENTS = "CAST(sum(CAST(round({0} * 100) AS BIGINT)) AS DOUBLE) / (100 * count(*)) AS {0}"
+
+
+@register("label_intensity_centroids", f"WITH {CELLS} SELECT subject, label, {_CENTS.format('price')}, {_CENTS.format('tax')} FROM cells GROUP BY ALL")
 def label_intensity_centroids(spark, sf_dir):
-    return cells(spark, sf_dir).groupBy("subject", "label").agg(F.round(F.avg("price"), 4).alias("price"), F.round(F.avg("tax"), 6).alias("tax"))
+    """Means of whole hundredths, divided once: the same double whatever the order of summation."""
+    mean = lambda c: (F.sum(F.round(F.col(c) * 100).cast("long")).cast("double") / (100 * F.count("*"))).alias(c)
+    return cells(spark, sf_dir).groupBy("subject", "label").agg(mean("price"), mean("tax"))
 
 
 @register("label_spatial_centroids", f"WITH {CELLS} SELECT subject, label, round(avg(z), 6) AS z, round(avg(y), 6) AS y, round(avg(x), 6) AS x FROM cells GROUP BY ALL")

@@ -20,29 +20,34 @@ def _levels(spark, sf_dir):
 
 
 _L = f"{CELLS}, l AS (SELECT subject, z, y, x, CAST(floor(tax / 0.02::DOUBLE) - min(floor(tax / 0.02::DOUBLE)) OVER (PARTITION BY subject) + 1 AS INTEGER) AS level FROM cells), o AS (SELECT * FROM (VALUES {_ALL}) t(dz, dy, dx))"
-_GLCM = f"{_L}, m AS (SELECT a.subject, a.level AS i, b.level AS j, count(*) AS n FROM l a CROSS JOIN o JOIN l b ON a.subject = b.subject AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL)"
+_OFFSETS = ", ".join(f"({k}, {sign * a}, {sign * b}, {sign * c})" for k, (a, b, c) in enumerate(_HALF) for sign in (1, -1))
+_GLCM = f"{_L}, g AS (SELECT * FROM (VALUES {_OFFSETS}) t(direction, dz, dy, dx)), m AS (SELECT a.subject, CAST(direction AS INTEGER) AS direction, a.level AS i, b.level AS j, count(*) AS n FROM l a CROSS JOIN g JOIN l b ON a.subject = b.subject AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL)"
 
 
-@register("texture_glcm_matrix", f"WITH {_GLCM} SELECT subject, i, j, n FROM m")
+@register("texture_glcm_matrix", f"WITH {_GLCM} SELECT subject, direction, i, j, n FROM m")
 def texture_glcm_matrix(spark, sf_dir):
     return texture.glcm(_levels(spark, sf_dir), BY)
 
 
+_NAMES = "autocorrelation joint_average cluster_prominence cluster_shade cluster_tendency contrast joint_energy joint_entropy idm idmn id idn inverse_variance maximum_probability sum_squares difference_average difference_entropy difference_variance sum_average sum_entropy correlation imc1 imc2"
+
+
 @register(
     "texture_glcm_features",
-    f"""WITH {_GLCM}, p AS (SELECT subject, i, j, n / sum(n) OVER (PARTITION BY subject) AS p FROM m), x AS (SELECT subject, i, sum(p) AS px FROM p GROUP BY ALL),
-u AS (SELECT subject, sum(i * px) AS mu, sum(i * i * px) AS m2, -sum(px * log2(px + 2.2e-16::DOUBLE)) AS hx, CAST(max(i) AS DOUBLE) AS ng FROM x GROUP BY 1),
-f AS (SELECT p.*, x.px, y.px AS py, mu, m2, hx, ng FROM p JOIN x ON p.subject = x.subject AND p.i = x.i JOIN x y ON p.subject = y.subject AND p.j = y.i JOIN u ON p.subject = u.subject),
-a AS (SELECT subject, sum(i * j * p) AS autocorrelation, any_value(mu) AS joint_average, sum((i + j - 2 * mu) ** 4 * p) AS cluster_prominence, sum((i + j - 2 * mu) ** 3 * p) AS cluster_shade, sum((i + j - 2 * mu) ** 2 * p) AS cluster_tendency, sum((i - j) ** 2 * p) AS contrast, sum(p * p) AS joint_energy, -sum(p * log2(p + 2.2e-16::DOUBLE)) AS joint_entropy,
-  sum(p / (1 + (i - j) ** 2)) AS idm, sum(p / (1 + (i - j) ** 2 / ng ** 2)) AS idmn, sum(p / (1 + abs(i - j))) AS id, sum(p / (1 + abs(i - j) / ng)) AS idn, sum(CASE WHEN i <> j THEN p / (i - j) ** 2 ELSE 0 END) AS inverse_variance, max(p) AS maximum_probability, sum((i - mu) ** 2 * p) AS sum_squares, -sum(p * log2(px * py + 2.2e-16::DOUBLE)) AS hxy1, any_value(hx) AS hx, any_value(m2 - mu * mu) AS v FROM f GROUP BY 1),
-d AS (SELECT subject, sum(k * p) AS difference_average, -sum(p * log2(p + 2.2e-16::DOUBLE)) AS difference_entropy, sum(k * k * p) - sum(k * p) ** 2 AS difference_variance FROM (SELECT subject, abs(i - j) AS k, sum(p) AS p FROM p GROUP BY ALL) GROUP BY 1),
-s AS (SELECT subject, sum(k * p) AS sum_average, -sum(p * log2(p + 2.2e-16::DOUBLE)) AS sum_entropy FROM (SELECT subject, i + j AS k, sum(p) AS p FROM p GROUP BY ALL) GROUP BY 1)
-SELECT subject, round(autocorrelation, 6) AS autocorrelation, round(joint_average, 6) AS joint_average, round(cluster_prominence, 6) AS cluster_prominence, round(cluster_shade, 6) AS cluster_shade, round(cluster_tendency, 6) AS cluster_tendency, round(contrast, 6) AS contrast, round(joint_energy, 6) AS joint_energy, round(joint_entropy, 6) AS joint_entropy, round(idm, 6) AS idm, round(idmn, 6) AS idmn, round(id, 6) AS id, round(idn, 6) AS idn,
-  round(inverse_variance, 6) AS inverse_variance, round(maximum_probability, 6) AS maximum_probability, round(sum_squares, 6) AS sum_squares, round(difference_average, 6) AS difference_average, round(difference_entropy, 6) AS difference_entropy, round(difference_variance, 6) AS difference_variance, round(sum_average, 6) AS sum_average, round(sum_entropy, 6) AS sum_entropy,
-  round((autocorrelation - joint_average ** 2) / v, 6) AS correlation, round((joint_entropy - hxy1) / hx, 6) AS imc1, round(sqrt(greatest(1 - exp(-2 * (2 * hx - joint_entropy)), 0.0)), 6) AS imc2 FROM a JOIN d USING (subject) JOIN s USING (subject)""",
+    f"""WITH {_GLCM}, p AS (SELECT subject, direction, i, j, n / sum(n) OVER (PARTITION BY subject, direction) AS p FROM m), x AS (SELECT subject, direction, i, sum(p) AS px FROM p GROUP BY ALL),
+u AS (SELECT subject, direction, sum(i * px) AS mu, -sum(px * log2(px + 2.2e-16::DOUBLE)) AS hx FROM x GROUP BY ALL), t AS (SELECT subject, CAST(max(level) AS DOUBLE) AS ng FROM l GROUP BY 1),
+f AS (SELECT p.*, x.px, y.px AS py, mu, hx, ng FROM p JOIN x USING (subject, direction, i) JOIN x y ON p.subject = y.subject AND p.direction = y.direction AND p.j = y.i JOIN u ON p.subject = u.subject AND p.direction = u.direction JOIN t ON p.subject = t.subject),
+a AS (SELECT subject, direction, sum(i * j * p) AS autocorrelation, any_value(mu) AS joint_average, sum((i + j - 2 * mu) ** 4 * p) AS cluster_prominence, sum((i + j - 2 * mu) ** 3 * p) AS cluster_shade, sum((i + j - 2 * mu) ** 2 * p) AS cluster_tendency, sum((i - j) ** 2 * p) AS contrast, sum(p * p) AS joint_energy, -sum(p * log2(p + 2.2e-16::DOUBLE)) AS joint_entropy,
+  sum(p / (1 + (i - j) ** 2)) AS idm, sum(p / (1 + (i - j) ** 2 / ng ** 2)) AS idmn, sum(p / (1 + abs(i - j))) AS id, sum(p / (1 + abs(i - j) / ng)) AS idn, sum(CASE WHEN i <> j THEN p / (i - j) ** 2 ELSE 0 END) AS inverse_variance, max(p) AS maximum_probability, sum((i - mu) ** 2 * p) AS sum_squares, sum((i - mu) * (j - mu) * p) AS cov, -sum(p * log2(px * py + 2.2e-16::DOUBLE)) AS hxy1, any_value(hx) AS hx FROM f GROUP BY ALL),
+h AS (SELECT a.subject, a.direction, -sum(a.px * b.px * log2(a.px * b.px + 2.2e-16::DOUBLE)) AS hxy2 FROM x a JOIN x b USING (subject, direction) GROUP BY ALL),
+d AS (SELECT subject, direction, sum(k * p) AS difference_average, -sum(p * log2(p + 2.2e-16::DOUBLE)) AS difference_entropy, sum(k * k * p) - sum(k * p) ** 2 AS difference_variance FROM (SELECT subject, direction, abs(i - j) AS k, sum(p) AS p FROM p GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT subject, direction, sum(k * p) AS sum_average, -sum(p * log2(p + 2.2e-16::DOUBLE)) AS sum_entropy FROM (SELECT subject, direction, i + j AS k, sum(p) AS p FROM p GROUP BY ALL) GROUP BY ALL),
+e AS (SELECT *, CASE WHEN sum_squares > 0 THEN cov / sum_squares ELSE 1 END AS correlation, CASE WHEN hx <> 0 THEN (joint_entropy - hxy1) / hx ELSE 0 END AS imc1, sqrt(greatest(1 - exp(-2 * (hxy2 - joint_entropy)), 0.0)) AS imc2 FROM a JOIN d USING (subject, direction) JOIN s USING (subject, direction) JOIN h USING (subject, direction))
+SELECT subject, {", ".join(f"round(avg({x}), 5) AS {x}" for x in _NAMES.split())} FROM e GROUP BY 1""",
 )
 def texture_glcm_features(spark, sf_dir):
-    return rounded(texture.glcm_features(texture.glcm(_levels(spark, sf_dir), BY), BY))
+    levels = _levels(spark, sf_dir)
+    return rounded(texture.glcm_features(texture.glcm(levels, BY), BY, levels), 5)
 
 
 _GLDM = f"{_L}, d AS (SELECT a.subject, a.level, a.z, a.y, a.x, 1 + count(b.subject) AS size FROM l a CROSS JOIN o LEFT JOIN l b ON a.subject = b.subject AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND a.level = b.level GROUP BY ALL), m AS (SELECT subject, level, CAST(size AS INTEGER) AS size, count(*) AS n FROM d GROUP BY ALL)"
@@ -81,12 +86,23 @@ def texture_glrlm_matrix(spark, sf_dir):
     return texture.glrlm(_levels(spark, sf_dir), BY)
 
 
-@register("texture_glrlm_features")
+_RUN_NAMES = "small_emphasis large_emphasis low_level_emphasis high_level_emphasis small_low_emphasis small_high_emphasis large_low_emphasis large_high_emphasis level_variance size_variance size_entropy level_nonuniformity size_nonuniformity level_nonuniformity_normalized size_nonuniformity_normalized percentage"
+
+
+@register(
+    "texture_glrlm_features",
+    f"""WITH RECURSIVE {_RUNS}, m AS (SELECT * FROM runs), t AS (SELECT subject, direction, sum(n) AS t, sum(n * size) AS c FROM m GROUP BY ALL), q AS (SELECT m.*, CAST(level AS DOUBLE) AS g, CAST(size AS DOUBLE) AS s, n / t AS p, t, c FROM m JOIN t USING (subject, direction)),
+gl AS (SELECT subject, direction, sum(c * c) / sum(c) AS v FROM (SELECT subject, direction, level, sum(n) AS c FROM m GROUP BY ALL) GROUP BY ALL), sz AS (SELECT subject, direction, sum(c * c) / sum(c) AS v FROM (SELECT subject, direction, size, sum(n) AS c FROM m GROUP BY ALL) GROUP BY ALL),
+by_run AS (SELECT q.subject, q.direction, sum(p / (s * s)) AS small_emphasis, sum(p * s * s) AS large_emphasis, sum(p / (g * g)) AS low_level_emphasis, sum(p * g * g) AS high_level_emphasis, sum(p / (s * s * g * g)) AS small_low_emphasis, sum(p * g * g / (s * s)) AS small_high_emphasis, sum(p * s * s / (g * g)) AS large_low_emphasis, sum(p * s * s * g * g) AS large_high_emphasis,
+  sum(p * g * g) - sum(p * g) ** 2 AS level_variance, sum(p * s * s) - sum(p * s) ** 2 AS size_variance, -sum(p * log2(p + 2.2e-16::DOUBLE)) AS size_entropy, any_value(gl.v) AS level_nonuniformity, any_value(sz.v) AS size_nonuniformity, any_value(gl.v) / any_value(t) AS level_nonuniformity_normalized, any_value(sz.v) / any_value(t) AS size_nonuniformity_normalized, any_value(t) / any_value(c) AS percentage
+  FROM q JOIN gl USING (subject, direction) JOIN sz USING (subject, direction) GROUP BY ALL)
+SELECT subject, {", ".join(f"round(avg({x}), 5) AS {x}" for x in _RUN_NAMES.split())} FROM by_run GROUP BY 1""",
+)
 def texture_glrlm_features(spark, sf_dir):
     by = (*BY, "direction")
-    each = texture.size_features(texture.glrlm(_levels(spark, sf_dir), BY), by, texture.glrlm(_levels(spark, sf_dir), BY).groupBy(*by).agg(F.sum(F.col("size") * F.col("n")).alias("cells")))
-    names = [c for c in each.columns if c not in by]
-    return each.groupBy(*BY).agg(*(F.avg(c).alias(c) for c in names))
+    runs = texture.glrlm(_levels(spark, sf_dir), BY)
+    each = texture.size_features(runs, by, runs.groupBy(*by).agg(F.sum(F.col("size") * F.col("n")).alias("cells")))
+    return rounded(each.groupBy(*BY).agg(*(F.avg(c).alias(c) for c in _RUN_NAMES.split())), 5)
 
 
 # A recursive SQL walk over zones takes minutes on whole tables: small maps are held against brute force in the tests.

@@ -44,7 +44,7 @@ def differences(got, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
     out = []
     for a, b in zip(_sorted(got.columns, mine), _sorted(names, theirs), strict=True):
         for c, x, y in zip(sorted(names), a, b, strict=True):
-            same = x == y if not (isinstance(x, float) or isinstance(y, float)) or x is None or y is None else math.isclose(x, float(y), rel_tol=1e-9, abs_tol=2e-6) and type(x) is type(y)
+            same = x == y if not (isinstance(x, float) or isinstance(y, float)) or x is None or y is None else math.isclose(x, float(y), rel_tol=1e-9, abs_tol=1e-12) and type(x) is type(y)
             if not same:
                 out.append(f"{c}: {x!r} and {y!r}")
     return out[:5]

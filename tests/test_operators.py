@@ -318,6 +318,68 @@ def test_brier_without_censoring_is_plain(spark):
     assert {r.t: r.auc for r in survival.dynamic_auc(df.withColumn("risk", -F.col("time")), [2.0]).collect()} == {2.0: 1.0}
 
 
+def _glcm_brute(grid):
+    """Every feature from its definition: a dense symmetric table for each direction, normalised by itself, the features averaged."""
+    e, top = 2.2e-16, int(grid.max())
+    size = grid.shape
+    out = []
+    for o in [o for o in ALL if o > (0, 0, 0)]:
+        t = np.zeros((top, top))
+        for i in np.ndindex(size):
+            j = tuple(a + b for a, b in zip(i, o))
+            if all(0 <= a < n for a, n in zip(j, size)) and grid[i] and grid[j]:
+                t[grid[i] - 1, grid[j] - 1] += 1
+                t[grid[j] - 1, grid[i] - 1] += 1
+        if not t.sum():
+            continue
+        p = t / t.sum()
+        i, j = np.meshgrid(np.arange(1, top + 1), np.arange(1, top + 1), indexing="ij")
+        px, py = p.sum(1), p.sum(0)
+        ux, uy = (i * p).sum(), (j * p).sum()
+        diff = np.array([p[np.abs(i - j) == k].sum() for k in range(top)])
+        total = np.array([p[i + j == k].sum() for k in range(2, 2 * top + 1)])
+        k, s = np.arange(top), np.arange(2, 2 * top + 1)
+        h = lambda x: -(x * np.log2(x + e)).sum()
+        sx = np.sqrt(((i - ux) ** 2 * p).sum())
+        hxy1, hxy2 = -(p * np.log2(np.outer(px, py) + e)).sum(), h(np.outer(px, py))
+        own = sorted({int(v) - 1 for v in grid.ravel() if v})
+        q = np.array([[sum(p[a, c] * p[b, c] / (px[a] * py[c] + e) for c in own) for b in own] for a in own])
+        values = np.sort(np.linalg.eigvals(q).real)
+        out.append({
+            "autocorrelation": (i * j * p).sum(), "joint_average": ux, "cluster_prominence": ((i + j - ux - uy) ** 4 * p).sum(), "cluster_shade": ((i + j - ux - uy) ** 3 * p).sum(), "cluster_tendency": ((i + j - ux - uy) ** 2 * p).sum(),
+            "contrast": ((i - j) ** 2 * p).sum(), "correlation": ((i - ux) * (j - uy) * p).sum() / (sx * sx) if sx else 1.0, "difference_average": (k * diff).sum(), "difference_entropy": h(diff), "difference_variance": ((k - (k * diff).sum()) ** 2 * diff).sum(),
+            "joint_energy": (p**2).sum(), "joint_entropy": h(p), "imc1": (h(p) - hxy1) / max(h(px), h(py)) if h(px) else 0.0, "imc2": math.sqrt(max(1 - math.exp(-2 * (hxy2 - h(p))), 0)), "idm": (diff / (1 + k**2)).sum(), "idmn": (diff / (1 + k**2 / top**2)).sum(),
+            "id": (diff / (1 + k)).sum(), "idn": (diff / (1 + k / top)).sum(), "inverse_variance": (diff[1:] / k[1:] ** 2).sum(), "maximum_probability": p.max(), "sum_average": (s * total).sum(), "sum_entropy": h(total), "sum_squares": ((i - ux) ** 2 * p).sum(),
+            "mcc": math.sqrt(max(values[-2], 0)) if len(values) > 1 else 1.0,
+        })
+    return {name: float(np.mean([x[name] for x in out])) for name in out[0]}
+
+
+@pytest.mark.parametrize("shape", [(3, 4, 5), (1, 5, 6), (2, 2, 2)])
+def test_co_occurrence_features_against_the_definition(spark, shape):
+    """Directions apart, also where some have no pair (one slice) and where a level has no neighbour."""
+    grid = np.random.default_rng(sum(shape)).integers(0, 6, shape)
+    cells = _cells(spark, grid).withColumnRenamed("label", "level")
+    matrix = texture.glcm(cells, ["subject"])
+    got = texture.glcm_features(matrix, ["subject"], cells).join(texture.maximal_correlation(matrix, ["subject"]), "subject").first().asDict()
+    want = _glcm_brute(grid)
+    assert {k: got[k] for k in want} == pytest.approx(want, abs=1e-9) and set(got) == set(want) | {"subject"}
+
+
+@pytest.mark.parametrize("family", ["glrlm", "glszm", "gldm", "ngtdm", "firstorder", "glcm"])
+def test_every_family_by_label_equals_the_label_alone(spark, family):
+    from terrane.operators import radiomics
+
+    grid = np.random.default_rng(17).integers(1, 5, (3, 4, 4))
+    rows = [(1, z, y, x, float(v), int(1 + (x >= 2))) for (z, y, x), v in np.ndenumerate(grid)]
+    df = spark.createDataFrame(rows, "subject long, z int, y int, x int, v double, label int")
+    wide = radiomics.each_label(df, "subject", "label", "v", 1.0, (1, 2), (family,)).first().asDict()
+    for k in (1, 2):
+        alone = radiomics.features(df.where(f"label = {k}"), ["subject"], "v", 1.0, ["subject"], (family,)).first().asDict()
+        own = {c.removeprefix(f"habitat_{k}_"): v for c, v in wide.items() if c.startswith(f"habitat_{k}_")}
+        assert own == pytest.approx({c: v for c, v in alone.items() if c != "subject"})
+
+
 def test_radiomics_by_label_and_voxel(spark):
     from terrane.operators import radiomics
 
@@ -328,8 +390,7 @@ def test_radiomics_by_label_and_voxel(spark):
     assert wide.has_habitat_1 == 1 and wide.has_habitat_9 == 0 and wide.habitat_9_glcm_contrast is None
     own = grid[:, :, :2]
     assert wide.habitat_1_firstorder_mean == pytest.approx(own.mean())
-    pairs = [(own[i], own[j]) for i in np.ndindex(own.shape) for j in np.ndindex(own.shape) if 0 < max(abs(a - b) for a, b in zip(i, j)) <= 1]
-    assert wide.habitat_1_glcm_contrast == pytest.approx(np.mean([(a - b) ** 2 for a, b in pairs]))
+    assert wide.habitat_1_glcm_contrast == pytest.approx(_glcm_brute(own)["contrast"])
     voxel = {(r.z, r.y, r.x): r for r in radiomics.voxel_features(df, "subject", "v", 1.0, 1, ("firstorder",)).collect()}
     assert len(voxel) == grid.size and voxel[0, 0, 0].firstorder_mean == pytest.approx(grid[:2, :2, :2].mean())
 
