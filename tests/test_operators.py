@@ -436,5 +436,5 @@ def test_rigid_by_nothing_and_mcc_of_a_checkerboard(spark):
     cells = _cells(spark, grid).withColumn("v", F.col("label").cast("double"))
     same = {(r.z, r.y, r.x): r.v for r in images.rigid(cells, ["subject"], "v").collect()}
     assert same == {i: float(v) for i, v in np.ndenumerate(grid)}
-    flat = texture.maximal_correlation(spark.createDataFrame([(1, 1, 2, 10), (1, 2, 1, 10)], "subject long, i int, j int, n long"), ["subject"]).first()
+    flat = texture.maximal_correlation(spark.createDataFrame([(1, 0, 1, 2, 10), (1, 0, 2, 1, 10)], "subject long, direction int, i int, j int, n long"), ["subject"]).first()
     assert flat.mcc == pytest.approx(1.0)
