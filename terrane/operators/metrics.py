@@ -11,11 +11,12 @@ import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_sf, normal_ppf, normal_sf
 from .prep import finite
+from .running import running
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -60,9 +61,13 @@ def at_threshold(df: DataFrame, y: str, p: str, threshold: float, by: Sequence[s
 def curve(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """(group, threshold, tp, fp, tn, fn) at every distinct score, calling scores at or above it positive."""
     n = df.groupBy(*by, F.col(p).alias("threshold")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
-    order = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    out = n.select(*by, "threshold", F.sum("pos").over(order).alias("tp"), F.sum("neg").over(order).alias("fp"), F.sum("pos").over(whole).alias("__p"), F.sum("neg").over(whole).alias("__n"))
+    out = running(n, by, "threshold", {"tp": "pos", "fp": "neg"}, descending=True)
+    if by:
+        whole = out.groupBy(*(F.col(k).alias(f"__{k}") for k in by)).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
+        out = out.join(whole, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by])
+    else:
+        pos, neg = out.agg(F.sum("pos"), F.sum("neg")).first()
+        out = out.withColumns({"__p": F.lit(pos or 0), "__n": F.lit(neg or 0)})
     return out.select(*by, "threshold", "tp", "fp", (F.col("__n") - F.col("fp")).alias("tn"), (F.col("__p") - F.col("tp")).alias("fn"))
 
 
@@ -74,8 +79,8 @@ def _curve_panel(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
 def auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """(group, auc): the midrank statistic, 0.5 of each tie; null with one class only."""
     n = df.groupBy(*by, F.col(p).alias("s")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
-    below = F.sum("neg").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
-    wins = n.withColumn("w", F.col("pos") * (below + F.col("neg") / 2))
+    n = running(n, by, "s", {"upto": "neg"})
+    wins = n.withColumn("w", F.col("pos") * (F.col("upto") - F.col("neg") / 2))
     return wins.groupBy(*by).agg(F.try_divide(F.sum("w"), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
@@ -162,8 +167,7 @@ def spiegelhalter(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> Data
 def placements(df: DataFrame, y: str, p: str, row: str) -> DataFrame:
     """(row, y, v): for each row the share of the other class that its score beats, ties half."""
     n = df.groupBy(F.col(p).alias("s")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
-    order = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    up = n.select("s", "pos", "neg", F.sum("pos").over(order).alias("cp"), F.sum("neg").over(order).alias("cn"))
+    up = running(n, (), "s", {"cp": "pos", "cn": "neg"})
     total_p, total_n = df.agg(F.count_if(F.col(y) == 1), F.count_if(F.col(y) != 1)).first()
     win = (F.col("cn") - F.col("neg") + F.col("neg") / 2) / total_n
     lose = (F.lit(total_p) - F.col("cp") + F.col("pos") / 2) / total_p
@@ -220,5 +224,5 @@ def bootstrap_auc(df: DataFrame, y: str, p: str, row: str, rounds: int = 200, se
     cuts = list(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
     weight = sum(((u >= c).cast("int") for c in cuts), F.lit(0))
     n = drawn.withColumn("w", weight).where("w > 0").groupBy("round", "p").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") != 1, F.col("w")).otherwise(0)).alias("neg"))
-    below = F.sum("neg").over(Window.partitionBy("round").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
-    return n.withColumn("won", F.col("pos") * (below + F.col("neg") / 2)).groupBy("round").agg(F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("auc")).where("auc is not null")
+    n = running(n, ("round",), "p", {"upto": "neg"})
+    return n.withColumn("won", F.col("pos") * (F.col("upto") - F.col("neg") / 2)).groupBy("round").agg(F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("auc")).where("auc is not null")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
+from .running import running
 
 
 
@@ -168,15 +169,11 @@ def keep_by_variance(df: DataFrame, features: Sequence[str], threshold: float =
 def midranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The rows with ``rank_<column>``: average ranks, equal values sharing theirs.
 
-    Ranks are sums over counted values, so only distinct values are sorted in one
-    place, never rows.
+    Ranks are running sums over counted values (see :mod:`.running`).
     """
-    from pyspark.sql import Window
-
     for c in columns:
-        counts = df.groupBy(c).agg(F.count("*").alias("__n"))
-        upto = F.sum("__n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranks = counts.select(F.col(c).alias("__v"), (upto - F.col("__n") + (F.col("__n") + 1) / 2).alias(f"rank_{c}"))
+        counts = running(df.groupBy(F.col(c).alias("__v")).agg(F.count("*").alias("__n")), (), "__v", {"__upto": "__n"})
+        ranks = counts.select("__v", (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias(f"rank_{c}"))
         df = df.join(ranks, F.col(c).eqNullSafe(F.col("__v")), "left").drop("__v")
     return df
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dist import f_ppf
+from .running import running
 
 
 def mean_squares(df: DataFrame, target: str, rater: str, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -139,8 +140,7 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = ()) -> DataFra
 def cliffs_delta(df: DataFrame, value: str, group: str) -> DataFrame:
     """(delta) of group 1 over group 0, from counts by distinct value: pairs are never formed."""
     n = df.groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == 1).alias("a"), F.count_if(F.col(group) == 0).alias("b")).where("v is not null")
-    upto = F.sum("b").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    won = n.select("a", "b", upto.alias("upto")).select("a", "b", (F.col("a") * (F.col("upto") - F.col("b"))).alias("less"), (F.col("a") * F.col("upto")).alias("most"))
+    won = running(n, (), "v", {"upto": "b"}).select("a", "b", (F.col("a") * (F.col("upto") - F.col("b"))).alias("less"), (F.col("a") * F.col("upto")).alias("most"))
     total = won.agg(F.sum("less").alias("less"), F.sum("most").alias("most"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
     pairs = F.col("na").cast("double") * F.col("nb")
     return total.select(F.try_divide(F.col("less") - (pairs - F.col("most")), pairs).alias("delta"))
@@ -161,8 +161,7 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> dict[str, float]:
 
     d = F.col(a) - F.col(b)
     n = df.select(d.alias("d")).where("d is not null and d <> 0").groupBy(F.abs("d").alias("v")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    r = n.withColumn("rank", upto - (F.col("n") - 1) / 2).agg(F.sum(F.col("up") * F.col("rank")).alias("w"), F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double")).alias("t")).first()
+    r = running(n, (), "v", {"upto": "n"}).withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2).agg(F.sum(F.col("up") * F.col("rank")).alias("w"), F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double")).alias("t")).first()
     if not r["n"]:
         return {"w": 0.0, "p": 1.0}
     m = r["n"]

@@ -438,3 +438,42 @@ def test_rigid_by_nothing_and_mcc_of_a_checkerboard(spark):
     assert same == {i: float(v) for i, v in np.ndenumerate(grid)}
     flat = texture.maximal_correlation(spark.createDataFrame([(1, 0, 1, 2, 10), (1, 0, 2, 1, 10)], "subject long, direction int, i int, j int, n long"), ["subject"]).first()
     assert flat.mcc == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_by_ranges_equal_one_window(spark, descending):
+    """Skewed values, nulls and groups, one of them a third of all rows."""
+    from terrane.operators.running import running
+
+    rng = np.random.default_rng(2)
+    rows = [(None if k % 50 == 0 else int(k % 3 * (k % 7 > 3)), float(v), int(rng.integers(0, 5))) for k, v in enumerate(np.unique(np.round(rng.exponential(1, 3000) ** 3, 5)))]
+    rows.append((1, None, 4))
+    df = spark.createDataFrame(rows, "g int, v double, n int")
+    for by in ((), ("g",)):
+        one, many = (sorted(map(str, running(df, by, "v", {"upto": "n"}, descending, single).collect())) for single in (10_000, 10))
+        assert one == many and len(one) == len(rows)
+
+
+def test_no_task_of_all_rows(spark, monkeypatch):
+    """Beyond the bound nothing is gathered in one partition but the ranges' totals."""
+    from terrane.operators import running as module
+
+    monkeypatch.setattr(module, "SINGLE", 100)
+    df = spark.range(5000).select((F.col("id") % 2).cast("int").alias("y"), (F.xxhash64("id") % 100_000).cast("double").alias("p"))
+    got = metrics.auc(df, "y", "p")
+    rows = df.collect()
+    pos, neg = np.array([r.p for r in rows if r.y]), np.array([r.p for r in rows if not r.y])
+    assert got.first().auc == pytest.approx(((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)).mean())
+
+
+@pytest.mark.parametrize("single", [200_000, 20])
+def test_c_index_against_pairs(spark, monkeypatch, single):
+    from terrane.operators import running as module
+
+    monkeypatch.setattr(module, "SINGLE", single)
+    rng = np.random.default_rng(6)
+    rows = [(int(a), int(b), float(c)) for a, b, c in zip(rng.integers(0, 30, 200), rng.integers(0, 2, 200), rng.integers(0, 40, 200) / 4)]
+    pairs = [(a, b) for a in rows for b in rows if a[1] == 1 and (b[0] > a[0] or b[0] == a[0] and b[1] == 0)]
+    r = survival.c_index(spark.createDataFrame(rows, "time int, event int, risk double")).first()
+    assert (r.concordant, r.tied, r.comparable) == (sum(a[2] > b[2] for a, b in pairs), sum(a[2] == b[2] for a, b in pairs), len(pairs))
+    assert survival.c_index(spark.createDataFrame([], "time int, event int, risk double")).first().c_index is None
