@@ -78,6 +78,74 @@ def resample_nearest(cells: DataFrame, by: Sequence[str], spacing: Sequence[floa
     return out.where(" and ".join(f"{a} >= 0" for a in KEY))
 
 
+def resample_linear(cells: DataFrame, by: Sequence[str], value: str, spacing: Sequence[float], target: Sequence[float]) -> DataFrame:
+    """The image on a grid of another spacing (z, y, x) with linear weights, one axis after the other; the first cells of both grids lie on each other.
+
+    An old cell sends its weighted value to the new places within a step of it, so
+    nothing is joined.  What lies beyond the old grid's last cell isn't made, and a
+    missing old cell counts as 0.
+    """
+    out = cells.select(*by, *KEY, F.col(value).cast("double").alias(value))
+    for axis, old, new in zip(KEY, spacing, target, strict=True):
+        if old == new:
+            continue
+        last = F.max(axis).over(Window.partitionBy(*by))
+        first, end = F.floor((F.col(axis) - 1) * old / new + 1 + 1e-9), F.ceil((F.col(axis) + 1) * old / new - 1e-9) - 1
+        sent = out.withColumn("__last", last).withColumn("__to", F.explode(F.when(end >= first, F.sequence(first, end)).otherwise(F.array().cast("array<bigint>"))))
+        weight = 1 - F.abs(F.col("__to") * new / old - F.col(axis))
+        kept = sent.where((F.col("__to") >= 0) & (F.col("__to") * new <= F.col("__last") * old + 1e-9))
+        summed = kept.withColumn("__v", F.col(value) * weight).drop(axis).withColumn(axis, F.col("__to").cast("int"))
+        out = summed.groupBy(*by, *KEY).agg(F.sum("__v").alias(value))
+    return out
+
+
+def equalise(cells: DataFrame, by: Sequence[str], value: str, tile: int = 32, bins: int = 256, clip: float = 0.01) -> DataFrame:
+    """Contrast-limited adaptive histogram equalisation: each cell's value becomes its share in the clipped histograms of the tiles around it, mixed linearly.
+
+    Values are binned over the group's range; a bin's count is clipped at ``clip`` of its
+    tile's cells and the excess spread evenly over the bins.  Tiles are boxes of ``tile``
+    cells to a side in the plane, slice by slice; results lie between 0 and 1, a group
+    of one value gets 0.
+    """
+    w = Window.partitionBy(*by)
+    low, high = F.min(value).over(w), F.max(value).over(w)
+    level = F.when(high > low, F.least(F.floor((F.col(value) - low) / (high - low) * bins), F.lit(bins - 1))).otherwise(0)
+    rows = cells.withColumn("__b", level.cast("int")).withColumn("__flat", high == low)
+    place = [F.floor(F.col(a) / tile).cast("int").alias(f"t{a}") for a in ("y", "x")]
+    own = [*by, "z", "ty", "tx"]
+    counts = rows.select(*by, "z", *place, "__b").groupBy(*own, "__b").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*own))
+    most = F.greatest(F.lit(1.0), total * clip)
+    clipped = counts.withColumns({"__total": total, "__kept": F.least(F.col("n").cast("double"), most)})
+    # the share below and within a bin: clipped counts of the bins up to it, and its part of the excess
+    table = clipped.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("__b", "__kept"))).alias("__h"), F.first("__total").alias("__total"))
+    table = table.withColumn("__spare", F.col("__total") - F.aggregate("__h", F.lit(0.0), lambda s, x: s + x["__kept"]))
+    beside = rows
+    for a in ("y", "x"):
+        at = (F.col(a) + 0.5) / tile - 0.5
+        below = F.floor(at)
+        ends = F.array(F.struct(below.cast("int").alias("t"), (1 - (at - below)).alias("w")), F.struct((below + 1).cast("int").alias("t"), (at - below).alias("w")))
+        beside = beside.withColumn(f"__{a}", F.explode(F.filter(ends, lambda e: e["w"] > 0)))
+    asked = beside.select(*by, *KEY, "__b", "__flat", F.col("__y.t").alias("ty"), F.col("__x.t").alias("tx"), (F.col("__y.w") * F.col("__x.w")).alias("__w"))
+    met = asked.join(table, own)
+    share = (F.aggregate(F.filter("__h", lambda x: x["__b"] <= F.col("__b")), F.lit(0.0), lambda s, x: s + x["__kept"]) + F.col("__spare") * (F.col("__b") + 1) / bins) / F.col("__total")
+    # tiles without a cell say nothing, and the others' weights count the more
+    out = met.withColumn("__s", share).groupBy(*by, *KEY).agg((F.sum(F.col("__w") * F.col("__s")) / F.sum("__w")).alias("__v"), F.first("__flat").alias("__flat"))
+    return out.select(*by, *KEY, F.when(F.col("__flat"), 0.0).otherwise(F.col("__v")).alias(value))
+
+
+def noise_sigma(cells: DataFrame, by: Sequence[str], value: str) -> float:
+    """The noise level of an image: the median absolute diagonal difference of two-by-two squares in the plane, halved and scaled to a normal's deviation (0 without a square).
+
+    The squares are the finest diagonal details of the Haar wavelet; squares with a missing cell are left out.
+    """
+    corner = F.struct(F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).alias("__c")
+    sign = F.when((F.col("y") + F.col("x")) % 2 == 0, 1).otherwise(-1)
+    squares = cells.groupBy(*by, "z", corner).agg(F.sum(F.col(value) * sign).alias("d"), F.count(value).alias("n")).where("n = 4")
+    found = squares.agg(F.percentile(F.abs("d") / 2, F.lit(0.5))).first()[0]
+    return 0.0 if found is None else float(found) / 0.6745
+
+
 def _offsets(connectivity: int) -> list[tuple[int, int, int]]:
     half = half_offsets({1: "face", 2: "edge", 3: "corner"}[connectivity])
     return half + [(-a, -b, -c) for a, b, c in half]

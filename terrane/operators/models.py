@@ -13,6 +13,8 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 from .selection import gram
 
 
@@ -190,18 +192,62 @@ def ridge(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0) ->
     return {**dict(zip(features, beta.tolist(), strict=True)), "intercept": float(mean[k] - beta @ np.array(mean[:k]))}
 
 
-def smote(df: DataFrame, features: Sequence[str], y: str, row: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """Synthetic rows of the smaller class on the lines to one of the k nearest rows of a hash cell of their class.
+#: Rows of the smaller class that are compared with each other at once.
+SMOTE_BLOCK = 2048
+
+
+def neighbours(df: DataFrame, features: Sequence[str], row: str, k: int = 5, block: int = SMOTE_BLOCK) -> DataFrame:
+    """(row, other, distance, rank): the k nearest other rows of each row, exactly, ties to the smaller row.
+
+    Rows are packed into blocks and every block is held against every other, which
+    gives k candidates a row and pair of blocks; no pairs of rows are written out.
+    """
+    n = df.count()
+    blocks = max(1, -(-n // block))
+    at = [F.col(f).cast("double") for f in features]
+    packed = df.select(F.pmod(F.xxhash64(row), F.lit(blocks)).alias("b"), F.struct(F.col(row).alias("row"), F.array(*at).alias("x")).alias("r")).groupBy("b").agg(F.collect_list("r").alias("rows"))
+    packed = cut(packed)
+    kind = dict(df.dtypes)[row]
 
-    Neighbours are sought within cells of at most a few dozen rows, so nothing is
-    joined with a whole class; each real row makes one synthetic row.
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for mine, other in zip(batch.column("rows").to_pylist(), batch.column("others").to_pylist(), strict=True):
+                a, b = np.array([r["x"] for r in mine]), np.array([r["x"] for r in other])
+                names, them = [r["row"] for r in mine], [r["row"] for r in other]
+                order = np.array(sorted(range(len(them)), key=lambda j: them[j]))
+                for i, name in enumerate(names):
+                    d = ((b[order] - a[i]) ** 2).sum(1)
+                    best = [j for j in np.argsort(d, kind="stable")[: k + 1] if them[order[j]] != name][:k]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), batch.schema.field("rows").type.value_type.field("row").type), pa.array([them[order[j]] for j in best], batch.schema.field("rows").type.value_type.field("row").type), pa.array([float(d[j]) for j in best], pa.float64())], names=["row", "other", "distance"])
+
+    others = packed.select(F.col("b").alias("c"), F.col("rows").alias("others"))
+    # a stated set of blocks against all blocks
+    pairs = packed.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(others, "c").select("rows", "others")
+    found = pairs.repartition(min(blocks * blocks, 2000)).mapInArrow(run, f"row {kind}, other {kind}, distance double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("distance", "other"))).where(F.col("rank") <= k)
+
+
+def smote(df: DataFrame, features: Sequence[str], y: str, row: str, k: int = 5, seed: int = 0, ratio: float = 1.0) -> DataFrame:
+    """Synthetic rows (row, y, features) of the smallest class, as many as bring it to ``ratio`` of the largest.
+
+    Each lies at a drawn place on the line from a row to one of its k nearest rows of the
+    class; a row makes as many as its turn asks, and every draw is a hash of the row and
+    its turn.  A class of one row has no neighbours and makes none.
     """
     sizes = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count("*").alias("n")).collect()}
-    small = min(sizes, key=lambda c: (sizes[c], str(c)))
-    own = df.where(F.col(y) == small).withColumn("__cell", F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(max(1, sizes[small] // 32))))
-    other = own.select("__cell", F.col(row).alias("__other"), *(F.col(f).alias(f"__{f}") for f in features))
-    d = sum(((F.col(f) - F.col(f"__{f}")) * (F.col(f) - F.col(f"__{f}")) for f in features), F.lit(0.0))
-    near = own.join(other, "__cell").where(F.col(row) != F.col("__other")).withColumn("__k", F.row_number().over(Window.partitionBy(row).orderBy(d, "__other")))
-    pick = near.where(F.col("__k") == 1 + F.pmod(F.xxhash64(row, F.lit(seed + 1)), F.lit(k)))
-    u = F.pmod(F.xxhash64(row, F.lit(seed + 2)), F.lit(1 << 30)) / float(1 << 30)
-    return pick.select(row, y, *((F.col(f) + u * (F.col(f"__{f}") - F.col(f))).alias(f) for f in features))
+    small, large = min(sizes, key=lambda c: (sizes[c], str(c))), max(sizes.values())
+    want = max(0, round(ratio * large) - sizes[small])
+    own = df.where(F.col(y) == small)
+    near = neighbours(own, features, row, k).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("rank", "other"))).alias("near"))
+    every, rest = divmod(want, sizes[small])
+    order = F.row_number().over(Window.orderBy("__h")) if rest else F.lit(0)
+    turn = own.select(row, *features).join(near, F.col(row) == F.col("row")) if row != "row" else own.select(row, *features).join(near, "row")
+    turn = turn.withColumn("__h", F.xxhash64(F.col(row), F.lit(seed)))
+    turn = turn.withColumn("__n", F.lit(every) + (order <= rest).cast("int") if rest else F.lit(every)).where("__n > 0").withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    pick = F.element_at("near", (1 + F.pmod(F.xxhash64(F.col(row), F.col("__turn"), F.lit(seed + 1)), F.size("near"))).cast("int"))["other"]
+    u = F.pmod(F.xxhash64(F.col(row), F.col("__turn"), F.lit(seed + 2)), F.lit(1 << 30)) / float(1 << 30)
+    other = own.select(F.col(row).alias("__other"), *(F.col(f).alias(f"__{f}") for f in features))
+    made = turn.select(F.col(row).alias(row), *features, pick.alias("__pick"), u.alias("__u")).join(other, F.col("__pick") == F.col("__other"))
+    return made.select(row, F.lit(small).cast(dict(df.dtypes)[y]).alias(y), *((F.col(f) + F.col("__u") * (F.col(f"__{f}") - F.col(f))).alias(f) for f in features))

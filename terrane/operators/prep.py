@@ -64,11 +64,50 @@ def log_shift() -> Method:
     return Method(lambda x: {"low": F.min(x)}, lambda x, s: F.when(x - s("low") + 1 > 0, F.ln(x - s("low") + 1)))
 
 
+#: Exact quantiles that one-dimensional centres are fitted on.
+KMEANS_POINTS = 512
+
+
+def _centre_edges(points: list[float] | None, k: int, rounds: int = 300) -> list[float]:
+    """The inner edges between the centres that Lloyd's steps reach from even starts; an empty centre moves to the point farthest from its own, one without such a point vanishes."""
+    import numpy as np
+
+    if not points or points[0] is None:
+        return []
+    x = np.sort(np.array(points, float))
+    starts = np.linspace(x[0], x[-1], k + 1)
+    centres = (starts[:-1] + starts[1:]) / 2
+    for _ in range(rounds):
+        owner = np.searchsorted((centres[:-1] + centres[1:]) / 2, x, side="right")
+        away = np.abs(x - centres[owner])
+        found = []
+        for c in range(len(centres)):
+            if (owner == c).any():
+                found.append(x[owner == c].mean())
+            elif away.max() > 0:
+                far = int(away.argmax())
+                found.append(x[far])
+                away[far] = 0
+        found = np.unique(found)
+        if len(found) == len(centres) and np.allclose(found, centres, rtol=0, atol=1e-12):
+            break
+        centres = found
+    return ((centres[:-1] + centres[1:]) / 2).tolist()
+
+
 def binning(n_bins: int = 10, strategy: str = "uniform") -> Method:
-    """Ordinal bins from 0: the number of inner edges at or below the value."""
+    """Ordinal bins from 0: the number of inner edges at or below the value.
+
+    ``kmeans`` places the edges halfway between one-dimensional centres that start
+    evenly over the range; they settle on KMEANS_POINTS exact quantiles of the column.
+    """
     if strategy == "uniform":
         inside = lambda x, s: F.when(s("high") > s("low"), F.floor((x - s("low")) / (s("high") - s("low")) * n_bins)).otherwise(F.lit(0))
         return Method(lambda x: {"low": F.min(x), "high": F.max(x)}, lambda x, s: F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(inside(x, s).cast("double"), F.lit(n_bins - 1.0)))))
+    if strategy == "kmeans":
+        grid = F.array(*(F.lit((k + 0.5) / KMEANS_POINTS) for k in range(KMEANS_POINTS)))
+        edges = F.udf(lambda points: _centre_edges(points, n_bins), "array<double>")
+        return Method(lambda x: {"edges": edges(F.percentile(x, grid))}, lambda x, s: F.when(x.isNotNull(), F.size(F.filter(s("edges"), lambda e: e <= x)).cast("double")))
     if strategy != "quantile":
         raise ValueError(f"unknown binning strategy {strategy}")
     return Method(lambda x: {"edges": F.percentile(x, F.array(*(F.lit(k / n_bins) for k in range(1, n_bins))))}, lambda x, s: F.when(x.isNotNull(), F.size(F.filter(s("edges"), lambda e: e <= x)).cast("double")))
@@ -179,7 +218,9 @@ def midranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, features: Sequence[str], method: str = "spearman") -> dict[tuple[str, str], float]:
-    """Correlation of each pair of features; 0 where it is undefined."""
+    """Correlation of each pair of features; 0 where it is undefined.  ``kendall`` is tau-b over rows where both are known."""
+    if method == "kendall":
+        return {(features[j], features[i]): kendall(df, features[j], features[i]) for i in range(len(features)) for j in range(i)}
     if method == "spearman":
         df, names = midranks(df, features), [f"rank_{f}" for f in features]
     elif method == "pearson":
@@ -193,6 +234,22 @@ def correlations(df: DataFrame, features: Sequence[str], method: str = "spearman
     return {(features[j], features[i]): row[f"{i}_{j}"] or 0.0 if row[f"{i}_{j}"] == row[f"{i}_{j}"] else 0.0 for i, j in pairs}
 
 
+def kendall(df: DataFrame, a: str, b: str) -> float:
+    """Tau-b from counts: pairs in opposite order are the concordant pairs of a descending outcome, found by rank bits; 0 where it is undefined."""
+    from .survival import c_index
+
+    rows = df.select(finite(F.col(a)).alias("time"), F.lit(1).alias("event"), finite(F.col(b)).alias("risk")).dropna()
+    counted = rows.groupBy("time", "risk").agg(F.count("*").alias("n"))
+    pairs = F.sum((F.col("n") * (F.col("n") - 1)).cast("double")) / 2
+    both = counted.agg(pairs).first()[0] or 0.0
+    tied = [counted.groupBy(c).agg(F.sum("n").alias("n")).agg(pairs).first()[0] or 0.0 for c in ("time", "risk")]
+    n = counted.agg(F.sum("n")).first()[0] or 0
+    every = n * (n - 1) / 2
+    opposite = c_index(rows).first()["concordant"]
+    spread = ((every - tied[0]) * (every - tied[1])) ** 0.5
+    return (every - tied[0] - tied[1] + both - 2 * opposite) / spread if spread else 0.0
+
+
 def keep_by_correlation(df: DataFrame, features: Sequence[str], threshold: float = 0.95, method: str = "spearman") -> list[str]:
     """Left to right, each feature that correlates with no kept one beyond the threshold (strictly)."""
     r = correlations(df, features, method)

@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def assert_unique(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     if not df.groupBy(*ids).count().where("count > 1").isEmpty():
@@ -148,3 +150,75 @@ def ensemble(df: DataFrame, id_column: str, prob: str, voting: str = "soft") ->
     """(id, prob) over fold models: the mean probability, or the share of votes at one half."""
     value = F.col(prob) if voting == "soft" else (F.col(prob) >= 0.5).cast("double")
     return df.groupBy(id_column).agg(F.avg(value).alias("prob"))
+
+
+def cohort_summary(df: DataFrame, subject: str, modality: str, salt: str = "") -> DataFrame:
+    """(n_subjects, modalities, digest): the number of subjects, the sorted modality names, and a salted digest of the set of subjects that names none.
+
+    Subjects are hashed one by one; the digest is of the sums of the hashes' quarters, so
+    it depends on the set alone and nothing is gathered.  Null subjects don't count.
+    """
+    ids = df.where(F.col(subject).isNotNull()).select(F.sha2(F.concat(F.lit(salt), F.col(subject).cast("string")), 256).alias("h")).distinct()
+    quarters = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 14 * k, 14), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in range(4)]
+    one = ids.agg(F.count("*").alias("n_subjects"), F.sha2(F.concat_ws(":", *quarters), 256).alias("digest"))
+    names = df.agg(F.array_sort(F.collect_set(modality)).alias("modalities"))
+    return one.withColumn("__one", F.lit(1)).join(names.withColumn("__one", F.lit(1)), "__one").select("n_subjects", "modalities", "digest")
+
+
+def whitelist(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The kept columns and the listed features in the list's order; a feature that the table lacks raises."""
+    if missing := [f for f in features if f not in df.columns]:
+        raise ValueError(f"features absent from the table: {missing}")
+    return df.select(*keep, *features)
+
+
+def representatives(df: DataFrame, score: str, row: str, n: int = 3) -> DataFrame:
+    """The rows at evenly spaced places of the order by score (the middle one if n is 1), with ``rank`` from 0; null scores are left out, ties go by row."""
+    placed = df.where(F.col(score).isNotNull())
+    total = placed.count()
+    n = min(n, total)
+    places = [total // 2] if n == 1 else [round(k * (total - 1) / (n - 1)) for k in range(n)] if n else []
+    ordered = placed.groupBy(score).agg(F.count("*").alias("__n"))
+    upto = running(ordered, (), score, {"__upto": "__n"}).select(F.col(score).alias("__s"), (F.col("__upto") - F.col("__n")).alias("__before"))
+    # only rows whose score's places are asked for are put in order
+    hit = [(F.col("__before") <= p) & (F.lit(p) < F.col("__before") + F.col("__n")) for p in places]
+    wanted = upto.join(ordered.select(F.col(score).alias("__t"), "__n"), F.col("__s") == F.col("__t")).where(F.exists(F.array(*hit), lambda x: x) if hit else F.lit(False)).select("__s", "__before")
+    near = placed.join(F.broadcast(wanted), F.col(score) == F.col("__s"))
+    ranked = near.withColumn("rank", F.col("__before") + F.row_number().over(Window.partitionBy(score).orderBy(row)) - 1)
+    return ranked.where(F.col("rank").isin(places)).drop("__s", "__before")
+
+
+def synthetic_features(spark, rows: int = 60, features: int = 12, task: str = "binary", seed: int = 0) -> DataFrame:
+    """A seeded table (subject_id, feature_000 ..., label; or time and event): the first two features drive the outcome.
+
+    Every value is a hash of its row and column, the same on any cluster.
+    """
+    if task not in ("binary", "survival"):
+        raise ValueError(f"unknown task {task}")
+    u = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit((1 << 52) - 1)) + 1) / float(1 << 52)
+    normal = lambda k: F.sqrt(-2 * F.ln(u(2 * k))) * F.cos(2 * 3.141592653589793 * u(2 * k + 1))
+    df = spark.range(rows).select("id", F.format_string("S%05d", "id").alias("subject_id"), *(normal(k).alias(f"feature_{k:03d}") for k in range(features)))
+    risk = F.col("feature_000") + (0.5 * F.col("feature_001") if features > 1 else 0)
+    if task == "binary":
+        return df.withColumn("label", (u(10_001) < 1 / (1 + F.exp(-1.5 * risk))).cast("int")).drop("id")
+    time, censor = -F.ln(u(10_001)) * 24 / F.exp(risk), -F.ln(u(10_002)) * 48
+    return df.withColumn("time", F.least(time, censor)).withColumn("event", (time <= censor).cast("int")).drop("id")
+
+
+def synthetic_cohort(spark, subjects: int = 4, modalities: Sequence[str] = ("T1", "T2"), shape: Sequence[int] = (32, 32, 32), regions: int = 3, seed: int = 0) -> DataFrame:
+    """A seeded phantom cohort as cells (subject, z, y, x, region, a column a modality): a ball of nested shells, each with its own mean intensity, and noise."""
+    u = lambda k: (F.pmod(F.xxhash64("subject", "z", "y", "x", F.lit(seed), F.lit(k)), F.lit((1 << 52) - 1)) + 1) / float(1 << 52)
+    cells = spark.range(subjects * shape[0]).select((F.col("id") / shape[0]).cast("int").alias("subject"), (F.col("id") % shape[0]).cast("int").alias("z"))
+    cells = cells.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(shape[1] - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(shape[2] - 1))))
+    d = F.sqrt(sum((F.pow((F.col(a) - (n - 1) / 2) / (n / 2), F.lit(2.0)) for a, n in zip(("z", "y", "x"), shape, strict=True)), F.lit(0.0)))
+    inside = cells.withColumn("region", F.when(d < 0.9, 1 + F.floor(d / 0.9 * regions)).otherwise(0).cast("int")).where("region > 0")
+    noise = lambda k: F.sqrt(-2 * F.ln(u(2 * k))) * F.cos(2 * 3.141592653589793 * u(2 * k + 1))
+    return inside.select(F.format_string("S%03d", "subject").alias("subject"), "z", "y", "x", "region", *((100.0 * F.col("region") * (k + 1) / len(modalities) + 10 * noise(k)).alias(m) for k, m in enumerate(modalities)))
+
+
+def voxel_frame(maps: Mapping[str, DataFrame], mask: DataFrame, keys: Sequence[str], label: int | None = 1, suffix: str = "") -> DataFrame:
+    """The mask's cells of a label (None: any but 0) with a column for each map (keys, value), ``name-suffix`` if there is a suffix; cells that a map lacks are null."""
+    out = mask.where(F.col("label") == label if label is not None else F.col("label") != 0).select(*keys)
+    for name, df in maps.items():
+        out = out.join(df.select(*keys, F.col("value").alias(f"{name}-{suffix}" if suffix else name)), list(keys), "left")
+    return out

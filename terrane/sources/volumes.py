@@ -196,3 +196,32 @@ def tags(spark: SparkSession, root: str, pattern: str = "*.dcm") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(got, pa.map_(pa.string(), pa.string())), pa.array(errors, pa.string())], names=["path", "tags", "error"])
 
     return found.mapInArrow(run, "path string, tags map<string,string>, error string")
+
+
+def write_maps(cells: DataFrame, folder: str, subject: str = "subject", label: str = "label", suffix: str = "_habitats.nrrd") -> int:
+    """Write each subject's label map (z, y, x, label) as ``<folder>/<subject><suffix>``; the number of files.
+
+    A subject's cells fit in one task by definition of a volume; files reach the shared
+    folder one at a time.
+    """
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[["z", "y", "x"]].to_numpy()
+        grid = np.zeros(at.max(0) + 1, np.int16)
+        grid[tuple(at.T)] = pdf["label"]
+        return pd.DataFrame({"name": [str(pdf["name"].iloc[0])], "data": [write_nrrd(grid)]})
+
+    spark = cells.sparkSession
+    rows = cells.select(F.col(subject).cast("string").alias("name"), "z", "y", "x", F.col(label).cast("int").alias("label")).groupBy("name").applyInPandas(run, "name string, data binary")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    n = 0
+    for r in rows.toLocalIterator():
+        path = hadoop.Path(f"{folder}/{r['name']}{suffix}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(bytearray(r["data"]))
+        finally:
+            out.close()
+        n += 1
+    return n
