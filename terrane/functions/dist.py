@@ -101,6 +101,52 @@ def t_sf(t: float, df: float) -> float:
     return tail if t >= 0 else 1 - tail
 
 
+# The published polynomial coefficients of Royston's approximation (algorithm AS R94), constant term first.
+_SHAPIRO = {
+    "last": (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056),
+    "second": (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633),
+    "small mean": (0.544, -0.39978, 0.025054, -6.714e-4),
+    "small deviation": (1.3822, -0.77857, 0.062767, -0.0020322),
+    "mean": (-1.5861, -0.31082, -0.083751, 0.0038915),
+    "deviation": (-0.4803, -0.082676, 0.0030302),
+    "gamma": (-2.273, 0.459),
+}
+
+
+def shapiro(values: np.ndarray) -> tuple[float, float]:
+    """W and p of the Shapiro-Wilk test of normality; (1, 1) for equal values, NaN for fewer than three."""
+    x = np.sort(np.asarray(values, float))
+    n = len(x)
+    if n < 3:
+        return math.nan, math.nan
+    if x[0] == x[-1]:
+        return 1.0, 1.0
+    poly = lambda name, at: float(np.polynomial.polynomial.polyval(at, _SHAPIRO[name]))
+    score = np.array([normal_ppf((k - 0.375) / (n + 0.25)) for k in range(1, n + 1)])
+    norm = float(score @ score)
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    else:
+        ends = [score[-1] / math.sqrt(norm) + poly("last", n**-0.5)]
+        if n > 5:
+            ends.append(score[-2] / math.sqrt(norm) + poly("second", n**-0.5))
+        m = len(ends)
+        outer = score[::-1][:m]
+        a = score / math.sqrt((norm - 2 * float(outer @ outer)) / (1 - 2 * sum(e * e for e in ends)))
+        a[n - m :], a[:m] = ends[::-1], [-e for e in ends]
+    d = x - x.mean()
+    w = min(1.0, float(a @ d) ** 2 / float(d @ d))
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    if w == 1.0:
+        return w, 1.0
+    y = math.log1p(-w)
+    if n > 11:
+        return w, normal_sf((y - poly("mean", math.log(n))) / math.exp(poly("deviation", math.log(n))))
+    gamma = poly("gamma", n)
+    return w, 0.0 if y >= gamma else normal_sf((-math.log(gamma - y) - poly("small mean", n)) / math.exp(poly("small deviation", n)))
+
+
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Minimum-cost one-to-one assignment of a small matrix (shortest augmenting paths)."""
     cost = np.asarray(cost, float)

@@ -121,15 +121,169 @@ def swap(edges: np.ndarray, seed: int, tries: int = 10) -> np.ndarray:
     return np.array(now).reshape(-1, 2)
 
 
-def by_subject(nodes: DataFrame, edges: DataFrame, subject: str, null_rounds: int = 0, seed: int = 0) -> DataFrame:
-    """(subject, measures; with ``null_rounds`` also the clustering's z against degree-preserving graphs) of nodes (subject, node) and edges (subject, src, dst)."""
+def modularity(n: int, edges: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """Modularity of communities found by moving nodes to the neighbouring community that gains most, then merging communities, until nothing gains.
+
+    Nodes are visited in order of their number and ties go to the smallest community, so
+    the result is fixed.  A graph without edges has 0.
+    """
+    w = np.ones(len(edges)) if weights is None else np.asarray(weights, float)
+    total = float(w.sum())
+    if not total:
+        return 0.0
+    links: list[dict[int, float]] = [{} for _ in range(n)]
+    for (a, b), x in zip(edges.tolist(), w.tolist(), strict=True):
+        links[a][b] = links[a].get(b, 0.0) + x
+        links[b][a] = links[b].get(a, 0.0) + x
+    while True:
+        # a merged node's link to itself holds twice the weight inside it
+        degree = [sum(near.values()) for near in links]
+        home, mass = list(range(len(links))), list(degree)
+        moved, moving = False, True
+        while moving:
+            moving = False
+            for v, near in enumerate(links):
+                own = home[v]
+                mass[own] -= degree[v]
+                to: dict[int, float] = {own: 0.0}
+                for u, x in near.items():
+                    if u != v:
+                        to[home[u]] = to.get(home[u], 0.0) + x
+                gain = {c: x - mass[c] * degree[v] / (2 * total) for c, x in to.items()}
+                best = min(gain, key=lambda c: (-gain[c], c))
+                if gain[best] <= gain[own] + 1e-12 * total:
+                    best = own
+                home[v] = best
+                mass[best] += degree[v]
+                moving |= best != own
+            moved |= moving
+        if not moved:
+            break
+        name = {c: k for k, c in enumerate(sorted(set(home)))}
+        merged: list[dict[int, float]] = [{} for _ in name]
+        for v, near in enumerate(links):
+            at = merged[name[home[v]]]
+            for u, x in near.items():
+                c = name[home[u]]
+                at[c] = at.get(c, 0.0) + x
+        links = merged
+    return sum(near.get(c, 0.0) / (2 * total) - (sum(near.values()) / (2 * total)) ** 2 for c, near in enumerate(links))
+
+
+def _connected(near: list[set[int]]) -> bool:
+    return len(_hops(near, 0)) == len(near)
+
+
+def swap_connected(n: int, edges: np.ndarray, seed: int, rounds: int = 5) -> np.ndarray:
+    """As :func:`swap`, of a connected graph that stays so: a run of exchanges that parts it is undone and tried in shorter ones."""
+    now, done, size, turn = edges, 0, max(1, len(edges)), 0
+    while done < rounds * len(edges) and turn < 20 * rounds:
+        turn += 1
+        new = swap(now, seed * 1009 + turn, 1) if size >= len(edges) else _few(now, seed * 1009 + turn, size)
+        if _connected(_neighbours(n, new)):
+            now, done, size = new, done + size, min(2 * size, max(1, len(edges)))
+        else:
+            size = max(1, size // 2)
+    return now
+
+
+def _few(edges: np.ndarray, seed: int, tries: int) -> np.ndarray:
+    """Some exchanges among a drawn part of the edges; those that would repeat an edge outside the part are left out."""
+    rng = np.random.default_rng(seed)
+    part = rng.permutation(len(edges))[: max(2, tries)]
+    rest = np.delete(edges, part, 0)
+    new = swap(edges[part], seed, 1)
+    taken = {tuple(sorted(e)) for e in rest.tolist()}
+    return edges if any(tuple(e) in taken for e in new.tolist()) else np.concatenate([rest, new])
+
+
+def _transitivity(near: list[set[int]]) -> float:
+    closed = sum(len(near[w] & near[v]) for v in range(len(near)) for w in near[v])
+    possible = sum(len(s) * (len(s) - 1) for s in near)
+    return closed / possible if possible else 0.0
+
+
+def _path_length(near: list[set[int]]) -> float:
+    n = len(near)
+    return sum(sum(_hops(near, v).values()) for v in range(n)) / (n * (n - 1)) if n > 1 else 0.0
+
+
+def small_world(n: int, edges: np.ndarray, seed: int = 0, least: int = 10, rounds: int = 5, draws: int = 3) -> float:
+    """Transitivity over path length, each relative to its mean over connected random graphs of the same degrees.
+
+    0 for graphs of fewer than ``least`` nodes, unconnected ones, and where the random graphs have no triangle.
+    """
+    near = _neighbours(n, edges)
+    if n < least or not len(edges) or not _connected(near):
+        return 0.0
+    random = [_neighbours(n, swap_connected(n, edges, seed + k, rounds)) for k in range(draws)]
+    c, p = float(np.mean([_transitivity(g) for g in random])), float(np.mean([_path_length(g) for g in random]))
+    return (_transitivity(near) / c) / (_path_length(near) / p) if c else 0.0
+
+
+def rich_club(near: list[set[int]]) -> dict[int, float]:
+    """For every degree, the share of possible edges that exist among the nodes of a larger degree."""
+    degree = [len(s) for s in near]
+    out = {}
+    for k in range(max(degree, default=0)):
+        club = {v for v, d in enumerate(degree) if d > k}
+        if len(club) > 1:
+            out[k] = sum(len(near[v] & club) for v in club) / (len(club) * (len(club) - 1))
+    return out
+
+
+def rich_club_mean(n: int, edges: np.ndarray, seed: int = 0, tries: int = 100) -> float:
+    """Mean over degrees of the rich-club share relative to a random graph of the same degrees, where that has one.
+
+    0 for fewer than four nodes or two edges, where no ends can be exchanged.
+    """
+    if n < 4 or len(edges) < 2:
+        return 0.0
+    random = rich_club(_neighbours(n, swap(edges, seed, tries)))
+    shares = [x / random[k] for k, x in rich_club(_neighbours(n, edges)).items() if random.get(k)]
+    return float(np.mean(shares)) if shares else 0.0
+
+
+#: Measures of the largest component beyond NAMES; modularity is of the whole graph.
+EXTENDED = ("modularity", "small_world_sigma", "rich_club", "betweenness_std", "degree_skewness", "node_local_efficiency_min", "node_local_efficiency_std")
+
+
+def extended(n: int, edges: np.ndarray, weights: np.ndarray | None = None, seed: int = 0) -> dict[str, float]:
+    """The measures in EXTENDED; undefined ones are 0."""
+    near = _neighbours(n, edges)
+    left, largest = set(range(n)), []
+    while left:
+        part = sorted(_hops(near, min(left)))
+        left -= set(part)
+        if len(part) > len(largest):
+            largest = part
+    index = {v: k for k, v in enumerate(largest)}
+    inside = np.array([(index[a], index[b]) for a, b in edges.tolist() if a in index], int).reshape(-1, 2)
+    m = len(largest)
+    club = _neighbours(m, inside)
+    k = np.array([len(s) for s in club], float)
+    between = _betweenness(club)
+    local = np.array([_efficiency(club, club[v]) for v in range(m)])
+    skew = 0.0
+    if m >= 3 and k.std() > 0:
+        skew = float(((k - k.mean()) ** 3).mean() / k.std() ** 3 * np.sqrt(m * (m - 1)) / (m - 2))
+    return {
+        "modularity": modularity(n, edges, weights), "small_world_sigma": small_world(m, inside, seed), "rich_club": rich_club_mean(m, inside, seed), "betweenness_std": float(between.std()) if m else 0.0,
+        "degree_skewness": skew, "node_local_efficiency_min": float(local.min()) if m else 0.0, "node_local_efficiency_std": float(local.std()) if m else 0.0,
+    }
+
+
+def by_subject(nodes: DataFrame, edges: DataFrame, subject: str, null_rounds: int = 0, seed: int = 0, more: bool = False, weight: str | None = None) -> DataFrame:
+    """(subject, measures; with ``more`` the extended ones, their communities by ``weight`` if named; with ``null_rounds`` also the clustering's z against degree-preserving graphs) of nodes (subject, node) and edges (subject, src, dst)."""
     kind = nodes.schema[subject].dataType.simpleString()
-    names = [*NAMES, *(["clustering_null_z"] if null_rounds else [])]
+    names = [*NAMES, *(EXTENDED if more else ()), *(["clustering_null_z"] if null_rounds else [])]
 
     def run(key: tuple, mine: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         index = {v: k for k, v in enumerate(sorted(mine["node"].unique()))}
         pairs = np.array([(index[a], index[b]) for a, b in zip(links["src"], links["dst"], strict=True)], int).reshape(-1, 2)
         row = measures(len(index), pairs)
+        if more:
+            row |= extended(len(index), pairs, links[weight].to_numpy(float) if weight else None, seed)
         if null_rounds:
             null = np.array([measures(len(index), swap(pairs, seed + r))["clustering"] for r in range(null_rounds)])
             row["clustering_null_z"] = float((row["clustering"] - null.mean()) / null.std()) if null.std() > 0 else 0.0
@@ -137,7 +291,7 @@ def by_subject(nodes: DataFrame, edges: DataFrame, subject: str, null_rounds: in
 
     schema = f"{subject} {kind}, " + ", ".join(f"{n} double" for n in names)
     # new names keep the two sides apart where the edges were made from the nodes
-    links = edges.toDF(*edges.columns).select(subject, "src", "dst")
+    links = edges.toDF(*edges.columns).select(subject, "src", "dst", *([weight] if weight else []))
     return nodes.select(subject, "node").groupBy(subject).cogroup(links.groupBy(subject)).applyInPandas(run, schema)
 
 

@@ -54,7 +54,7 @@ def _graph(spark, sf_dir):
 
 @register("graph_topology")
 def graph_topology(spark, sf_dir):
-    return graphs.by_subject(*_graph(spark, sf_dir), "subject")
+    return graphs.by_subject(*_graph(spark, sf_dir), "subject", more=True)
 
 
 @register("graph_null_model")
@@ -88,6 +88,11 @@ def select_univariate_logistic(spark, sf_dir):
     return spark.createDataFrame([(f, v["coef"], v["se"], v["p"]) for f, v in fit.items()], "feature string, coef double, se double, p double")
 
 
+@register("select_statistical_test")
+def select_statistical_test(spark, sf_dir):
+    return spark.createDataFrame([(r["feature"], r["test"], r["statistic"], r["p"]) for r in selection.statistical_test(_rows(spark, sf_dir), X, "y")], "feature string, test string, statistic double, p double")
+
+
 @register("select_stepwise")
 def select_stepwise(spark, sf_dir):
     return spark.createDataFrame([(f,) for f in selection.stepwise(_rows(spark, sf_dir), X, "y", "backward")], "feature string")

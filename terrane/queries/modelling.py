@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions.dist import knee
-from ..operators import cluster, models, selection, survival
+from ..operators import cluster, models, selection, survival, survival_trees
+from ..storage import cut
 from .inputs import CELLS, FEATURES, PREDICTIONS, SURVIVAL, cells, predictions, rounded, table
 from .inputs import survival as outcomes
 
@@ -236,3 +237,21 @@ def survival_cox(spark, sf_dir):
     df = outcomes(spark, sf_dir).withColumn("risk", F.col("risk") / 1e5).withColumn("high", (F.col("risk") > 1.25).cast("int"))
     fit = survival.cox(df, ("risk", "high"))
     return spark.createDataFrame([(n, float(c), float(s)) for n, c, s in zip(("risk", "high"), fit["coef"], fit["se"], strict=True)], "feature string, coef double, se double")
+
+
+def _aged(spark, sf_dir):
+    return outcomes(spark, sf_dir).withColumns({"id": F.col("subject"), "high": (F.col("risk") > 125000).cast("double")})
+
+
+@register("survival_forest")
+def survival_forest(spark, sf_dir):
+    rows = cut(_aged(spark, sf_dir))
+    model = survival_trees.forest(rows, ("risk", "high"), trees=10, depth=3)
+    return survival_trees.forest_predict(model, rows, ("id", "time", "event"), (200.0, 1000.0))
+
+
+@register("survival_boosting")
+def survival_boosting(spark, sf_dir):
+    rows = cut(_aged(spark, sf_dir))
+    model = survival_trees.boost(rows, ("risk", "high"), rounds=5)
+    return survival_trees.boost_predict(model, rows, ("id", "time", "event"), (200.0, 1000.0))
