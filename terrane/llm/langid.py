@@ -12,7 +12,8 @@ The language models are fitted on a bounded sample: at most about ``per_language
 training documents of each language (default 2,000), drawn evenly by a hash of id and
 text, repeated rows once.  Every document is then scored whole.  The table that goes to
 every task has at most ``CELLS`` entries: with more than 512 languages its windows are
-hashed to fewer bits.
+hashed to fewer bits.  Texts are read in slices that shrink as languages grow, so a task
+holds at most some SLICE_BYTES * SLICE_LANGUAGES entries, or one text's words by language.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import no_clash
-from .text import _LOWER, _SPACE, Words, slices
+from .text import _LOWER, _SPACE, SLICE_BYTES, Words, slices
 
 PER_LANGUAGE = 2000
 HASH_BITS = 17
@@ -35,6 +36,10 @@ ROUNDS = 8
 PENALTY = 2.0
 #: Entries of the table that is sent to every task (four bytes each).
 CELLS = 1 << 26
+#: Entries of the table that are looked up at once.
+GATHERED = 1 << 22
+#: With more languages than this, a slice of texts is so much smaller.
+SLICE_LANGUAGES = 8
 #: A document is drawn if its hash, one of so many values, is low enough.
 DRAWS = 1 << 40
 UNDETERMINED = "und"
@@ -136,6 +141,28 @@ def _em(ll: np.ndarray, off: np.ndarray, allowed: np.ndarray, rounds: int) -> tu
     raise AssertionError
 
 
+def _likelihoods(model: Model, first: np.ndarray, end: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Each word's log-likelihood by language, GATHERED entries of the table at a time."""
+    size = len(model.langs)
+    step = max(1, GATHERED // size)
+    out = np.empty((len(first), size), np.float32)
+    a = 0
+    while a < len(first):
+        low = first[a]
+        b = int(np.searchsorted(end, low + step, side="right"))
+        if b <= a:
+            # a word longer than a step
+            out[a] = sum(model.table[hashed[k : min(k + step, end[a])]].sum(0, dtype=np.float64) for k in range(low, end[a], step))
+            a += 1
+            continue
+        cuts = np.empty(2 * (b - a), np.int64)
+        cuts[0::2], cuts[1::2] = first[a:b] - low, end[a:b] - low
+        # the last word ends with the block
+        out[a:b] = np.add.reduceat(model.table[hashed[low : end[b - 1]]], cuts[:-1], axis=0)[::2]
+        a = b
+    return out
+
+
 def infer(model: Model, texts: pa.Array, rounds: int = ROUNDS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
     """(proportions over the chosen languages, words with a letter) of each text; without such words all proportions are 0."""
     w, first, end, hashed = _windows(texts, model.bits)
@@ -145,9 +172,7 @@ def infer(model: Model, texts: pa.Array, rounds: int = ROUNDS, penalty: float =
     some = np.flatnonzero(n)
     if not size or not len(some):
         return out, n
-    cuts = np.empty(2 * len(first), np.int64)
-    cuts[0::2], cuts[1::2] = first, end
-    ll = np.add.reduceat(model.table[hashed], cuts, axis=0)[::2]
+    ll = _likelihoods(model, first, end, hashed)
     off = np.append(w.off[:-1][some], len(first))
     best, _ = _em(ll, off, np.ones((len(some), size)), rounds)
     single = _by_doc(ll, off)
@@ -190,8 +215,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*held.value)
+        limit = SLICE_BYTES * SLICE_LANGUAGES // max(SLICE_LANGUAGES, len(model.langs))
         for batch in batches:
-            for part in slices(batch, source):
+            for part in slices(batch, source, limit):
                 texts = part.column(source)
                 pi, _ = infer(model, texts)
                 letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()])

@@ -789,6 +789,21 @@ def test_inference_against_brute_force(spark):
     assert mixed > 10
 
 
+def test_language_likelihoods_do_not_depend_on_blocks(spark, monkeypatch):
+    model = langid.fit(documents(spark, TINY))
+    texts = ["a bc def ghij klmno", None, "", "x" * 5000 + " y z", "der Hund und die Katze " * 40, "1 2 3"]
+    w, first, end, hashed = langid._windows(pa.array(texts, pa.string()), model.bits)
+    want = np.array([model.table[hashed[a:b]].sum(0, dtype=np.float64) for a, b in zip(first, end, strict=True)])
+    whole = langid._likelihoods(model, first, end, hashed)
+    assert whole.shape == want.shape and np.allclose(whole, want, rtol=1e-5)
+    for gathered in (1, 64, 4000):
+        monkeypatch.setattr(langid, "GATHERED", gathered)
+        got = langid._likelihoods(model, first, end, hashed)
+        fits = end - first <= max(1, gathered // len(model.langs))
+        assert (got[fits] == whole[fits]).all() and np.allclose(got, want, rtol=1e-5)
+    assert langid._likelihoods(model, first[:0], end[:0], hashed).shape == (0, len(model.langs))
+
+
 def test_many_languages_share_the_table():
     assert langid._bits(17, 4) == 17 and langid._bits(17, 512) == 17 and langid._bits(17, 5000) == 13
 
