@@ -165,6 +165,72 @@ def test_sample_is_bounded_whatever_repeats(spark):
     assert 0 < drawn < 300
 
 
+def _weighed(words, number, idf):
+    """Rows of words as TF-IDF vectors of length one."""
+    out = np.zeros((len(words), len(number)))
+    for k, row in enumerate(words):
+        for t, c in Counter(row).items():
+            out[k, number[t]] = math.sqrt(c) * idf[number[t]]
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def test_latent_space_is_of_all_passages(spark, monkeypatch):
+    """30,000 passages, each document with terms of its own, against an exact SVD of all of them (as many dimensions tried as terms)."""
+    monkeypatch.setattr(decontaminate, "OVERSAMPLE", 300)
+    rng = random.Random(3)
+    topics = [[f"t{d}x{k}" for k in range(25)] for d in range(12)]
+    docs = [_passage(rng, topic, 24 * 2501) for topic in topics]
+    number = {t: k for k, t in enumerate(t for topic in topics for t in topic)}
+    items = [_passage(rng, list(number), 30) for _ in range(40)]
+    idf = np.full(len(number), math.log((len(docs) + 1) / 1.5))
+    queries = _weighed(items, number, idf)
+    # words outside the items only add to a passage's length
+    passages = [_weighed([d[at : at + 48] for at in range(0, len(d) - 24, 24)], number, idf) * queries.any(0) for d in docs]
+    rank, n = 12, sum(map(len, passages))
+    gram = sum(p.T @ p for p in passages) + n / len(items) * queries.T @ queries
+    basis = np.linalg.eigh(gram)[1][:, -rank:]
+    latent = queries @ basis
+    latent /= np.linalg.norm(latent, axis=1, keepdims=True)
+    near = {(d, i): x for d, p in enumerate(passages) for i, x in enumerate(np.maximum(p @ basis @ latent.T, p @ queries.T).max(0))}
+    frames = (spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id")))
+    got: dict = {}
+    for r in decontaminate.candidates(*frames, rank=rank).collect():
+        got[r.doc_id, r.item_id] = max(got.get((r.doc_id, r.item_id), 0), r.cosine)
+    want = {k for k, x in near.items() if x >= decontaminate.COSINE + 0.001}
+    assert n == 30_000 and len(want) > 100 and want <= got.keys()
+    assert max(abs(near[k] - x) for k, x in got.items()) < 0.001
+
+
+def test_products_of_terms_by_brute_force(spark, monkeypatch):
+    """Every way to sum them (matrix product, table, sorted keys sent early), for two blocks in one pass."""
+    docs, items, _ = _leaky(spark)
+    for name, value in (("GRAM_DENSE", 4), ("GRAM_CELLS", 4000), ("GRAM_PAIRS", 64), ("GRAM_HELD", 512), ("SHARD_CELLS", 5000)):
+        monkeypatch.setattr(decontaminate, name, value)
+    blocks, others = [], np.full(decontaminate.BUCKETS, 2.0, np.float32)
+    for rows in (items.where("item_id < 40").collect(), items.where("item_id >= 40").collect()):
+        terms = [t for t, _ in Counter(t for r in rows for t in r.text.split()).most_common()]
+        blocks.append((terms, np.linspace(1, 3, len(terms))))
+    hashed = [(np.concatenate(decontaminate._hashes(terms)), idf) for terms, idf in blocks]
+    want = [np.zeros((len(terms),) * 2) for terms, _ in blocks]
+    for r in docs.collect():
+        words = WORD.findall(lower(r.text).replace(".", " "))
+        for at in range(0, max(len(words) - 24, 1), 24):
+            count = Counter(words[at : at + 48])
+            for (terms, idf), sums in zip(blocks, want, strict=True):
+                weight = dict(zip(terms, idf, strict=True))
+                row = np.array([math.sqrt(count[t]) * weight[t] for t in terms])
+                row /= math.sqrt(sum(c * weight.get(t, 2.0) ** 2 for t, c in count.items()))
+                some = np.flatnonzero(row)
+                sums[np.ix_(some, some)] += np.outer(row[some], row[some])
+    got = [np.zeros_like(x) for x in want]
+    for r in decontaminate.term_products(docs, hashed, others).collect():
+        n = len(got[r.block])
+        cell = np.frombuffer(r.cell, "<i4")
+        got[r.block][cell // n * decontaminate._shards(n) + r.shard, cell % n] += np.frombuffer(r.value, "<f4")
+    for a, b in zip(got, want, strict=True):
+        assert np.abs(a - np.triu(b)).max() < 1e-3
+
+
 def test_more_items_than_dimensions(spark):
     """2,000 items in one block: verbatim and paraphrased leaks in long documents, all found."""
     rng = random.Random(11)
