@@ -34,9 +34,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a determined language; a mixture goes only if no language has MIN_SHARE of it.
 
     Null texts and texts without a letter have no language and go, and so does everything
-    if no row has a language to learn from.  Null ids and repeated rows stay as they are.
+    if no row has a language to learn from.  All rows with an id, a text and a language
+    teach.  Null ids and repeated rows stay as they are.
     """
-    model = langid.fit(docs)
+    model = langid.fit(docs, per_language=None)
     rated = langid.identify(docs, model, keep=[*COLUMNS])
     return rated.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SHARE)).select(*COLUMNS)
 

@@ -10,7 +10,8 @@ prediction is the largest proportion of the chosen set.
 
 The language models are fitted on a bounded sample: at most about ``per_language``
 training documents of each language (default 2,000), drawn evenly by a hash of id and
-text, repeated rows once.  Every document is then scored whole.  The table that goes to
+text, repeated rows once; with ``per_language=None``, as the pipeline has it, on all of
+them, repeated rows each time.  Every document is then scored whole.  The table that goes to
 every task has at most ``CELLS`` entries: with more than 512 languages its windows are
 hashed to fewer bits.  Texts are read in slices that shrink as languages grow, so a task
 holds at most some SLICE_BYTES * SLICE_LANGUAGES entries, or one text's words by language.
@@ -82,17 +83,22 @@ def _bits(bits: int, languages: int) -> int:
     return max(1, min(bits, (CELLS // max(languages, 1)).bit_length() - 1))
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, bits: int = HASH_BITS, smoothing: float = 0.5) -> Model:
-    """Learn from rows (doc_id long, text, lang); rows with a null text, language or id teach nothing, repeated rows teach once."""
+def _drawn(rows: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
+    """About so many rows of each language, repeated ones once."""
+    limits = rows.sparkSession.createDataFrame([(x, min(DRAWS, DRAWS * per_language // sizes[x] + 1)) for x in sorted(sizes)], "lang string, share long")
+    drawn = rows.join(F.broadcast(limits), "lang").where(F.pmod("draw", F.lit(DRAWS)) < F.col("share"))
+    return drawn.groupBy("lang", "draw").agg(F.first("text").alias("text"))
+
+
+def fit(labelled: DataFrame, per_language: int | None = PER_LANGUAGE, bits: int = HASH_BITS, smoothing: float = 0.5) -> Model:
+    """Learn from rows (doc_id long, text, lang); rows with a null text, language or id teach nothing, repeated rows teach once (each time if ``per_language`` is None)."""
     rows = labelled.where("text is not null and lang is not null and doc_id is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text", F.lit(17)).alias("draw"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     bits = _bits(bits, len(langs))
     if not langs:
         return Model([], np.zeros((1 << bits, 0), np.float32), bits)
-    limits = rows.sparkSession.createDataFrame([(x, min(DRAWS, DRAWS * per_language // sizes[x] + 1)) for x in langs], "lang string, share long")
-    drawn = rows.join(F.broadcast(limits), "lang").where(F.pmod("draw", F.lit(DRAWS)) < F.col("share"))
-    sample = drawn.groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    sample = rows if per_language is None else _drawn(rows, sizes, per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,9 @@ import hashlib
 import random
 
 import corpus_pipeline
+import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from paths import SF, TINY
 from pyspark.sql import functions as F
@@ -169,6 +171,21 @@ def test_language_stage_keeps_clean_documents(stages):
     assert after.count() >= 0.99 * before.count()
 
 
+def test_language_stage_learns_from_every_row(spark, monkeypatch):
+    """6,000 rows of one language: the windows of all of them are in the model."""
+    from terrane.llm import langid
+
+    models, plain = [], langid.identify
+    monkeypatch.setattr(langid, "identify", lambda docs, model, **options: models.append(model) or plain(docs, model, **options))
+    rows = [(k, f"onlyword{k} and some more", "en" if k % 7 else "de", "a", 1) for k in range(7000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.language(spark, docs, SF)
+    (model,) = models
+    for column, lang in enumerate(model.langs):
+        counts = 0.5 + langid._counts(pa.array([r[1] for r in rows if r[2] == lang]), model.bits)
+        assert np.allclose(model.table[:, column], np.log(counts / counts.sum()), atol=1e-4)
+
+
 def test_one_document_of_each_group_stays(spark, stages):
     before, after = stages["near_duplicates"]
     kept = {r.component_id for r in simhash.near_duplicates(before).collect()}
