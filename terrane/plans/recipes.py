@@ -110,7 +110,7 @@ def _name(column: str = "path") -> Column:
 
 def _labels(spark: SparkSession, root: str, pattern: str = "*.nrrd") -> DataFrame:
     """Label maps as cells (subject, z, y, x, label), the subject being the file's name."""
-    return volumes.cells(spark, root, pattern).select(_name().alias("subject"), "z", "y", "x", F.col("value").cast("int").alias("label"))
+    return volumes.cells(spark, root, pattern, _name()).select("subject", "z", "y", "x", F.col("value").cast("int").alias("label"))
 
 
 #: Feature families of label maps by name.
@@ -145,7 +145,7 @@ def extract_habitat_features(spark: SparkSession, config: dict) -> DataFrame:
 def traditional_radiomics(spark: SparkSession, config: dict) -> DataFrame:
     """Radiomics of images within masks of the same file name, of the whole mask or of each of its labels."""
     pattern = config.get("pattern") or "*.nrrd"
-    image = volumes.cells(spark, config["images"], pattern).select(_name().alias("subject"), "z", "y", "x", "value")
+    image = volumes.cells(spark, config["images"], pattern, _name())
     mask = _labels(spark, config["masks"], pattern).where("label <> 0")
     # a cell of the mask without an image value has the value 0
     rows = mask.join(image, ["subject", "z", "y", "x"], "left").na.fill({"value": 0.0})
@@ -271,7 +271,7 @@ def preprocess_image(cells: DataFrame, steps: list) -> DataFrame:
 @recipe("preprocess", ("images", "steps"), ("pattern", "subject"))
 def preprocess_images(spark: SparkSession, config: dict) -> DataFrame:
     """Images below a folder, of all subjects or one, after a chain of steps, as cells (subject, z, y, x, value)."""
-    cells = volumes.cells(spark, config["images"], config.get("pattern") or "*.nrrd").select(_name().alias("subject"), "z", "y", "x", "value")
+    cells = volumes.cells(spark, config["images"], config.get("pattern") or "*.nrrd", _name())
     return preprocess_image(cells.where(F.col("subject") == config["subject"]) if config.get("subject") else cells, config["steps"])
 
 

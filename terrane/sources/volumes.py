@@ -6,15 +6,20 @@ do; a file is decoded in the task that holds it and leaves it as non-background
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import io
+import itertools
+import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Element types by their names and codes in the file formats.
@@ -115,31 +120,60 @@ def first_in_folder(spark: SparkSession, root: str, pattern: str = "*.dcm") -> D
     return files(spark, root, pattern).groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.min("path").alias("path"))
 
 
-CELLS = "path string, z int, y int, x int, value double"
+CELLS = "string, z int, y int, x int, value double"
 
+#: Rows of cells that leave a task at once.
+BATCH = 1 << 16
 
-def cells(spark: SparkSession, root: str, pattern: str = "*.nrrd") -> DataFrame:
-    """(path, z, y, x, value) of the non-zero cells of three-dimensional volumes.
 
-    A file that can't be decoded fails its task with the file's name.
+def cells(spark: SparkSession, root: str, pattern: str = "*.nrrd", name: Column | None = None) -> DataFrame:
+    """(path, z, y, x, value) of the non-zero cells of three-dimensional volumes; with ``name``, a column made of ``path``, (subject, z, y, x, value).
+
+    The name is made once a file, before its cells.  A file that can't be decoded fails
+    its task with the file's name.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    first = "path" if name is None else "subject"
+    found = found.select("path", (F.col("path") if name is None else name).alias("__name"), "content")
+    batch_rows = BATCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        rows = 0
+
+        def leave() -> pa.RecordBatch:
+            who, counts, *parts = zip(*held, strict=True)
+            repeated = pa.array(who, pa.string()).take(pa.array(np.repeat(np.arange(len(who)), counts)))
+            return pa.RecordBatch.from_arrays([repeated, *(pa.array(np.concatenate(p)) for p in parts)], names=[first, "z", "y", "x", "value"])
+
         for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for path, called, data in zip(*(batch.column(c).to_pylist() for c in ("path", "__name", "content")), strict=True):
                 try:
                     array, _ = decode(path, data)
                 except Exception as error:
                     raise ValueError(f"{path}: {error}") from error
                 if array.ndim != 3:
                     raise ValueError(f"{path}: {array.ndim} axes")
-                for z in range(array.shape[0]):  # a slice at a time bounds the rows in memory
-                    y, x = np.nonzero(array[z])
-                    if len(y):
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(y)), pa.array(np.full(len(y), z, np.int32)), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(array[z][y, x].astype(float))], names=["path", "z", "y", "x", "value"])
+                step = max(1, batch_rows // max(1, array[0].size if len(array) else 1))
+                for z in range(0, len(array), step):  # some slices at a time bound the rows in memory
+                    part = array[z : z + step]
+                    at = np.nonzero(part)
+                    if len(at[0]):
+                        held.append([called, len(at[0]), (at[0] + z).astype(np.int32), at[1].astype(np.int32), at[2].astype(np.int32), part[at].astype(float)])
+                        rows += len(at[0])
+                    if rows >= batch_rows:
+                        yield leave()
+                        held, rows = [], 0
+        if held:
+            yield leave()
 
-    return found.mapInArrow(run, CELLS)
+    return found.mapInArrow(run, f"{first} {CELLS}")
+
+
+def map_cells(spark: SparkSession, root: str, suffix: str = "_habitats.nrrd") -> DataFrame:
+    """(subject, z, y, x, label) of the label maps below a folder, the subject being the file's name before the suffix; every file is found and read once."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return cells(spark, root, f"*{suffix}", F.substring_index(name, suffix, 1)).select("subject", "z", "y", "x", F.col("value").cast("int").alias("label"))
 
 
 def write_nrrd(array: np.ndarray, spacing: list[float] | None = None) -> bytes:
@@ -198,30 +232,60 @@ def tags(spark: SparkSession, root: str, pattern: str = "*.dcm") -> DataFrame:
     return found.mapInArrow(run, "path string, tags map<string,string>, error string")
 
 
+#: Files that the driver writes at once where tasks can't.
+WRITERS = 16
+
+
 def write_maps(cells: DataFrame, folder: str, subject: str = "subject", label: str = "label", suffix: str = "_habitats.nrrd") -> int:
     """Write each subject's label map (z, y, x, label) as ``<folder>/<subject><suffix>``; the number of files.
 
-    A subject's cells fit in one task by definition of a volume; files reach the shared
-    folder one at a time.
+    A subject's cells fit in one task by definition of a volume.  In a mounted folder the
+    task writes the file itself, under another name first, so that a repeated task leaves
+    a whole file; in a store that only Spark's file systems open, the driver writes some
+    files at a time.
     """
     import pandas as pd
 
+    spark = cells.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    root = hadoop.Path(folder)
+    uri = root.getFileSystem(conf).makeQualified(root).toUri()
+    mounted = uri.getPath() if uri.getScheme() == "file" else None
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         at = pdf[["z", "y", "x"]].to_numpy()
         grid = np.zeros(at.max(0) + 1, np.int16)
         grid[tuple(at.T)] = pdf["label"]
-        return pd.DataFrame({"name": [str(pdf["name"].iloc[0])], "data": [write_nrrd(grid)]})
-
-    spark = cells.sparkSession
-    rows = cells.select(F.col(subject).cast("string").alias("name"), "z", "y", "x", F.col(label).cast("int").alias("label")).groupBy("name").applyInPandas(run, "name string, data binary")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    n = 0
-    for r in rows.toLocalIterator():
+        name, data = str(pdf["name"].iloc[0]), write_nrrd(grid)
+        if mounted is None:
+            return pd.DataFrame({"name": [name], "data": [data]})
+        path = f"{mounted}/{name}{suffix}"
+        place, last = os.path.split(path)
+        os.makedirs(place, exist_ok=True)
+        part = f"{place}/.{last}.{uuid.uuid4().hex}"
+        with open(part, "wb") as out:
+            out.write(data)
+        os.replace(part, path)
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(f"{place}/.{last}.crc")  # the checksum of an earlier file of the name
+        return pd.DataFrame({"name": [name], "data": [None]})
+
+    named = cells.select(F.col(subject).cast("string").alias("name"), "z", "y", "x", F.col(label).cast("int").alias("label"))
+    rows = named.groupBy("name").applyInPandas(run, "name string, data binary")
+    if mounted is not None:
+        return rows.agg(F.count("*")).first()[0]
+
+    def send(r) -> None:
         path = hadoop.Path(f"{folder}/{r['name']}{suffix}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out = path.getFileSystem(conf).create(path, True)
         try:
             out.write(bytearray(r["data"]))
         finally:
             out.close()
-        n += 1
+
+    n = 0
+    with ThreadPoolExecutor(WRITERS) as pool:
+        for some in itertools.batched(rows.toLocalIterator(prefetchPartitions=True), 64 * WRITERS):
+            n += sum(1 for _ in pool.map(send, some))
     return n
