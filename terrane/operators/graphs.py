@@ -69,12 +69,121 @@ def _efficiency(near: list[set[int]], nodes: set[int]) -> float:
     return total / (len(nodes) * (len(nodes) - 1))
 
 
+#: Nodes up to which a graph's measures are made from its full table of distances.
+DENSE = 1024
+
+
+def _adjacency(n: int, edges: np.ndarray) -> np.ndarray:
+    a = np.zeros((n, n))
+    edges = np.asarray(edges, int).reshape(-1, 2)
+    a[edges[:, 0], edges[:, 1]] = a[edges[:, 1], edges[:, 0]] = 1
+    np.fill_diagonal(a, 0)
+    return a
+
+
+def _distances(a: np.ndarray) -> np.ndarray:
+    """Hops between all nodes of a graph, or of each of a stack of them, infinite where there is no path."""
+    a = a.astype(np.float32)
+    out = np.full(a.shape, np.inf)
+    front = np.broadcast_to(np.eye(a.shape[-1], dtype=np.float32), a.shape)
+    left, k = np.ones(a.shape, bool), 0
+    while True:
+        new = (front > 0) & left
+        if not new.any():
+            return out
+        out[new] = k
+        left &= ~new
+        front, k = new.astype(np.float32) @ a, k + 1
+
+
+def _shares(a: np.ndarray, hops: np.ndarray) -> np.ndarray:
+    """As :func:`_betweenness`, of all starts at once, a distance at a time."""
+    n = len(a)
+    if n <= 2:
+        return np.zeros(n)
+    far = int(hops[np.isfinite(hops)].max())
+    at = [hops == k for k in range(far + 1)]
+    paths = np.eye(n)
+    for k in range(1, far + 1):
+        paths += np.where(at[k], np.where(at[k - 1], paths, 0.0) @ a, 0.0)
+    share = np.zeros((n, n))
+    for k in range(far, 0, -1):
+        passed = np.divide(1 + share, paths, out=np.zeros((n, n)), where=at[k]) @ a
+        share += np.where(at[k - 1], paths * passed, 0.0)
+    np.fill_diagonal(share, 0)
+    return share.sum(0) / ((n - 1) * (n - 2))
+
+
+def _mean_inverse(hops: np.ndarray) -> float:
+    """Efficiency from a table of distances."""
+    n = len(hops)
+    if n < 2:
+        return 0.0
+    return float((1 / hops[np.isfinite(hops) & (hops > 0)]).sum() / (n * (n - 1)))
+
+
+def _local(a: np.ndarray) -> np.ndarray:
+    """The efficiency of every node's neighbours among themselves."""
+    n = len(a)
+    degree = a.sum(1).astype(int)
+    most = max(int(degree.max(initial=0)), 1)
+    # neighbours first, padded with a node that has none
+    near = np.where(np.arange(most) < degree[:, None], np.argsort(-a, 1, kind="stable")[:, :most], n)
+    wide = np.zeros((n + 1, n + 1))
+    wide[:n, :n] = a
+    out = np.zeros(n)
+    step = max(1, DENSE * DENSE // most**2)
+    for v in range(0, n, step):
+        some = near[v : v + step]
+        hops = _distances(wide[some[:, :, None], some[:, None, :]])
+        out[v : v + step] = np.divide(1, hops, out=np.zeros(hops.shape), where=(hops > 0) & np.isfinite(hops)).sum((1, 2))
+    return np.divide(out, degree * (degree - 1), out=np.zeros(n), where=degree > 1)
+
+
+def _local_clustering(a: np.ndarray) -> np.ndarray:
+    k = a.sum(1)
+    possible = k * (k - 1)
+    return np.divide(((a @ a) * a).sum(1), possible, out=np.zeros(len(a)), where=possible > 0)
+
+
+def clustering(n: int, edges: np.ndarray) -> float:
+    """The mean local clustering alone, as :func:`measures` has it."""
+    if n <= DENSE:
+        return float(_local_clustering(_adjacency(n, edges)).mean()) if n else 0.0
+    near = _neighbours(n, edges)
+    k = np.array([len(s) for s in near], float)
+    triangles = np.array([sum(len(near[w] & near[v]) for w in near[v]) for v in range(n)], float)
+    return float(np.divide(triangles, k * (k - 1), out=np.zeros(n), where=k > 1).mean())
+
+
+def _dense(n: int, edges: np.ndarray) -> dict[str, float]:
+    a = _adjacency(n, edges)
+    hops = _distances(a)
+    met = np.isfinite(hops)
+    size, k = met.sum(1), a.sum(1)
+    first = met.argmax(1)  # a component's first node names it
+    m = int(size.max())
+    inside = first == first[size == m].min()
+    reach = np.where(met, hops, 0.0).sum(1)
+    close = np.divide((size - 1.0) ** 2, reach * (n - 1), out=np.zeros(n), where=reach > 0)
+    starts, stops = np.nonzero(a)
+    ends = np.stack([k[starts], k[stops]])
+    between = _shares(a, hops)
+    return {
+        "components": float(len(np.unique(first))), "largest": float(m), "clustering": float(_local_clustering(a).mean()), "path_length": float(hops[np.ix_(inside, inside)].sum() / (m * (m - 1))) if m > 1 else 0.0,
+        "betweenness_mean": float(between.mean()), "betweenness_max": float(between.max()), "closeness_mean": float(close.mean()), "assortativity": float(np.corrcoef(ends)[0, 1]) if ends.shape[1] and ends[0].std() > 0 else 0.0,
+        "global_efficiency": _mean_inverse(hops), "local_efficiency": float(_local(a).mean()),
+    }
+
+
 def measures(n: int, edges: np.ndarray) -> dict[str, float]:
     """The measures in NAMES of an undirected graph of nodes 0 to n - 1; undefined ones are 0.
 
     Path length and closeness are of the largest component and of reachable nodes
     (scaled by their share); assortativity is of degrees.
     """
+    if 0 < n <= DENSE:
+        return _dense(n, edges)
     near = _neighbours(n, edges)
     hops = [_hops(near, v) for v in range(n)]
     sizes, left = [], set(range(n))
@@ -104,23 +213,45 @@ def measures(n: int, edges: np.ndarray) -> dict[str, float]:
 
 def swap(edges: np.ndarray, seed: int, tries: int = 10) -> np.ndarray:
     """A random graph with the same degrees: ends of edge pairs are exchanged where that makes no loop or double edge."""
-    rng = np.random.default_rng(seed)
-    now = [tuple(sorted(e)) for e in edges.tolist()]
+    now = [(a, b) if a <= b else (b, a) for a, b in edges.tolist()]
     have = set(now)
-    for _ in range(tries * len(now)):
-        i, j = rng.integers(len(now), size=2)
+    for i, j, turn in zip(*_draws(seed, len(now), tries * len(now)), strict=True):
+        if i == j:
+            continue
         (a, b), (c, d) = now[i], now[j]
-        if rng.random() < 0.5:
+        if turn:
             c, d = d, c
-        new = tuple(sorted((a, d))), tuple(sorted((c, b)))
-        if i == j or a == d or c == b or new[0] in have or new[1] in have or new[0] == new[1]:
+        if a == d or c == b:
             continue
-        have -= {now[i], now[j]}
-        have |= set(new)
-        now[i], now[j] = new
+        one, two = (a, d) if a <= d else (d, a), (c, b) if c <= b else (b, c)
+        if one in have or two in have or one == two:
+            continue
+        have.remove(now[i])
+        have.discard(now[j])
+        have.add(one)
+        have.add(two)
+        now[i], now[j] = one, two
     return np.array(now).reshape(-1, 2)
 
 
+def _draws(seed: int, n: int, size: int) -> tuple[list[int], list[int], list[bool]]:
+    """``size`` draws of two numbers below n and a coin, those of ``integers(n, size=2)`` and ``random() < 0.5`` in turn, made at once.
+
+    A pair takes the two halves of one word and the coin the next word; where a half
+    has to be drawn again (one in some millions) they are drawn in turn after all.
+    """
+    rng = np.random.default_rng(seed)
+    if 1 < n < 1 << 31:
+        words = rng.bit_generator.random_raw(2 * size).reshape(size, 2)
+        wide = [(words[:, 0] & np.uint64(0xFFFFFFFF)) * np.uint64(n), (words[:, 0] >> np.uint64(32)) * np.uint64(n)]
+        if not any(((w & np.uint64(0xFFFFFFFF)) < np.uint64(n)).any() for w in wide):
+            i, j = ((w >> np.uint64(32)).tolist() for w in wide)
+            return i, j, ((words[:, 1] >> np.uint64(63)) == 0).tolist()
+        rng = np.random.default_rng(seed)
+    found = [(*rng.integers(n, size=2).tolist(), rng.random() < 0.5) for _ in range(size)]
+    return tuple(map(list, zip(*found, strict=True))) if found else ([], [], [])
+
+
 def modularity(n: int, edges: np.ndarray, weights: np.ndarray | None = None) -> float:
     """Modularity of communities found by moving nodes to the neighbouring community that gains most, then merging communities, until nothing gains.
 
@@ -197,6 +328,18 @@ def _few(edges: np.ndarray, seed: int, tries: int) -> np.ndarray:
     return edges if any(tuple(e) in taken for e in new.tolist()) else np.concatenate([rest, new])
 
 
+def _spread(n: int, edges: np.ndarray) -> tuple[float, float]:
+    """Transitivity and path length."""
+    if n <= DENSE:
+        a = _adjacency(n, edges)
+        k = a.sum(1)
+        possible = (k * (k - 1)).sum()
+        hops = _distances(a)
+        return float(((a @ a) * a).sum() / possible) if possible else 0.0, float(hops[np.isfinite(hops)].sum() / (n * (n - 1))) if n > 1 else 0.0
+    near = _neighbours(n, edges)
+    return _transitivity(near), _path_length(near)
+
+
 def _transitivity(near: list[set[int]]) -> float:
     closed = sum(len(near[w] & near[v]) for v in range(len(near)) for w in near[v])
     possible = sum(len(s) * (len(s) - 1) for s in near)
@@ -216,9 +359,9 @@ def small_world(n: int, edges: np.ndarray, seed: int = 0, least: int = 10, round
     near = _neighbours(n, edges)
     if n < least or not len(edges) or not _connected(near):
         return 0.0
-    random = [_neighbours(n, swap_connected(n, edges, seed + k, rounds)) for k in range(draws)]
-    c, p = float(np.mean([_transitivity(g) for g in random])), float(np.mean([_path_length(g) for g in random]))
-    return (_transitivity(near) / c) / (_path_length(near) / p) if c else 0.0
+    c, p = np.mean([_spread(n, swap_connected(n, edges, seed + k, rounds)) for k in range(draws)], axis=0).tolist()
+    own, length = _spread(n, edges)
+    return (own / c) / (length / p) if c else 0.0
 
 
 def rich_club(near: list[set[int]]) -> dict[int, float]:
@@ -262,8 +405,11 @@ def extended(n: int, edges: np.ndarray, weights: np.ndarray | None = None, seed:
     m = len(largest)
     club = _neighbours(m, inside)
     k = np.array([len(s) for s in club], float)
-    between = _betweenness(club)
-    local = np.array([_efficiency(club, club[v]) for v in range(m)])
+    if m <= DENSE:
+        a = _adjacency(m, inside)
+        between, local = _shares(a, _distances(a)), _local(a)
+    else:
+        between, local = _betweenness(club), np.array([_efficiency(club, club[v]) for v in range(m)])
     skew = 0.0
     if m >= 3 and k.std() > 0:
         skew = float(((k - k.mean()) ** 3).mean() / k.std() ** 3 * np.sqrt(m * (m - 1)) / (m - 2))
@@ -285,14 +431,16 @@ def by_subject(nodes: DataFrame, edges: DataFrame, subject: str, null_rounds: in
         if more:
             row |= extended(len(index), pairs, links[weight].to_numpy(float) if weight else None, seed)
         if null_rounds:
-            null = np.array([measures(len(index), swap(pairs, seed + r))["clustering"] for r in range(null_rounds)])
+            null = np.array([clustering(len(index), swap(pairs, seed + r)) for r in range(null_rounds)])
             row["clustering_null_z"] = float((row["clustering"] - null.mean()) / null.std()) if null.std() > 0 else 0.0
         return pd.DataFrame([{subject: key[0], **row}])
 
     schema = f"{subject} {kind}, " + ", ".join(f"{n} double" for n in names)
     # new names keep the two sides apart where the edges were made from the nodes
-    links = edges.toDF(*edges.columns).select(subject, "src", "dst", *([weight] if weight else []))
-    return nodes.select(subject, "node").groupBy(subject).cogroup(links.groupBy(subject)).applyInPandas(run, schema)
+    # a graph costs far more than its bytes say, so as many tasks as partitions are set stay
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = edges.toDF(*edges.columns).select(subject, "src", "dst", *([weight] if weight else [])).repartition(tasks, subject)
+    return nodes.select(subject, "node").repartition(tasks, subject).groupBy(subject).cogroup(links.groupBy(subject)).applyInPandas(run, schema)
 
 
 def dispersion(nodes: DataFrame, subject: str) -> DataFrame:

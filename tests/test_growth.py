@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.operators import graphs
 from terrane.sources import volumes
 
 
@@ -42,3 +44,27 @@ def test_cells_leave_in_bounded_batches(spark, tmp_path, monkeypatch):
     got = volumes.cells(spark, str(tmp_path), name=F.lit("n")).collect()
     assert len(got) == len(rows) and {r.subject for r in got} == {"n"}
     assert sorted((r.z, r.y, r.x, int(r.value)) for r in got) == sorted((*k[1:], v) for k, v in rows.items())
+
+
+def _graph(rng):
+    n = int(rng.integers(1, 40))
+    return n, np.array([(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 4 / n], int).reshape(-1, 2)
+
+
+def test_dense_graph_measures_equal_walks(monkeypatch):
+    rng = np.random.default_rng(5)
+    for _ in range(12):
+        n, edges = _graph(rng)
+        monkeypatch.setattr(graphs, "DENSE", 1024)
+        dense = graphs.measures(n, edges) | graphs.extended(n, edges)
+        share = graphs.clustering(n, edges)
+        monkeypatch.setattr(graphs, "DENSE", 0)
+        assert graphs.measures(n, edges) | graphs.extended(n, edges) == pytest.approx(dense, abs=1e-9)
+        assert share == graphs.clustering(n, edges) == dense["clustering"]
+
+
+def test_draws_at_once_are_those_in_turn():
+    for seed, n in ((0, 1), (1, 2), (2, 97), (3, (1 << 31) - 2)):
+        rng = np.random.default_rng(seed)
+        turns = [(*rng.integers(n, size=2).tolist(), rng.random() < 0.5) for _ in range(50)]
+        assert list(zip(*graphs._draws(seed, n, 50), strict=True)) == turns
