@@ -117,8 +117,8 @@ def _labels(spark: SparkSession, root: str, pattern: str = "*.nrrd") -> DataFram
 FAMILIES: dict[str, Callable[[DataFrame, list[int]], DataFrame]] = {
     "volume": lambda c, labels: spatial.volumes(c, "subject", labels),
     "msi": lambda c, labels: spatial.interaction_features(spatial.interaction(c, "subject"), "subject", max(labels) + 1),
-    "non_radiomics": lambda c, labels: spatial.regions(spatial.components(c, "subject"), "subject"),
-    "ith_score": lambda c, labels: spatial.fragmentation(spatial.regions(spatial.components(c, "subject"), "subject"), "subject"),
+    "non_radiomics": lambda c, labels: spatial.zone_regions(c, "subject"),
+    "ith_score": lambda c, labels: spatial.fragmentation(spatial.zone_regions(c, "subject"), "subject"),
 }
 
 

@@ -66,12 +66,12 @@ reg AS (SELECT subject, label, count(*) AS num_regions, max(size) AS largest, CA
 
 @register("habitat_regions", f"{_COMPONENTS} SELECT subject, label, num_regions, largest, voxels, round(1 - (largest / num_regions) / voxels, 6) AS dispersion FROM reg")
 def habitat_regions(spark, sf_dir):
-    return rounded(spatial.regions(spatial.components(cells(spark, sf_dir), "subject"), "subject"))
+    return rounded(spatial.zone_regions(cells(spark, sf_dir), "subject"))
 
 
 @register("habitat_ith_score", f"{_COMPONENTS} SELECT subject, round(1 - sum(largest / num_regions) / sum(voxels), 6) AS ith FROM reg GROUP BY 1")
 def habitat_ith_score(spark, sf_dir):
-    return rounded(spatial.fragmentation(spatial.regions(spatial.components(cells(spark, sf_dir), "subject"), "subject"), "subject"))
+    return rounded(spatial.fragmentation(spatial.zone_regions(cells(spark, sf_dir), "subject"), "subject"))
 
 
 @register(
@@ -79,7 +79,7 @@ def habitat_ith_score(spark, sf_dir):
     f"{_COMPONENTS} SELECT subject, count(*) AS num_habitats, {', '.join(f'CAST(coalesce(max(CASE WHEN label = {k} THEN num_regions END), 0) AS BIGINT) AS num_regions_{k}, round(coalesce(max(CASE WHEN label = {k} THEN voxels END), 0) / sum(voxels), 6) AS volume_ratio_{k}' for k in (1, 2, 3))} FROM reg GROUP BY subject",
 )
 def habitat_non_radiomics(spark, sf_dir):
-    reg = spatial.regions(spatial.components(cells(spark, sf_dir), "subject"), "subject")
+    reg = spatial.zone_regions(cells(spark, sf_dir), "subject")
     cols = [F.count("*").alias("num_habitats")]
     for k in (1, 2, 3):
         own = F.col("label") == k

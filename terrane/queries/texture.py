@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..catalog import register
 from ..operators import texture
 from ..operators.spatial import half_offsets
@@ -65,13 +63,9 @@ SELECT subject, round(sum(p / (s * s)), 6) AS small_emphasis, round(sum(p * s *
 FROM q JOIN gl USING (subject) JOIN sz USING (subject) JOIN c USING (subject) GROUP BY subject"""
 
 
-def _count(spark, sf_dir):
-    return cells(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("cells"))
-
-
 @register("texture_gldm_features", f"WITH {_GLDM}, {_SIZES}")
 def texture_gldm_features(spark, sf_dir):
-    return rounded(texture.size_features(texture.gldm(_levels(spark, sf_dir), BY), BY, _count(spark, sf_dir)))
+    return rounded(texture.features(_levels(spark, sf_dir), BY, "gldm"))
 
 
 _RUNS = f"""{_L}, h AS (SELECT row_number() OVER () - 1 AS direction, * FROM (VALUES {", ".join(map(str, _HALF))}) t(dz, dy, dx)),
@@ -99,10 +93,7 @@ by_run AS (SELECT q.subject, q.direction, sum(p / (s * s)) AS small_emphasis, su
 SELECT subject, {", ".join(f"round(avg({x}), 5) AS {x}" for x in _RUN_NAMES.split())} FROM by_run GROUP BY 1""",
 )
 def texture_glrlm_features(spark, sf_dir):
-    by = (*BY, "direction")
-    runs = texture.glrlm(_levels(spark, sf_dir), BY)
-    each = texture.size_features(runs, by, runs.groupBy(*by).agg(F.sum(F.col("size") * F.col("n")).alias("cells")))
-    return rounded(each.groupBy(*BY).agg(*(F.avg(c).alias(c) for c in _RUN_NAMES.split())), 5)
+    return rounded(texture.features(_levels(spark, sf_dir), BY, "glrlm"), 5)
 
 
 # A recursive SQL walk over zones takes minutes on whole tables: small maps are held against brute force in the tests.
@@ -113,7 +104,7 @@ def texture_glszm_matrix(spark, sf_dir):
 
 @register("texture_glszm_features")
 def texture_glszm_features(spark, sf_dir):
-    return rounded(texture.size_features(texture.glszm(_levels(spark, sf_dir), BY), BY, _count(spark, sf_dir)))
+    return rounded(texture.features(_levels(spark, sf_dir), BY, "glszm"))
 
 
 _NGTDM = f"{_L}, a AS (SELECT a.subject, a.level, a.z, a.y, a.x, avg(b.level) AS m FROM l a CROSS JOIN o JOIN l b ON a.subject = b.subject AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL), g AS (SELECT subject, level, count(*) AS n, sum(abs(level - m)) AS s FROM a GROUP BY ALL)"
@@ -132,4 +123,4 @@ u AS (SELECT subject, sum(p * s) AS ps, sum(s) AS s, sum(n) AS n, count(*) AS g
 SELECT subject, round(least(1 / ps, 1e6::DOUBLE), 6) AS coarseness, round(c / (g * (g - 1)) * s / n, 6) AS contrast, round(ps / b, 6) AS busyness, round(x / n, 6) AS complexity, round(t / s, 6) AS strength FROM t JOIN u USING (subject)""",
 )
 def texture_ngtdm_features(spark, sf_dir):
-    return rounded(texture.ngtdm_features(texture.ngtdm(_levels(spark, sf_dir), BY), BY))
+    return rounded(texture.features(_levels(spark, sf_dir), BY, "ngtdm"))

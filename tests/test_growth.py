@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators import graphs
+from terrane.operators import graphs, regional, slabs, spatial
 from terrane.sources import volumes
 
 
@@ -68,3 +69,57 @@ def test_draws_at_once_are_those_in_turn():
         rng = np.random.default_rng(seed)
         turns = [(*rng.integers(n, size=2).tolist(), rng.random() < 0.5) for _ in range(50)]
         assert list(zip(*graphs._draws(seed, n, 50), strict=True)) == turns
+
+
+def _batches(cells, size):
+    """Record batches of (s, z, y, x, level) rows in the order of tasks."""
+    table = pa.Table.from_pylist(sorted(cells, key=lambda r: (r["s"] is not None, r["s"] or "", r["z"])))
+    return table.to_batches(max_chunksize=size)
+
+
+def _whole(cells, rows, steps, keys=("s",)):
+    """Every table's rows by region, and the most cells that a buffer held."""
+    found, most = {name: {} for name in steps}, 0
+    for b, tables in slabs.tables(iter(_batches(cells, 16)), list(keys), ["level"], steps):
+        names = b.keys.column("s").to_pylist()
+        for name, table in tables.items():
+            for g, *row in zip(*(c.tolist() for c in table), strict=True):
+                found[name][names[g], *map(int, row[: steps[name][1] - 1])] = row[steps[name][1] - 1 :]
+    for b in slabs.stream(iter(_batches(cells, 16)), list(keys), ["level"], 1, rows):
+        most = max(most, len(b.g))
+    return found, most
+
+
+def test_large_regions_go_slice_by_slice(monkeypatch):
+    rng = np.random.default_rng(7)
+    cells = [{"s": s, "z": int(z), "y": int(y), "x": int(x), "level": int(v)} for s, depth in (("a", 2), ("b", 40), ("c", 1), ("d", 25)) for (z, y, x), v in np.ndenumerate(rng.integers(0, 3, (depth, 3, 3))) if v and not (s == "d" and 9 < z < 13)]
+    cells += [{**c, "level": 1} for c in ({"s": "e", "z": z, "y": 0, "x": 0} for z in range(50))]
+    steps = {k: v for f in ("glcm", "glrlm", "glszm", "gldm", "ngtdm") for k, v in regional.steps([f], "level").items()}
+    whole, _ = _whole(cells, None, steps)
+    monkeypatch.setattr(slabs, "ROWS", 24)
+    sliced, most = _whole(cells, 24, steps)
+    assert most < 120  # of some 250 cells of a region
+    assert any(k[0] == "e" and k[3] == 50 for k in whole["runs"])
+    for name, table in whole.items():
+        assert table.keys() == sliced[name].keys(), name
+        for k, v in table.items():
+            assert v == pytest.approx(sliced[name][k]), (name, k)
+
+
+def test_regions_without_a_key_and_repeated_cells():
+    cells = [{"s": s, "z": 0, "y": 0, "x": x, "level": 1} for s in (None, "a") for x in (0, 1, 1)]
+    steps = regional.steps(["glcm", "gldm"], "level")
+    found, _ = _whole([c for c in cells if c["s"]] + [c for c in cells if not c["s"]], None, steps)
+    # as a join has it: two cells at x = 1 both lie beside the one at x = 0, and a missing key meets nothing
+    assert {k[0]: v for k, v in found["pairs"].items()} == {"a": [4]}
+    assert found["dependence"] == {(None, 1, 1): [3], ("a", 1, 3): [1], ("a", 1, 2): [2]}
+
+
+def test_zones_from_one_exchange(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, int(z), int(y), int(x), int(v)) for s in (1, 2) for (z, y, x), v in np.ndenumerate(rng.integers(0, 3, (4, 4, 4)))]
+    cells = spark.createDataFrame(rows, "subject long, z int, y int, x int, label int")
+    slow = spatial.regions(spatial.components(cells, "subject"), "subject")
+    fast = spatial.zone_regions(cells, "subject")
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
+    assert fast._jdf.queryExecution().executedPlan().toString().count("Join") == 0
