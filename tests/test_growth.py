@@ -148,3 +148,22 @@ def test_means_at_an_edge(spark, name):
     """sf0.1 has means that are whole or lie beside a half, which other orders of summation put on the other side."""
     sf = "/root/testdata/sf0.1"
     assert oracle.differences(catalog.queries()[name](spark, sf), oracle.connection(sf), catalog.oracle_sql()[name]) == []
+
+
+def test_quantiles_by_ranges_equal_the_aggregate(spark, monkeypatch):
+    from terrane.operators import prep, running
+
+    monkeypatch.setattr(running, "SINGLE", 10)
+    df = spark.createDataFrame([(float(v),) for v in [*range(100), 5, 5, 7]] + [(None,), (float("nan"),)], "v double")
+    shares = [(k + 0.5) / 37 for k in range(37)]
+    want = df.agg(F.percentile(prep.finite(F.col("v")), F.array(*map(F.lit, shares)))).first()[0]
+    assert prep.quantiles(df, "v", shares) == want
+    assert prep.quantiles(df.where("v is null"), "v", shares) is None
+    plan = prep.fit(df, ["v"], prep.binning(5, "kmeans"))._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and len(prep.fit(df, ["v"], prep.binning(5, "kmeans")).first()[0]["edges"]) == 4
+
+
+@pytest.mark.parametrize("name", ["voxel_local_entropy", "graph_min_distance_edges", "graph_centroid_edges"])
+def test_neighbours_are_not_exchanged(spark, name):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
