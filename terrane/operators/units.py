@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,22 +68,34 @@ def local_entropy(voxels: DataFrame, subject: str, value: str, size: int = 3, bi
     """(subject, z, y, x, entropy) in bits over the box around each voxel row.
 
     Intensities are scaled over the subject and rounded half to even into bins; counts
-    are divided by the whole box, also at borders.  Each voxel sends its level to the
-    cells of its box, so the work is the box's volume per voxel, joined on cell keys.
+    are divided by the whole box, also at borders.  Voxels are exchanged once, and boxes
+    are read where their subject lies (see :mod:`.slabs`).
     """
+    from . import slabs
+
     reach = size // 2
-    cells = F.sequence(F.lit(-reach), F.lit(reach))
     per = Window.partitionBy(subject)
     low, high = F.min(value).over(per), F.max(value).over(per)
     level = F.when(high > low, F.rint((F.col(value) - low) / (high - low) * (bins - 1))).otherwise(F.lit(0.0)).cast("int")
     levels = voxels.select(subject, "z", "y", "x", level.alias("level"))
-    spread = levels
-    for axis in ("z", "y", "x"):
-        spread = spread.withColumn("__d", F.explode(cells)).withColumn(axis, F.col(axis) + F.col("__d")).drop("__d")
-    p = F.col("n") / float((2 * reach + 1) ** 3)
-    counted = spread.groupBy(subject, "z", "y", "x", "level").agg(F.count("*").alias("n"))
-    entropy = counted.groupBy(subject, "z", "y", "x").agg(F.sum(-p * F.log2(p)).alias("entropy"))
-    return voxels.select(subject, "z", "y", "x").join(entropy, [subject, "z", "y", "x"])
+    around = range(-reach, reach + 1)
+    offsets = [(a, b, c) for a in around for b in around for c in around]
+    whole = float(len(offsets))
+
+    def run(batches: Iterator) -> Iterator:
+        for b in slabs.stream(batches, [subject], ["level"], max(reach, 1)):
+            own = np.flatnonzero(b.own & ~b.alone[b.g])
+            found = b.values["level"]
+            found = np.where(found == slabs.NONE, bins, found)  # a missing value is a level of its own
+            count = np.zeros(len(found) * (bins + 1), np.int64)
+            for o in offsets:
+                x, y = b.pairs(o, b.own)
+                count += np.bincount(x * (bins + 1) + found[y], minlength=len(count))
+            p = count.reshape(-1, bins + 1)[own] / whole
+            entropy = -(p * np.log2(p, out=np.zeros(p.shape), where=p > 0)).sum(1)
+            yield slabs.rows_of(b, b.g[own], {k: a[own].astype(np.int32) for k, a in zip(slabs.KEY, b.at, strict=True)} | {"entropy": entropy})
+
+    return slabs.by_region(levels, [subject], ["level"], run, "z int, y int, x int, entropy double")
 
 
 def first_order(df: DataFrame, by: Sequence[str], value: str, bin_width: float = 25.0, cell_volume: float = 1.0) -> DataFrame:
