@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import spatial
+from ..storage import cut
 from .inputs import CELLS, cells, rounded
 
 LABELS = (1, 2, 3, 4)
@@ -137,7 +138,7 @@ SELECT subject, num_nodes, num_edges, round(degree_mean, 6) AS degree_mean, roun
 FROM s JOIN h USING (subject) LEFT JOIN l USING (subject)""",
 )
 def graph_metrics(spark, sf_dir):
-    nodes = spatial.centroids(_blocks(spark, sf_dir), "subject", "node")
+    nodes = cut(spatial.centroids(_blocks(spark, sf_dir), "subject", "node"))
     return rounded(spatial.graph_metrics(nodes, spatial.centroid_edges(nodes, "subject", 3.0), "subject"))
 
 
