@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,24 +83,48 @@ def resample_nearest(cells: DataFrame, by: Sequence[str], spacing: Sequence[floa
 def resample_linear(cells: DataFrame, by: Sequence[str], value: str, spacing: Sequence[float], target: Sequence[float]) -> DataFrame:
     """The image on a grid of another spacing (z, y, x) with linear weights, one axis after the other; the first cells of both grids lie on each other.
 
-    An old cell sends its weighted value to the new places within a step of it, so
-    nothing is joined.  What lies beyond the old grid's last cell isn't made, and a
-    missing old cell counts as 0.
+    An old cell sends its weighted value to the new places within a step of it, which are
+    added up slice by slice where the group lies.  What lies beyond the old grid's last
+    cell isn't made, and a missing old cell counts as 0.
     """
     out = cells.select(*by, *KEY, F.col(value).cast("double").alias(value))
     for axis, old, new in zip(KEY, spacing, target, strict=True):
-        if old == new:
-            continue
-        last = F.max(axis).over(Window.partitionBy(*by))
-        first, end = F.floor((F.col(axis) - 1) * old / new + 1 + 1e-9), F.ceil((F.col(axis) + 1) * old / new - 1e-9) - 1
-        sent = out.withColumn("__last", last).withColumn("__to", F.explode(F.when(end >= first, F.sequence(first, end)).otherwise(F.array().cast("array<bigint>"))))
-        weight = 1 - F.abs(F.col("__to") * new / old - F.col(axis))
-        kept = sent.where((F.col("__to") >= 0) & (F.col("__to") * new <= F.col("__last") * old + 1e-9))
-        summed = kept.withColumn("__v", F.col(value) * weight).drop(axis).withColumn(axis, F.col("__to").cast("int"))
-        out = summed.groupBy(*by, *KEY).agg(F.sum("__v").alias(value))
+        if old != new:
+            out = _stretched(out, list(by), value, axis, float(old), float(new))
     return out
 
 
+def _stretched(cells: DataFrame, by: list[str], value: str, axis: str, old: float, new: float) -> DataFrame:
+    from . import slabs
+
+    # slices lie across another axis, so that each holds whole lines along this one
+    order = ["y", "z", "x"] if axis == "z" else list(KEY)
+    rows = cells.select(*by, *(F.col(a).alias(k) for a, k in zip(order, KEY, strict=True)), F.col(value).alias("__v"), F.max(axis).over(Window.partitionBy(*by)).alias("__last"))
+    line = order.index(axis)
+
+    def run(batches: Iterator) -> Iterator:
+        for b in slabs.stream(batches, by, ["__v", "__last"]):
+            own = np.flatnonzero(b.own)
+            at = b.at[line][own]
+            first = np.floor((at - 1) * old / new + 1 + 1e-9).astype(np.int64)
+            end = (np.ceil((at + 1) * old / new - 1e-9) - 1).astype(np.int64)
+            n = np.maximum(end - first + 1, 0)
+            who = np.repeat(np.arange(len(own)), n)
+            to = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            keep = (to >= 0) & (to * new <= b.values["__last"][own][who] * old + 1e-9)
+            who, to = who[keep], to[keep]
+            cell = own[who]
+            part = b.values["__v"][cell] * (1 - np.abs(to * new / old - b.at[line][cell]))
+            there = ~np.isnan(part)
+            places = [a[cell] for a in b.at]
+            places[line] = to
+            g, *found, total, known = slabs.summed([b.g[cell], *places], np.where(there, part, 0.0), there.astype(np.int64))
+            named = dict(zip(order, found, strict=True))
+            yield slabs.rows_of(b, g, {k: named[k].astype(np.int32) for k in KEY} | {value: pa.array(total, mask=known == 0)})
+
+    return slabs.by_region(rows, by, ["__v", "__last"], run, f"z int, y int, x int, `{value}` double")
+
+
 def equalise(cells: DataFrame, by: Sequence[str], value: str, tile: int = 32, bins: int = 256, clip: float = 0.01) -> DataFrame:
     """Contrast-limited adaptive histogram equalisation: each cell's value becomes its share in the clipped histograms of the tiles around it, mixed linearly.
 
@@ -200,27 +226,48 @@ def gaussian_noise(cells: DataFrame, by: Sequence[str], value: str, sigma: float
 def translate(cells: DataFrame, by: Sequence[str], value: str, shift: Sequence[float]) -> DataFrame:
     """The image moved by a part of a voxel with linear weights; what comes from outside counts as 0.
 
-    Each cell sends its weighted value to the eight cells around its new place.
+    Each cell asks the (at most eight) cells around the place it comes from, where its group lies.
     """
+    from . import slabs
+
+    keys = list(by)
     whole = [int(s // 1) for s in shift]
     part = [s - w for s, w in zip(shift, whole, strict=True)]
     moves = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
     weight = lambda o: float((part[0] if o[0] else 1 - part[0]) * (part[1] if o[1] else 1 - part[1]) * (part[2] if o[2] else 1 - part[2]))
-    parts = F.array(*(F.struct(*(F.lit(w + d).alias(f"d{k}") for k, w, d in zip(KEY, whole, o, strict=True)), F.lit(weight(o)).alias("w")) for o in moves if weight(o) > 0))
-    sent = cells.select(*by, *KEY, F.col(value).alias("__v"), F.explode(parts).alias("__o"))
-    moved = sent.select(*by, *((F.col(k) + F.col(f"__o.d{k}")).alias(k) for k in KEY), (F.col("__v") * F.col("__o.w")).alias("__v"))
-    summed = moved.groupBy(*by, *KEY).agg(F.sum("__v").alias(value))
-    return summed.join(cells.select(*by, *KEY), [*by, *KEY], "left_semi")
+    parts = [(tuple(-(w + d) for w, d in zip(whole, o, strict=True)), weight(o)) for o in moves if weight(o) > 0]
+    reach = max(1, *(abs(c) for o, _ in parts for c in o))
+
+    def run(batches: Iterator) -> Iterator:
+        for b in slabs.stream(batches, keys, ["__v"], reach):
+            v, n = b.values["__v"], len(b.g)
+            out, met, known = np.zeros(n), np.zeros(n, bool), np.zeros(n, bool)
+            for o, w in parts:
+                x, y = b.pairs(o, b.own)
+                met[x] = True
+                there = ~np.isnan(v[y])
+                x, y = x[there], y[there]
+                known[x] = True
+                out += np.bincount(x, v[y] * w, n)
+            rows = np.flatnonzero(met)
+            yield slabs.rows_of(b, b.g[rows], {k: a[rows].astype(np.int32) for k, a in zip(KEY, b.at, strict=True)} | {value: pa.array(out[rows], mask=~known[rows])})
+
+    rows = cells.select(*keys, *KEY, F.col(value).cast("double").alias("__v"))
+    return slabs.by_region(rows, keys, ["__v"], run, f"z int, y int, x int, `{value}` double")
 
 
 def rigid(cells: DataFrame, by: Sequence[str], value: str, degrees: float = 0.0, shift: Sequence[float] = (0.0, 0.0, 0.0), axis: str = "z") -> DataFrame:
     """The image turned about the centre of its group's box and moved, in one resampling with linear weights; what comes from outside counts as 0.
 
-    Every cell asks the (at most eight) cells around the place it comes from; places
+    Every cell asks the (at most eight) cells around the place it comes from, where its
+    group lies: slices are taken across the axis, so a turn stays in its slice.  Places
     are rounded at nine digits so that a turn by nothing asks one cell only.
     """
     import math
 
+    from . import slabs
+
+    keys = list(by)
     turned = [k for k in KEY if k != axis]
     c, d = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
     w = Window.partitionBy(*by)
@@ -228,16 +275,30 @@ def rigid(cells: DataFrame, by: Sequence[str], value: str, degrees: float = 0.0,
     off = {k: F.col(k) - F.lit(float(s)) - middle[k] for k, s in zip(KEY, shift, strict=True)}
     a, b = turned
     source = {axis: off[axis], a: off[a] * c + off[b] * d, b: off[b] * c - off[a] * d}
-    at = cells.select(*by, *KEY, *(F.round(source[k] + middle[k], 9).alias(f"s{k}") for k in KEY))
-    for k in KEY:
-        low = F.floor(f"s{k}")
-        part = F.col(f"s{k}") - low
-        ends = F.array(F.struct(low.cast("int").alias("p"), (1 - part).alias("w")), F.struct((low + 1).cast("int").alias("p"), part.alias("w")))
-        at = at.withColumn(f"e{k}", F.explode(F.filter(ends, lambda e: e["w"] > 0)))
-    weight = F.col("ez.w") * F.col("ey.w") * F.col("ex.w")
-    asked = at.select(*by, F.struct(*KEY).alias("__to"), *(F.col(f"e{k}.p").alias(k) for k in KEY), weight.alias("__w"))
-    met = asked.join(cells.select(*by, *KEY, F.col(value).cast("double").alias("__v")), [*by, *KEY], "left")
-    return met.groupBy(*by, "__to").agg(F.coalesce(F.sum(F.col("__w") * F.col("__v")), F.lit(0.0)).alias(value)).select(*by, "__to.*", value)
+    order = [axis, *turned]
+    rows = cells.select(*keys, *(F.col(k).alias(n) for k, n in zip(order, KEY, strict=True)), F.col(value).cast("double").alias("__v"), *(F.round(source[k] + middle[k], 9).alias(f"__{n}") for k, n in zip(order, KEY, strict=True)))
+    names = ["__v", *(f"__{n}" for n in KEY)]
+    reach = max(1, math.ceil(abs(shift[KEY.index(axis)])) + 1)
+
+    def run(batches: Iterator) -> Iterator:
+        for b in slabs.stream(batches, keys, names, reach):
+            own, v, n = np.flatnonzero(b.own), b.values["__v"], len(b.g)
+            out = np.zeros(n)
+            low = [np.floor(b.values[f"__{k}"][own]) for k in KEY]
+            part = [b.values[f"__{k}"][own] - p for k, p in zip(KEY, low, strict=True)]
+            for o in ((i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)):
+                weight = np.prod([p if e else 1 - p for e, p in zip(o, part, strict=True)], axis=0)
+                asks = np.flatnonzero(weight > 0)
+                all_weights = np.zeros(n)
+                all_weights[own] = weight
+                x, y = b.places(own[asks], [(p[asks] + e).astype(np.int64) for e, p in zip(o, low, strict=True)])
+                there = ~np.isnan(v[y])
+                x, y = x[there], y[there]
+                out += np.bincount(x, all_weights[x] * v[y], n)
+            named = dict(zip(order, b.at, strict=True))
+            yield slabs.rows_of(b, b.g[own], {k: named[k][own].astype(np.int32) for k in KEY} | {value: out[own]})
+
+    return slabs.by_region(rows, keys, names, run, f"z int, y int, x int, `{value}` double")
 
 
 def geometry_mismatch(tolerance: float = 1e-5, direction_tolerance: float = 1e-4) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane import catalog
-from terrane.operators import graphs, models, regional, selection, slabs, spatial
+from terrane.operators import graphs, images, models, regional, selection, slabs, spatial
 from terrane.sources import volumes
 
 
@@ -167,3 +167,22 @@ def test_quantiles_by_ranges_equal_the_aggregate(spark, monkeypatch):
 def test_neighbours_are_not_exchanged(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_images_move_where_they_lie(spark, monkeypatch):
+    """Slice by slice as in one buffer, about every axis, and without joins."""
+    rng = np.random.default_rng(9)
+    rows = [(s, int(z), int(y), int(x), float(rng.random())) for s in ("a", "b") for (z, y, x), v in np.ndenumerate(rng.integers(0, 4, (12, 4, 4))) if v]
+    cells = spark.createDataFrame(rows, "s string, z int, y int, x int, v double")
+    made = {
+        "translate": lambda: images.translate(cells, ["s"], "v", (-1.5, 0.25, 1.0)), "resample": lambda: images.resample_linear(cells, ["s"], "v", (2.0, 1.0, 1.0), (1.0, 1.5, 1.0)),
+        **{f"rigid {a}": lambda a=a: images.rigid(cells, ["s"], "v", 30.0, (1.25, 0.5, 0.0), a) for a in "zyx"},
+    }
+    whole = {k: {tuple(r)[:4]: r.v for r in f().collect()} for k, f in made.items()}
+    monkeypatch.setattr(slabs, "ROWS", 40)
+    for k, f in made.items():
+        assert {tuple(r)[:4]: r.v for r in f().collect()} == pytest.approx(whole[k], abs=1e-12), k
+        assert "Join" not in f()._jdf.queryExecution().executedPlan().toString()
+    v = {r[:4]: r[4] for r in rows}
+    for (s, z, y, x), got in whole["translate"].items():
+        assert got == pytest.approx(sum(w * u * v.get((s, z + 1 + i, y - j, x - 1), 0.0) for i, w in ((0, 0.5), (1, 0.5)) for j, u in ((0, 0.75), (1, 0.25))))
